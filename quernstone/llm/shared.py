@@ -217,3 +217,12 @@ class Sorted:
             for o, v in zip(out, have[1:], strict=False):
                 o[s] = np.where(ok, v[at], o[s])
         return [held, *out]
+
+
+def with_args(f: Callable, *args, **named) -> Callable[[pa.Table], pa.Table]:
+    """f with the later arguments given, as a plain function (applyInArrow inspects its signature)."""
+
+    def g(table):
+        return f(table, *args, **named)
+
+    return g
