@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .language_model import op2_lm_scoring
+from .repeats import op7_suffix_array_dedup
 
-QUERIES: dict = {"op2_lm_scoring": op2_lm_scoring}
+QUERIES: dict = {
+    "op2_lm_scoring": op2_lm_scoring,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
