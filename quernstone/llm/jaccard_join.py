@@ -50,7 +50,7 @@ def sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
         s = mix(s)
         for k, (a, m) in enumerate(zip(total[:-1], n, strict=True)):
             if m >= size:
-                yield i + k, np.unique(s[a : a + m - size + 1])
+                yield i + k, shared.distinct(s[a : a + m - size + 1])[0]
             elif m:
                 x = U64(m)
                 with np.errstate(over="ignore"):

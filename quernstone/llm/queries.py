@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_model import op2_lm_scoring
+from .packing import op8_best_fit_packing
 from .repeats import op7_suffix_array_dedup
 
 QUERIES: dict = {
     "op2_lm_scoring": op2_lm_scoring,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -147,7 +147,7 @@ def _merge_phrases(table: pa.Table, index: Index) -> pa.Table:
     k, p, n = _pairs(*map(np.concatenate, cols))
     b = table.column("bucket")[0].as_py()
     index.twice.write(b, np.sort(p[n > 1]))
-    index.several.write(b, np.unique(k[1:][k[1:] == k[:-1]]))
+    index.several.write(b, shared.distinct(k[1:][k[1:] == k[:-1]])[0])
     return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(k)])})
 
 
