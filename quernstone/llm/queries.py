@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_document_fingerprints
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_model import op2_lm_scoring
 from .packing import op8_best_fit_packing
@@ -9,6 +10,7 @@ from .repeats import op7_suffix_array_dedup
 
 QUERIES: dict = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
