@@ -7,6 +7,7 @@ from .jaccard_join import op6_ngram_jaccard_join
 from .language_model import op2_lm_scoring
 from .packing import op8_best_fit_packing
 from .repeats import op7_suffix_array_dedup
+from .toxicity import op4_toxicity
 
 QUERIES: dict = {
     "op2_lm_scoring": op2_lm_scoring,
@@ -14,5 +15,6 @@ QUERIES: dict = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}

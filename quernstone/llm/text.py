@@ -89,8 +89,8 @@ def runs(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _piece(b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of b; first: where documents begin."""
+def _piece(b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of b, and its rolling sums; first: where documents begin."""
     space = _SPACE[b]
     edge = np.empty(len(b) + 1, bool)
     edge[0] = edge[-1] = True
@@ -101,32 +101,42 @@ def _piece(b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after = np.empty(len(b), bool)
     after[-1] = True
     after[:-1] = space[1:] | before[1:]
-    end = np.flatnonzero(after & ~space) + 1
-    return start, spans_hash(rolling(b, True), start, end)
+    return start, np.flatnonzero(after & ~space) + 1, rolling(b, True)
 
 
-def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, counts, hashes): the hashes of all words of documents i to j, and how many each has.
+def word_hashes(column: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
+    """(i, j, counts, hashes): of all words of documents i to j their number by document, their hashes,
+    and the hashes of their first bytes, as many as each of prefixes says (or all).
 
     Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
     return; A-Z count as a-z. A document is never split over two results.
     """
     data, offsets = buffers(column)
+
+    def of(start: np.ndarray, end: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+        return [spans_hash(c, start, end), *(spans_hash(c, start, np.minimum(start + k, end)) for k in prefixes)]
+
     for i, j in runs(offsets):
         lo, hi = int(offsets[i]), int(offsets[j])
         if hi == lo:
-            yield i, j, np.zeros(j - i, np.int64), np.zeros(0, U64)
+            yield i, j, np.zeros(j - i, np.int64), [np.zeros(0, U64)] * (1 + len(prefixes))
         elif hi - lo <= PIECE:
             first = offsets[i : j + 1] - lo
-            start, h = _piece(data[lo:hi], first[:-1])
-            yield i, j, np.diff(np.searchsorted(start, first)), h
+            start, end, c = _piece(data[lo:hi], first[:-1])
+            yield i, j, np.diff(np.searchsorted(start, first)), of(start, end, c)
         else:
-            parts = [h for _, h in long_pieces(data[lo:hi])]
-            yield i, j, np.array([sum(map(len, parts))]), np.concatenate(parts)
+            parts = [of(*x) for x in _long_pieces(data[lo:hi])]
+            yield i, j, np.array([sum(len(x[0]) for x in parts)]), [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As word_hashes(), with the hashes of whole words only."""
+    for i, j, n, (h,) in word_hashes(column):
+        yield i, j, n, h
 
 
-def long_pieces(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Starts and hashes of the words of one long text, cut where a word ends."""
+def _long_pieces(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """_piece() of one long text, cut where a word ends."""
     at = 0
     while at < len(b):
         end = min(at + PIECE, len(b))
@@ -138,23 +148,5 @@ def long_pieces(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 end = far if not len(back) else end
             if len(back):
                 end = at + int(back[-1]) + 1
-        start, h = _piece(b[at:end], np.zeros(1, np.int64))
-        yield start + at, h
+        yield _piece(b[at:end], np.zeros(1, np.int64))
         at = end
-
-
-def word_starts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """As words(), with the byte offset of each word in its document at the end."""
-    data, offsets = buffers(column)
-    for i, j in runs(offsets):
-        lo, hi = int(offsets[i]), int(offsets[j])
-        if hi == lo:
-            yield i, j, np.zeros(j - i, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-        elif hi - lo <= PIECE:
-            first = offsets[i : j + 1] - lo
-            start, h = _piece(data[lo:hi], first[:-1])
-            n = np.diff(np.searchsorted(start, first))
-            yield i, j, n, h, start - np.repeat(first[:-1], n)
-        else:
-            parts = list(long_pieces(data[lo:hi]))
-            yield i, j, np.array([sum(len(h) for _, h in parts)]), np.concatenate([h for _, h in parts]), np.concatenate([s for s, _ in parts])
