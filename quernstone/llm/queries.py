@@ -6,6 +6,7 @@ from .fingerprints import op3_document_fingerprints
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_model import op2_lm_scoring
 from .packing import op8_best_fit_packing
+from .personal import op5_pii
 from .repeats import op7_suffix_array_dedup
 from .toxicity import op4_toxicity
 
@@ -16,5 +17,6 @@ QUERIES: dict = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
