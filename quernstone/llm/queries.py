@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op3_document_fingerprints
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_model import op2_lm_scoring
+from .neighbours import op10_nearest_neighbours
 from .packing import op8_best_fit_packing
 from .personal import op5_pii
 from .repeats import op7_suffix_array_dedup
@@ -18,5 +19,6 @@ QUERIES: dict = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {}
