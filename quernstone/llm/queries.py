@@ -9,9 +9,13 @@ from .neighbours import op10_nearest_neighbours
 from .packing import op8_best_fit_packing
 from .personal import op5_pii
 from .repeats import op7_suffix_array_dedup
+from .sentencepiece import op9_sentencepiece
+from .sharding import op1_sharding
+from .sharding import oracle_sql as sharding_sql
 from .toxicity import op4_toxicity
 
 QUERIES: dict = {
+    "op1_sharding": op1_sharding,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -20,5 +24,6 @@ QUERIES: dict = {
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding_sql()}

@@ -45,26 +45,28 @@ def part_starts(b: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
-class Encoder:
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class PartEncoder:
+    """Encodes columns part by part; how texts are cut and parts encoded is for the subclass to say."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.tokenizer.get_vocab_size())])
+    #: Whether a text's first part differs from the same part elsewhere.
+    first_differs = False
+
+    def __init__(self) -> None:
         self.forget()
 
+    def starts(self, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where parts begin in the bytes b; first: where non-empty texts do."""
+        raise NotImplementedError
+
+    def encode_parts(self, parts: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each part, and all ids."""
+        raise NotImplementedError
+
     def forget(self) -> None:
         none = np.zeros(0, np.int64)
         #: Hash, place in flat and number of ids of each part: many sorted ones, and the latest.
         self.old, self.new = (none.astype(U64), none, none), (none.astype(U64), none, none)
-        self.flat: list[np.ndarray] = []
-        self.size = 0
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.flat = np.zeros(0, np.uint32)
 
     def _find(self, keys: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Fills in what is known of sorted distinct keys; says which are."""
@@ -77,22 +79,10 @@ class Encoder:
                 found |= ok
         return found
 
-    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
-        """Parts that begin with their only space are encoded together: there, and only there, does an
-        id begin with a space."""
-        plain = np.array([p.rfind(b" ") == 0 for p in parts], bool)
-        ids = self.ids(b"".join(p for p, ok in zip(parts, plain, strict=True) if ok).decode())
-        at = np.flatnonzero(self.spaced[ids])
-        if len(at) != plain.sum():
-            raise ValueError("this tokenizer doesn't begin a new id at each space")
-        other = [self.ids(parts[k].decode()) for k in np.flatnonzero(~plain)]
-        n, start = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
-        n[plain], start[plain] = np.diff(np.append(at, len(ids))), at
-        n[~plain] = [len(x) for x in other]
-        start[~plain] = len(ids) + np.cumsum(n[~plain]) - n[~plain]
-        self.new = self._merged(self.new, (keys, start + self.size, n))
-        self.flat += [ids, *other]
-        self.size += int(n.sum())
+    def _learn(self, keys: np.ndarray, parts: list[bytes], first: np.ndarray) -> None:
+        n, ids = self.encode_parts(parts, first)
+        self.new = self._merged(self.new, (keys, len(self.flat) + np.cumsum(n) - n, n))
+        self.flat = np.concatenate([self.flat, ids])
         if len(self.new[0]) > 1 << 16:
             self.old, self.new = self._merged(self.old, self.new), tuple(x[:0] for x in self.new)
 
@@ -113,27 +103,65 @@ class Encoder:
                 yield from (np.zeros(0, np.uint32) for _ in range(i, j))
                 continue
             first = bounds[:-1][bounds[:-1] < bounds[1:]]
-            start = part_starts(b, first)
+            start = self.starts(b, first)
             end = np.append(start[1:], len(b))
             h = spans_hash(rolling(b), start, end)
+            leads = np.zeros(len(start), bool)
+            if self.first_differs:
+                leads[np.searchsorted(start, first)] = True
+                h[leads] ^= U64(0xA0761D6478BD642F)
             keys, some, back = np.unique(h, return_index=True, return_inverse=True)
             place, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             unknown = np.flatnonzero(~self._find(keys, place, n))
             if len(unknown):
                 raw = b.tobytes()
                 where = some[unknown]
-                self._learn(keys[unknown], [raw[x:y] for x, y in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+                self._learn(keys[unknown], [raw[x:y] for x, y in zip(start[where].tolist(), end[where].tolist(), strict=True)], leads[where])
                 self._find(keys, place, n)
-            if len(self.flat) > 1:
-                self.flat = [np.concatenate(self.flat)]
             m = n[back]
             stop = np.cumsum(m)
-            out = self.flat[0][np.repeat(place[back] - (stop - m), m) + np.arange(stop[-1])]
+            out = self.flat[np.repeat(place[back] - (stop - m), m) + np.arange(stop[-1])]
             edges = np.concatenate([[0], stop])[np.searchsorted(start, bounds)].tolist()
             yield from (out[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True))
 
 
+class BpeEncoder(PartEncoder):
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.tokenizer.get_vocab_size())])
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def starts(self, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return part_starts(b, first)
+
+    def encode_parts(self, parts: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts that begin with their only space are encoded together: there, and only there, does an
+        id begin with a space."""
+        plain = np.array([p.rfind(b" ") == 0 for p in parts], bool)
+        ids = self.ids(b"".join(p for p, ok in zip(parts, plain, strict=True) if ok).decode())
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != plain.sum():
+            raise ValueError("this tokenizer doesn't begin a new id at each space")
+        runs = np.diff(np.append(at, len(ids)))
+        other = [self.ids(parts[k].decode()) for k in np.flatnonzero(~plain)]
+        # the ids in the order of the parts
+        n, place = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        n[plain], place[plain] = runs, at
+        n[~plain] = [len(x) for x in other]
+        place[~plain] = len(ids) + np.cumsum(n[~plain]) - n[~plain]
+        ids = np.concatenate([ids, *other])
+        return n, ids[np.repeat(place - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> BpeEncoder:
     """One encoder a worker process."""
-    return Encoder(path)
+    return BpeEncoder(path)
