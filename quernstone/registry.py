@@ -2,5 +2,31 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir)."""
+
+    def added(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return added
+
+
+def load() -> None:
+    """Imports all modules that register queries."""
+    from .operators import aggregates, joins, maintenance, relational, search, vectors  # noqa: F401
+    from .plans import queries as plan_queries  # noqa: F401
+    from .sources import queries as source_queries  # noqa: F401
+    from .streaming import sessions  # noqa: F401
+    from .functions import queries as function_queries  # noqa: F401
