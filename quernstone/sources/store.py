@@ -1,0 +1,54 @@
+"""Versioned Parquet tables: a version is a folder, the pointer names the current one.
+
+Readers see a version whole or not at all: the pointer is replaced after the version has been written. A
+version that no pointer names is what a lost writer leaves, and is taken away by the next recovery.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self, name: str) -> int:
+        """The current version; 0 where there is none or its pointer can't be read."""
+        rows = self.spark.read.text(f"{self.root}/{name}/current").collect() if self.fs.exists(self.path(f"{self.root}/{name}/current")) else []
+        return int(rows[0].value) if rows and rows[0].value.isdigit() else 0
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
+
+    def write(self, name: str, rows: DataFrame) -> int:
+        """rows as the next version; they may be derived from the current one."""
+        v = self.version(name) + 1
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
+        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/current")
+        return v
+
+    def recover(self, name: str) -> list[str]:
+        """Sets aside what can't be read of the current version, going back to the last that can; removes
+        versions that are newer than the pointer. Names the folders it touched."""
+        touched, v = [], self.version(name)
+        for s in self.fs.listStatus(self.path(f"{self.root}/{name}")):
+            n = s.getPath().getName()
+            if n.startswith("v=") and n[2:].isdigit() and int(n[2:]) > v:
+                self.fs.delete(s.getPath(), True)
+                touched.append(n)
+        while v > 0:
+            folder = f"{self.root}/{name}/v={v}"
+            try:
+                self.spark.read.parquet(folder).limit(1).collect()
+                break
+            except Exception:  # noqa: BLE001  whatever a broken file raises
+                if self.fs.exists(self.path(folder)):
+                    self.fs.rename(self.path(folder), self.path(f"{folder}.corrupt"))
+                    touched.append(f"v={v}")
+                v -= 1
+        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/current")
+        return touched
