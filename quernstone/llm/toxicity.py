@@ -4,7 +4,7 @@
    the least hashes of their ids; of texts that share one of three minimum hashes of their shingles,
    as copies do, one) come the log-odds of words and of words'
    first 4, 5 and 6 bytes between the classes, each with a Dirichlet prior from both classes together
-   and, to be sure of them, less 2.5 standard deviations. A word scores by the longest of these that the
+   and, to be sure of them, less 2.5 standard deviations and a margin. A word scores by the longest of these that the
    sample has often enough; all else scores nothing, and every word costs a small drift.
 2. A linear scan finds all maximal-scoring segments of a text (Ruzzo and Tompa). Only words
    that score above zero are looped over; what lies between is a difference of running sums.
@@ -37,6 +37,9 @@ PREFIXES = (4, 5, 6)
 SEEN = 4
 PRIOR = 1.0
 DEVIATIONS = 2.5
+#: Log-odds that count as none: classes differ a little in their languages and lengths, and in a large
+#: sample every common word is sure to be a little likelier in one of them.
+MARGIN = 0.7
 DRIFT = 0.1
 
 
@@ -84,7 +87,7 @@ def log_odds(keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, texts: tupl
     prior = 2 * PRIOR * share / np.maximum(share, 1e-12)
     a, b = toxic + prior * t / (t + c), clean + prior * c / (t + c)
     d = np.log(a / b) - math.log(t / c)
-    return keys, np.sign(d) * np.maximum(np.abs(d) - DEVIATIONS * np.sqrt(1 / a + 1 / b), 0)
+    return keys, np.sign(d) * np.maximum(np.abs(d) - DEVIATIONS * np.sqrt(1 / a + 1 / b) - MARGIN, 0)
 
 
 def word_scores(model: Model, hs: list[np.ndarray]) -> np.ndarray:
