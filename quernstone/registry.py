@@ -30,3 +30,5 @@ def load() -> None:
     from .sources import queries as source_queries  # noqa: F401
     from .streaming import sessions  # noqa: F401
     from .functions import queries as function_queries  # noqa: F401
+
+load()
