@@ -8,14 +8,16 @@ s - ceil(0.8 n) + 1 of their s shared shingles, in any order common to all sets
 1. Document frequencies of all shingles, kept as sorted arrays in the shared folder where above one.
 2. Each text looks up its shingles; where fewer than 80 % are shared, it can link with nothing.
 3. Similar sets form groups: each set is compared with the richest set of the groups that its least
-   hashes name; verified links make the groups, cut into blocks of about 64 sets.
-4. The token-group matrix has a row for each prefix shingle and block. A set of a smaller group meets
-   the blocks of other groups only through it, opens a block where the block's union of shingles may
-   hold 80 % of the set, and then counts its overlap with every member at once.
+   hashes name; verified links make linked groups. Blocks of about 64 sets are cut from each large one,
+   and from the sets of small ones that have the same least hash.
+4. The token-group matrix has a row for each prefix shingle and block, with the linked groups that
+   its sets belong to. Two blocks meet only where a shingle has sets of different linked groups in them.
+   A set of one opens the other where its union of shingles may hold 80 % of the set, and then
+   counts its overlap with every member at once.
 5. Connected components by alternating large and small stars.
 
-Sets of one group never meet again, so a group of m copies with slight differences costs m
-comparisons and its stragglers one for each block, not one for each pair.
+Blocks of one linked group never meet, so a group of m copies with slight differences costs m
+comparisons, and its stragglers an opening for each block and not one for each pair.
 """
 
 from __future__ import annotations
@@ -205,14 +207,18 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
     first = shared.written(pairs.mapInArrow(pair, "a binary, b binary"), "links")
     labels = components(first)
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-    named = classes.select("set_id", "n", "prefix").join(sized, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "prefix", F.coalesce("label", "set_id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-    named = shared.written(named.withColumn("block", F.struct("label", _spread(F.col("set_id"), F.col("size"), BLOCK).alias("part"))), "blocks")
-    rows = named.select("set_id", "block", F.struct("size", "label").alias("rank"), F.explode("prefix").alias("token"))
-    matrix = rows.select("token", "block", "rank").distinct()
-    several = matrix.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low != high")
-    matrix = matrix.join(several, "token").where("rank > low").select("token", "block", F.col("rank").alias("other"))
-    asking = rows.join(several, "token").where("rank < high").select("token", F.col("set_id").alias("q"), "rank")
-    meet = asking.join(matrix, "token").where("rank < other").select("q", "block").distinct()
+    named = classes.select("set_id", "prefix", F.col("groups")[0].cast("string").cast("binary").alias("group")).join(sized, F.col("set_id") == F.col("node"), "left")
+    named = named.withColumn("home", F.when(F.col("size") >= BLOCK // 2, F.col("label")).otherwise(F.col("group")))
+    homes = named.groupBy("home").agg(F.count("*").alias("members"))
+    named = named.join(homes, "home").select("set_id", "prefix", F.coalesce("label", "set_id").alias("label"), F.struct("home", _spread(F.col("set_id"), F.col("members"), BLOCK).alias("part")).alias("block"))
+    named = shared.written(named, "blocks")
+    matrix = named.select("block", "label", F.explode("prefix").alias("token")).groupBy("token", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = matrix.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
+    matrix = shared.written(matrix.join(several, "token"), "matrix")
+    other = matrix.select("token", *(F.col(c).alias(f"other_{c}") for c in ("block", "low", "high")))
+    # two blocks meet where a shingle has sets of different groups in them
+    meet = matrix.join(other, "token").where("block <= other_block and (low != high or other_low != other_high or low != other_low) and (block != other_block or low != high)").select("block", "other_block").distinct()
+    meet = meet.join(named.select("block", F.col("set_id").alias("q")), "block").select("q", F.col("other_block").alias("block"))
     meet = shared.written(meet, "meet")
     chunks = meet.groupBy("block").agg(F.count("*").alias("asked"))
     meet = meet.join(chunks, "block").withColumn("chunk", _spread(F.col("q"), F.col("asked"), CHUNK))

@@ -157,6 +157,8 @@ def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
     cc, rows = counts_of_counts(n), []
     for kind, (ids, w) in enumerate(((before, n), (before[n == 1], None), (before[n == 2], None), (before[n > 2], None), (after, None))):
         got, c = shared.distinct(ids.astype(U64), np.ones(len(ids), np.int64) if w is None else w)
+        if not len(got):
+            continue
         part = got.astype(np.int64) // model.segment
         at = np.flatnonzero(np.diff(part, prepend=-1))
         for x, y in zip(at, [*at[1:], len(got)], strict=True):

@@ -141,6 +141,8 @@ def widen(raw: bytes) -> np.ndarray:
 
 def cut(keys: np.ndarray, bucket_bits: int) -> Iterator[tuple[int, slice]]:
     """The buckets of sorted keys that hold any."""
+    if not len(keys):
+        return
     bucket = (keys >> U64(64 - bucket_bits)).astype(np.int64)
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(at, [*at[1:], len(keys)], strict=True):
