@@ -8,7 +8,8 @@ phrase begins depends on a few names around it, so equal substrings get equal ph
 whatever stands before them.
 
 A fingerprint is the 64 least 32-bit hashes among a text's distinct phrase names of level 2 and above
-(of a text below 256 code points, of level 1 too) and its whole text, in order. Of two fingerprints, the likeness is the share of the 64 least hashes
+(of a text below 256 code points, of level 1 too) and its whole text, in order. A run of n equal names
+counts n times, so that a line repeated over half a text weighs as much as it covers. Of two fingerprints, the likeness is the share of the 64 least hashes
 of both together that both have: an unbiased estimate of the share of phrases they have in common.
 """
 
@@ -53,8 +54,9 @@ def _labels(a: np.ndarray, first: np.ndarray) -> np.ndarray:
     return label
 
 
-def _phrases(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The next level of texts that are not empty."""
+def _phrases(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The next level of texts that are not empty; and for each further name of a run a name of its own,
+    with the number of its text."""
     new = np.empty(len(names), bool)
     new[0] = True
     new[1:] = names[1:] != names[:-1]
@@ -62,6 +64,11 @@ def _phrases(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, len(names)))
     names = names[at]
+    long = np.flatnonzero(length > 1)
+    nth = np.ones(int((length[long] - 1).sum()), np.int64)
+    nth[np.cumsum(length[long] - 1)[:-1]] -= length[long][:-1] - 1
+    more = mix(np.repeat(names[long], length[long] - 1) ^ mix(np.cumsum(nth).astype(U64)))
+    again = more, np.searchsorted(bounds, np.repeat(at[long], length[long] - 1), "right") - 1
     names = np.where(length > 1, mix(names * U64(3) + length.astype(U64)), names)
     bounds = np.searchsorted(at, bounds)
     first = bounds[:-1]
@@ -75,7 +82,7 @@ def _phrases(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     end = np.append(start[1:], len(names))
     power, inverse = powers(len(names) + 1)
     c = np.concatenate([np.zeros(1, U64), np.cumsum(names * power[: len(names)])])
-    return mix((c[end] - c[start]) * inverse[start] + (end - start).astype(U64)), np.searchsorted(start, bounds)
+    return mix((c[end] - c[start]) * inverse[start] + (end - start).astype(U64)), np.searchsorted(start, bounds), again
 
 
 def sketches(texts: list[str], kept: int = KEPT) -> list[np.ndarray]:
@@ -88,7 +95,9 @@ def sketches(texts: list[str], kept: int = KEPT) -> list[np.ndarray]:
         names = mix(np.frombuffer("".join(t for _, t in parts).encode("utf-32-le"), np.uint32).astype(U64) + U64(1))
         bounds = np.concatenate([[0], np.cumsum([len(t) for _, t in parts])])
         for level in range(1, LEVELS):
-            names, bounds = _phrases(names, bounds)
+            names, bounds, (more, of) = _phrases(names, bounds)
+            if level > 1:
+                found.append((owner[of], mix(more ^ U64(LEVELS + level))))
             if level < FIRST_LEVEL:
                 short = np.repeat(np.array([len(texts[k]) < SHORT for k in owner]), np.diff(bounds))
                 found.append((np.repeat(owner, np.diff(bounds))[short], mix(names[short] ^ U64(level))))
