@@ -4,8 +4,8 @@ The pieces and scores of a public model are given; nothing is trained. A text is
 characters; a space reads as U+2581 where pieces are matched. No piece has that sign after another
 character, so the best segmentation of a text is that of its words (a run of spaces and what follows
 up to the next). New words of a stretch of text are grouped by length, and words of one length
-advance together: for each end and each start before it, hashes of all their substrings probe the
-sorted piece keys, and vectorised maxima keep the best score and its start. Words that a worker has
+advance together: for blocks of ends, hashes of all substrings that end there probe the sorted piece
+keys, and at each end vectorised maxima keep the best score and its start. Words that a worker has
 met are remembered by their hashes.
 
 Segmentations have the greatest sum of scores; of equal ones, at each end the longest last piece.
@@ -107,6 +107,19 @@ class Pieces(PartEncoder):
                     out[k] = ids
         return np.array([len(x) for x in out], np.int64), np.concatenate(out)
 
+    def _probe(self, c: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the pieces that end there in each word, the longest first; -inf for none."""
+        gain = np.full((len(c), len(ends), self.longest), -np.inf)
+        ids = np.full(gain.shape, -1, np.int32)
+        for size in range(1, self.longest + 1):
+            e = ends[ends >= size]
+            h = self._key(c[:, e - size], c[:, e], e - size, size) if len(e) else np.zeros((len(c), 0), U64)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            held = self.keys[at] == h
+            gain[:, len(ends) - len(e) :, self.longest - size] = np.where(held, self.scores[at], -np.inf)
+            ids[:, len(ends) - len(e) :, self.longest - size] = np.where(held, self.ids[at], -1)
+        return gain, ids
+
     def viterbi(self, words: list[str], length: int) -> list[np.ndarray]:
         """The ids of words of one length."""
         n = len(words)
@@ -118,18 +131,20 @@ class Pieces(PartEncoder):
         best = np.zeros((n, length + 1))
         back = np.zeros((n, length + 1), np.int32)
         piece = np.full((n, length + 1), -1)
-        for e in range(1, length + 1):
-            top, start, found = np.full(n, -np.inf), np.zeros(n, np.int32), np.full(n, -1)
-            for s in range(max(0, e - self.longest), e):
-                h = self._key(c[:, s], c[:, e], s, e - s)
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                x = np.where(self.keys[at] == h, best[:, s] + self.scores[at], -np.inf)
-                better = x > top
-                top[better], start[better], found[better] = x[better], s, self.ids[at[better]]
-            spelled = best[:, e - 1] + self.unknown * width[:, e - 1]
-            better = spelled > top
-            top[better], start[better], found[better] = spelled[better], e - 1, -1
-            best[:, e], back[:, e], piece[:, e] = top, start, found
+        rows, block = np.arange(n), max(1, (1 << 20) // (n * self.longest))
+        for first in range(1, length + 1, block):
+            ends = np.arange(first, min(first + block, length + 1))
+            gain, ids = self._probe(c, ends)
+            for j, e in enumerate(ends.tolist()):
+                lo = max(0, e - self.longest)
+                x = best[:, lo:e] + gain[:, j, self.longest - e + lo :]
+                at = x.argmax(1)
+                top, found = x[rows, at], ids[rows, j, self.longest - e + lo + at]
+                spelled = best[:, e - 1] + self.unknown * width[:, e - 1]
+                worse = spelled > top
+                best[:, e] = np.where(worse, spelled, top)
+                back[:, e] = np.where(worse, e - 1, lo + at)
+                piece[:, e] = np.where(worse, -1, found)
         taken: list[list[int]] = [[] for _ in range(n)]
         row, pos = np.arange(n), np.full(n, length)
         while len(row):
