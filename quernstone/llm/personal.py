@@ -4,7 +4,8 @@ Seeds are what four fixed forms find: e-mail and IP addresses, card numbers that
 and international phone numbers. Every seed and every other token that looks like an identifier (it
 holds an @, a bracketed "at" or at least four digits) is an instance; the words before it, after it
 and around it are its patterns. Spark scores the graph of patterns and instances in rounds: a pattern
-is as sure of a kind as its distinct instances are, smoothed; it is trusted from a confidence of 0.9
+is as sure of a kind as its distinct instances are but for the one that it judges, smoothed (of n with
+s sure ones s / (n - 1 + 0.5)); it is trusted from a confidence of 0.9
 and five sure instances on; instances of trusted patterns are sure from then on and count for others.
 The trusted patterns, as sorted arrays in the shared folder, then discover identifiers of unseen
 form in a last pass over the texts. Base spans always stay.
@@ -150,7 +151,7 @@ def trusted_patterns(texts: DataFrame) -> DataFrame:
         scored = edges.join(known, "instance", "left").groupBy("pattern", "instance").agg(F.min("sure").alias("sure"), F.max("sure").alias("other"))
         scored = scored.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("sure").eqNullSafe(k) & F.col("other").eqNullSafe(k)).alias(f"k{k}") for k in range(4)))
         best = F.greatest(*(F.struct(F.col(f"k{k}").alias("sure"), F.lit(k).alias("kind")) for k in range(4)))
-        scored = scored.withColumn("best", best).where((F.col("best.sure") >= SUPPORT) & (F.col("best.sure") / (F.col("n") + 0.5) >= SURE))
+        scored = scored.withColumn("best", best).where((F.col("best.sure") >= SUPPORT) & (F.col("best.sure") / (F.col("n") - 0.5) >= SURE))
         trusted = shared.written(scored.select("pattern", F.col("best.kind").alias("kind")), "pii-patterns")
         fresh = edges.where("kind < 0").join(trusted.withColumnRenamed("kind", "sure"), "pattern").where("shiftright(fits, sure) % 2 = 1").select("instance", "sure")
         known = shared.written(known.union(fresh).distinct(), "pii-known")
