@@ -1,22 +1,29 @@
-"""SentencePiece encoding and decoding by a batched numpy Viterbi.
+"""SentencePiece encoding and decoding by batched numpy passes: merges for BPE models, else a Viterbi.
 
 The pieces and scores of a public model are given; nothing is trained. A text is one space and its
 characters; a space reads as U+2581 where pieces are matched. No piece has that sign after another
-character, so the best segmentation of a text is that of its words (a run of spaces and what follows
+character, so the segmentation of a text is that of its words (a run of spaces and what follows
 up to the next). New words of a stretch of text are grouped by length, and words of one length
-advance together: for blocks of ends, hashes of all substrings that end there probe the sorted piece
-keys, and at each end vectorised maxima keep the best score and its start. Words that a worker has
+advance together, by hashes of substrings that probe the sorted piece keys. Words that a worker has
 met are remembered by their hashes.
 
-Segmentations have the greatest sum of scores; of equal ones, at each end the longest last piece.
-A character that no piece of its own covers is spelled in byte pieces, at the least score less 10 a
-byte. Decoding is exact for every text: also U+2581 itself, which is always spelled in bytes.
+The scores of a BPE model order merges: characters are joined, each time the two neighbours whose
+piece has the greatest score, the leftmost of equal ones, until no two make a piece. Each round joins
+one pair of every word of a group; words above LONG characters are joined one by one, from a heap.
+
+Scores of other models are log-probabilities: segmentations have the greatest sum; of equal ones, at
+each end the longest last piece. For blocks of ends, vectorised maxima keep the best score and its
+start; a character that no piece of its own covers counts the least score less 10 a byte.
+
+Such a character is spelled in byte pieces. Decoding is exact for every text: also U+2581 itself,
+which is always spelled in bytes (the library reads it as a space).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,8 @@ from .tokens import PartEncoder
 SPACE = "▁"
 #: Stands for U+2581 in a text while pieces are matched; no piece has it.
 TAKEN = 0x10FFFF
+#: A word of more characters is merged by itself: a round for each merge of so few words costs more than a heap.
+LONG = 128
 
 
 def default_model() -> str:
@@ -46,7 +55,12 @@ class Pieces(PartEncoder):
     def __init__(self, path: str):
         super().__init__()
         from sentencepiece import SentencePieceProcessor
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
+        with open(path, "rb") as f:
+            trained = ModelProto.FromString(f.read()).trainer_spec
+        #: Whether scores order merges.
+        self.merges = trained.model_type == trained.BPE
         model = SentencePieceProcessor(model_file=path)
         size = model.vocab_size()
         names = [model.id_to_piece(i) for i in range(size)]
@@ -71,6 +85,9 @@ class Pieces(PartEncoder):
         order = np.argsort(h)
         self.keys, self.scores, self.ids = h[order], np.array(scores)[order], np.array(ids)[order]
         self.unknown = float(min(scores)) - 10
+        # for words merged by themselves: places in the order of merges, equal for equal scores, and ids
+        _, place = np.unique(-np.array(scores), return_inverse=True)
+        self.named = dict(zip(keys, zip(place.tolist(), ids, strict=True), strict=True))
         self.flat_bytes = np.frombuffer(b"".join(self.bytes_), np.uint8)
         self.sizes = np.array([len(x) for x in self.bytes_])
         self.places = np.cumsum(self.sizes) - self.sizes
@@ -99,11 +116,12 @@ class Pieces(PartEncoder):
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        segment = self.merge if self.merges else self.viterbi
         for length, rows in by_length.items():
             step = max(1, (1 << 18) // length)
             for at in range(0, len(rows), step):
                 group = rows[at : at + step]
-                for k, ids in zip(group, self.viterbi([words[k] for k in group], length), strict=True):
+                for k, ids in zip(group, segment([words[k] for k in group], length), strict=True):
                     out[k] = ids
         return np.array([len(x) for x in out], np.int64), np.concatenate(out)
 
@@ -158,6 +176,87 @@ class Pieces(PartEncoder):
             row, pos = row[pos > 0], pos[pos > 0]
         return [np.array(t[::-1], np.uint32) for t in taken]
 
+    def _pieces(self, c: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the pieces [start, end) of rows; -inf and -1 for none."""
+        if not len(start):
+            return np.zeros(0), np.zeros(0, np.int32)
+        h = self._key(c[row, start], c[row, end], start, end - start)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        held = self.keys[at] == h
+        return np.where(held, self.scores[at], -np.inf), np.where(held, self.ids[at], -1)
+
+    def merge(self, words: list[str], length: int) -> list[np.ndarray]:
+        """The ids of words of one length, by a BPE model's merges."""
+        if length > LONG:
+            return [self._merge_long(w) for w in words]
+        n = len(words)
+        w = _codes(words).reshape(n, length).copy()
+        w[w == ord(SPACE)] = TAKEN
+        w[w == 0x20] = ord(SPACE)
+        c = self._sums(w)
+        edges: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+        # of the words not yet done, which all have as many pieces: their rows, edges and pairs' scores
+        row, edge = np.arange(n), np.tile(np.arange(length + 1), (n, 1))
+        gain = self._pieces(c, np.repeat(row, length - 1), edge[:, :-2].ravel(), edge[:, 2:].ravel())[0].reshape(n, length - 1)
+        while len(row):
+            best = gain.argmax(1) if gain.shape[1] else np.zeros(len(row), np.int64)
+            more = gain[np.arange(len(row)), best] > -np.inf if gain.shape[1] else np.zeros(len(row), bool)
+            for r, e in zip(row[~more].tolist(), edge[~more], strict=True):
+                edges[r] = e
+            row, edge, gain, best = row[more], edge[more], gain[more], best[more]
+            if not len(row):
+                break
+            pairs, k = gain.shape[1], np.arange(len(row))
+            edge = edge[np.arange(pairs + 2) != best[:, None] + 1].reshape(len(row), pairs + 1)
+            gain = gain[np.arange(pairs) != best[:, None]].reshape(len(row), pairs - 1)
+            for at in (best - 1, best):
+                ok = (at >= 0) & (at < pairs - 1)
+                i, x = k[ok], at[ok]
+                if len(i):
+                    gain[i, x] = self._pieces(c, row[i], edge[i, x], edge[i, x + 2])[0]
+        sizes = np.array([len(e) - 1 for e in edges])
+        start, end = np.concatenate([e[:-1] for e in edges]), np.concatenate([e[1:] for e in edges])
+        row = np.repeat(np.arange(n), sizes)
+        ids = self._pieces(c, row, start, end)[1]
+        spelled = {k: list(words[row[k]][start[k]].encode()) for k in np.flatnonzero(ids < 0).tolist()}
+        count = np.ones(len(ids), np.int64)
+        count[list(spelled)] = [len(x) for x in spelled.values()]
+        out = np.repeat(ids, count)
+        at = np.cumsum(count) - count
+        for k, x in spelled.items():
+            out[at[k] : at[k] + len(x)] = self.byte_ids[x]
+        stop = np.cumsum(np.bincount(row, count, n).astype(np.int64))
+        return np.split(out.astype(np.uint32), stop[:-1])
+
+    def _merge_long(self, word: str) -> np.ndarray:
+        """merge() of one word: an entry of the heap is a pair's place in the order of merges, start and length."""
+        text, n = word.replace(SPACE, chr(TAKEN)).replace(" ", SPACE), len(word)
+        named, low = self.named, self.longest.bit_length()
+        mask, high = (1 << low) - 1, n.bit_length() + low
+        heap = [(named[text[i : i + 2]][0] << high) + (i << low) + 2 for i in range(n - 1) if text[i : i + 2] in named]
+        heapify(heap)
+        # by the start of a piece: its end (0 where none starts) and the start of the one before
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        while heap:
+            entry = heappop(heap)
+            i, size = (entry >> low) & ((1 << (high - low)) - 1), entry & mask
+            mid = end[i]
+            if not mid or mid == n or end[mid] != i + size:
+                continue
+            stop = i + size
+            end[i], end[mid], before[stop] = stop, 0, i
+            for a, z in ((before[i], stop), (i, end[stop] if stop < n else 0)):
+                if a >= 0 and 0 < z - a <= self.longest and (found := named.get(text[a:z])):
+                    heappush(heap, (found[0] << high) + (a << low) + z - a)
+        taken, i = [], 0
+        while i < n:
+            if found := named.get(text[i : end[i]]):
+                taken.append(found[1])
+            else:
+                taken += self.byte_ids[list(word[i].encode())].tolist()
+            i = end[i]
+        return np.array(taken, np.uint32)
+
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
         """The texts of rows of ids: row k is ids[edges[k]:edges[k + 1]]."""
         n = self.sizes[ids]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,26 @@ def test_sentencepiece(spark, docs, texts, odd, none):
         assert b"".join(coder.bytes_[i] for i in ids).decode() == word and sum(score[i] for i in ids) == pytest.approx(best[-1])
 
 
+def test_sentencepiece_ids_are_the_librarys(docs, texts):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=sentencepiece.default_model())
+    want = dict(zip(texts, model.encode(list(texts.values()), num_threads=1), strict=True))
+    found = by_id(sentencepiece.encode(docs))
+    assert all(found[i].ids == ids and found[i].n_ids == len(ids) for i, ids in want.items())
+    rng = np.random.default_rng(9)
+    signs = list("aehtinrs  .,éßж中①\n\t\x000")
+    odd = ["".join(rng.choice(signs, n)) for n in (1, 2, 7, 40, 127, 128, 129, 130, 3000) * 30]
+    odd += ["", "x", " ", "the document", *(" " * n for n in range(1, 150)), "thein" * 400, "a" * 5000, "<s></s><0x0A><unk>"]
+    coder = sentencepiece.pieces(sentencepiece.default_model())
+    got = [x.tolist() for x in coder.column(pa.array(odd))]
+    assert got == model.encode(odd, num_threads=1)
+    assert all(coder._merge_long(" " + t).tolist() == x for t, x in zip(odd, got, strict=True) if t)
+    for t in ("▁a\U0010ffff", "▁a\U0010ffff" * 99):  # the library takes U+2581 for a space
+        ids = next(coder.column(pa.array([t]))).astype(int)
+        assert coder.decode(ids, np.array([0, len(ids)]))[0].decode() == t
+
+
 def test_neighbours(spark, sf):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 17))
