@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that operator 6 links, the document of the smallest id stays."""
+    """Of each group of rows that operator 6 links, one of the smallest id stays."""
     return jaccard_join.keep_first(docs)
 
 

@@ -262,10 +262,18 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """documents without the rows that link to one of a smaller id; of rows with the same id and text
-    all stay or go together. Rows without an id stay."""
-    found = near_duplicates(documents).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(found, documents["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each component of linked rows: of the least id (rows without one come last), of equal
+    ids any one. Ids take no part in linking, so rows that share an id are judged each by its own text.
+    Rows without words link with nothing and all stay."""
+    spark, uri = documents.sparkSession, shared.folder(documents.sparkSession, "keyed")
+    # the keys hold once they are written; computed anew, they could go to other rows
+    keyed = documents.withColumn("_row", F.monotonically_increasing_id())
+    keyed.write.option("compression", "zstd").parquet(uri)
+    keyed = spark.read.schema(keyed.schema).parquet(uri)
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    kept = keyed.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return keyed.join(kept.select("_row"), "_row", "left_semi").select(documents.columns)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -246,6 +246,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192) -> Model:
 ROWS = "doc_id long, held_out boolean, score double, predicted int, evidence double, segments array<struct<start: long, end: long, expected: double>>"
 
 
+def _probability(m: Model, x: float) -> float:
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, m.intercept + m.slope * math.log1p(x)))))
+
+
 def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:
     m = model.value
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("expected", pa.float64())]))
@@ -253,7 +257,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterat
         out = []
         for _, n, found, _ in _texts(m, batch.column("text")):
             x, kept = evidence(m, found, n)
-            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, m.intercept + m.slope * math.log1p(x)))))
+            p = _probability(m, x)
             out.append((p, int(p >= threshold), x, [{"start": a, "end": b, "expected": e} for a, b, e in kept]))
         columns = zip(*out, strict=True) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.float64(), span), strict=True))], [x.split()[0] for x in ("doc_id", "held_out", "score", "predicted", "evidence", "segments")])
@@ -266,6 +270,11 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     return documents.select("doc_id", "held_out", "text").mapInArrow(partial(_score, model=documents.sparkSession.sparkContext.broadcast(model), threshold=threshold), ROWS)
 
 
+def learned(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Model:
+    """The model of the labels that are not held out."""
+    return fit(documents, labels.where(fold(F.col("doc_id"), folds) != held))
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """Learns from labels of documents whose crc32 of the id as text is not ``held`` modulo ``folds``;
     scores every document, from its text alone.
@@ -274,14 +283,22 @@ def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int
     toxic if either label says so. Repeated rows are scored alike; a null id counts as the empty text in
     the fold. An empty table gives no rows.
     """
-    model = fit(documents, labels.where(fold(F.col("doc_id"), folds) != held))
+    model = learned(documents, labels, folds, held)
     return score(documents.select("doc_id", "text", (fold(F.col("doc_id"), folds) == held).alias("held_out")), model)
 
 
-def reject(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents without those predicted toxic; rows without an id stay."""
-    gone = toxicity(documents, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+def _clean(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:
+    m = model.value
+    for batch in batches:
+        toxic = [_probability(m, evidence(m, found, n)[0]) >= threshold for _, n, found, _ in _texts(m, batch.column("text"))]
+        yield batch.filter(pa.array([not x for x in toxic], pa.bool_()))
+
+
+def reject(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """documents with all their columns, without the rows predicted toxic. Each row is judged by its own
+    text, whatever its id is and whether it has one."""
+    model = documents.sparkSession.sparkContext.broadcast(learned(documents, labels))
+    return documents.mapInArrow(partial(_clean, model=model, threshold=threshold), documents.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

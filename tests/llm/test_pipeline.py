@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -70,3 +71,30 @@ def test_odd_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
     assert docs.count() >= 4
+
+
+def test_rows_without_or_with_repeated_ids(spark, sf):
+    """One text of each group of copies passes all stages whole, whatever the ids are."""
+
+    def text(k):
+        return " ".join(f"word{(k * 7919 + i * 104729) % 99991}" for i in range(80))
+
+    rows = [(None, text(1)), (None, text(1)), (10, text(2)), (10, text(2)), (None, text(3)), (12, text(3)), (11, text(3)), (5, text(4)), (6, text(4)), (6, text(5)), (None, None), (None, None), (20, ""), (20, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        docs = spark.createDataFrame(after.collect(), after.schema)
+    whole = [(None, text(1)), (10, text(2)), (11, text(3)), (5, text(4)), (6, text(5))]
+    found = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [*whole, (None, ""), (None, ""), (20, ""), (20, "")]))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 9
+
+
+def test_toxic_rows_go_by_text(spark):
+    rows = [(i, " ".join(f"w{(i * 31 + k * 17) % 400}" for k in range(80)) + (" vilemark nastymark vilemark" if i % 5 == 0 else "")) for i in range(600)]
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(t.split()))) for i, t in rows]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    bad, good = rows[0][1], rows[1][1]
+    more = [(None, bad), (None, good), (9000, bad), (9000, good)]
+    after = toxicity.reject(spark.createDataFrame([*rows, *more], "doc_id long, text string"), labels)
+    assert [(r.doc_id, r.text) for r in after.where("doc_id is null or doc_id = 9000").collect()] == [(None, good), (9000, good)]
