@@ -7,8 +7,8 @@ phrases of two to a dozen names, and a hash of a phrase's names is its name at t
 phrase begins depends on a few names around it, so equal substrings get equal phrases inside,
 whatever stands before them.
 
-A fingerprint is the 64 least 32-bit hashes among a text's distinct phrase names of level 2 and above
-(of a text below 256 code points, of level 1 too) and its whole text, in order. A run of n equal names
+A fingerprint is the 64 least 32-bit hashes among a text's distinct phrase names of level 1 and above
+and its whole text, in order. A run of n equal names
 counts n times, so that a line repeated over half a text weighs as much as it covers. Of two fingerprints, the likeness is the share of the 64 least hashes
 of both together that both have: an unbiased estimate of the share of phrases they have in common.
 """
@@ -28,9 +28,6 @@ from .text import U64, mix, powers
 
 KEPT = 64
 LEVELS = 24
-FIRST_LEVEL = 2
-#: Below so many code points, the phrases of level 1 count as well.
-SHORT = 256
 #: Code points parsed together; a longer text is parsed in parts of this length.
 STRETCH = 1 << 18
 LONGEST = 1 << 20
@@ -98,11 +95,7 @@ def sketches(texts: list[str], kept: int = KEPT) -> list[np.ndarray]:
             names, bounds, (more, of) = _phrases(names, bounds)
             if level > 1:
                 found.append((owner[of], mix(more ^ U64(LEVELS + level))))
-            if level < FIRST_LEVEL:
-                short = np.repeat(np.array([len(texts[k]) < SHORT for k in owner]), np.diff(bounds))
-                found.append((np.repeat(owner, np.diff(bounds))[short], mix(names[short] ^ U64(level))))
-            else:
-                found.append((np.repeat(owner, np.diff(bounds)), mix(names ^ U64(level))))
+            found.append((np.repeat(owner, np.diff(bounds)), mix(names ^ U64(level))))
             size = np.diff(bounds)
             if size.max() <= 1:
                 break

@@ -136,6 +136,13 @@ def test_fingerprints_do_not_depend_on_the_offset():
     assert fingerprints.likeness(a, b) > 0.85
 
 
+def test_fingerprints_do_not_depend_on_a_length(texts):
+    long = [t for t in texts.values() if len(t) >= 260]
+    for n in range(250, 260):
+        a, b = (fingerprints.sketches([t[:k] for t in long]) for k in (n, n + 1))
+        assert min(map(fingerprints.likeness, a, b)) > 0.6
+
+
 def test_toxicity(spark, docs, sf, odd, none):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     found = toxicity.toxicity(docs, labels)
