@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quernstone.llm import jaccard_join, packing, personal, repeats, shared, toxicity
 
 
+#: Bytes of a repeated passage that goes: fifty words of four letters and a space.
+PASSAGE = 250
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """docs with n_chars, where it has that column, brought up to date."""
     if "n_chars" not in docs.columns:
@@ -30,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the characters that operator 7 finds repeated; no document goes."""
-    return _counted(repeats.remove_repeats(docs))
+    """Texts lose the passages of PASSAGE bytes and more that operator 7 finds again anywhere; no document goes."""
+    return _counted(repeats.remove_repeats(docs, PASSAGE))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

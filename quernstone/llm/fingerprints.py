@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .text import U64, mix, powers
 
 KEPT = 64
@@ -190,10 +191,10 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, np.array(batch.column("key")), "right"), pa.int64()), batch.column("key")], ["bucket", "key"])
 
     # one row a range of ids comes to the driver: a few for each task, however many documents there are
-    firsts = rows.select("key").mapInArrow(bucketed, "bucket long, key long").groupBy("bucket").agg(F.min("key").alias("key")).collect()
-    dealt = rows.mapInArrow(partial(_deal, bounds=bounds, firsts={r.bucket: r.key for r in firsts}), "bucket long, last boolean, key long, doc_id long, text string")
+    firsts = shared.mapped(rows.select("key"), bucketed, "bucket long, key long").groupBy("bucket").agg(F.min("key").alias("key")).collect()
+    dealt = shared.mapped(rows, partial(_deal, bounds=bounds, firsts={r.bucket: r.key for r in firsts}), "bucket long, last boolean, key long, doc_id long, text string")
     # a range lies in one partition, in order, and ends with the first of the next
-    return dealt.repartition(n // 8, "bucket").sortWithinPartitions("bucket", "last", "key", "text").mapInArrow(_compare, ROWS)
+    return shared.mapped(dealt.repartition(n // 8, "bucket").sortWithinPartitions("bucket", "last", "key", "text"), _compare, ROWS)
 
 
 def op3_document_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -204,7 +204,7 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
     pairs = groups.join(pivots, "group").where("set_id != pivot").select("set_id", "pivot").distinct()
     slim = classes.select("set_id", "n", "tokens")
     pairs = pairs.join(slim, "set_id").join(slim.select(F.col("set_id").alias("pivot"), F.col("n").alias("p_n"), F.col("tokens").alias("p_tokens")), "pivot")
-    first = shared.written(pairs.mapInArrow(pair, "a binary, b binary"), "links")
+    first = shared.written(shared.mapped(pairs, pair, "a binary, b binary"), "links")
     labels = components(first)
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
     named = classes.select("set_id", "prefix", F.col("groups")[0].cast("string").cast("binary").alias("group")).join(sized, F.col("set_id") == F.col("node"), "left")
@@ -244,16 +244,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     separate rows with the same id. An empty table gives no rows.
     """
     spark, texts = documents.sparkSession, documents.select("doc_id", "text")
-    store = Sorted(shared.folder(spark, "shingles"), shared.bits(spark), ("counts",))
-    counted = texts.mapInArrow(partial(shared.counted, hashes=partial(_shingles, size=size), bucket_bits=store.bits), shared.PACKED)
+    store = Sorted(shared.folder(spark, "shingles"), shared.bits(texts), ("counts",))
+    counted = shared.mapped(texts, partial(shared.counted, hashes=partial(_shingles, size=size), bucket_bits=store.bits), shared.PACKED)
     counted.groupBy("bucket").applyInArrow(shared.with_args(_keep_shared, store=store), "bucket int, n long").agg(F.sum("n")).collect()
-    described = shared.written(texts.mapInArrow(partial(_describe, store=store, size=size, percent=percent), SETS), "sets")
+    described = shared.written(shared.mapped(texts, partial(_describe, store=store, size=size, percent=percent), SETS), "sets")
     slim = described.select("doc_id", "n_shingles", "set_id")
     classes = slim.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     # one row of each class: the one with the least id
     known = described.where("tokens is not null").select("set_id", "n_shingles", "tokens", "frequencies", F.col("doc_id").alias("first_id"))
     known = known.join(classes, (known.set_id == classes.set_id) & known.first_id.eqNullSafe(classes.first_id)).select(known.set_id, "n_shingles", "tokens", "frequencies", "copies").dropDuplicates(["set_id"])
-    prepared = shared.written(known.mapInArrow(partial(_prepare, percent=percent), "set_id binary, n long, richness double, tokens binary, prefix array<long>, groups array<long>"), "classes")
+    prepared = shared.written(shared.mapped(known, partial(_prepare, percent=percent), "set_id binary, n long, richness double, tokens binary, prefix array<long>, groups array<long>"), "classes")
     labels = components(links(prepared, percent))
     joined = classes.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "first_id", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))

@@ -73,8 +73,8 @@ def _arrow(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBat
 class Model:
     """What scoring needs: where the arrays are, and a few totals."""
 
-    def __init__(self, spark, bucket_bits: int | None = None):
-        self.bits = bucket_bits or shared.bits(spark)
+    def __init__(self, spark, bits: int):
+        self.bits = bits
         self.words = Sorted(shared.folder(spark, "lm-words"), self.bits, ("counts",))
         self.pairs = Sorted(shared.folder(spark, "lm-pairs"), self.bits, ("counts",))
         self.by_word = shared.folder(spark, "lm-by-word")
@@ -187,8 +187,8 @@ def _segment_schema() -> pa.Schema:
 def fit(texts: DataFrame) -> Model:
     """The model of a column ``text``; a null text counts as empty, no texts give a model that knows no word."""
     spark = texts.sparkSession
-    model, texts = Model(spark), texts.select("text")
-    seen = texts.mapInArrow(partial(shared.counted, hashes=_word_hashes, bucket_bits=model.bits), shared.PACKED)
+    model, texts = Model(spark, shared.bits(texts)), texts.select("text")
+    seen = shared.mapped(texts, partial(shared.counted, hashes=_word_hashes, bucket_bits=model.bits), shared.PACKED)
     totals = seen.groupBy("bucket").applyInArrow(shared.with_args(_write_words, model=model), STATS).collect()
     types = np.zeros(1 << model.bits, np.int64)
     for r in totals:
@@ -199,7 +199,7 @@ def fit(texts: DataFrame) -> Model:
         raise ValueError("more than 2**32 distinct words: a bigram's key would not hold both ids")
     if not totals:
         return model
-    pairs = texts.mapInArrow(partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.bits), shared.PACKED)
+    pairs = shared.mapped(texts, partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.bits), shared.PACKED)
     parts = pairs.groupBy("bucket").applyInArrow(shared.with_args(_write_pairs, model=model), PARTS)
     segments = parts.groupBy("segment").applyInArrow(shared.with_args(_write_segment, model=model), "segment long, types long, t1 long, t2 long, t3 long, t4 long, n1 long, n2 long, n3 long, n4 long").collect()
     model.types = sum(r.types for r in segments)
@@ -246,7 +246,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Adds to doc_id and held_out each text's tokens, known tokens, unigram score and model score (log10)."""
-    return documents.select("doc_id", "held_out", "text").mapInArrow(partial(_score, model=model), RESULT)
+    return shared.mapped(documents.select("doc_id", "held_out", "text"), partial(_score, model=model), RESULT)
 
 
 def held_out_scores(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:

@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 4
     def indexed(batches):
         return _index(batches, books.value, weight, dimension)
 
-    index = shared.written(clean.withColumn("same", F.xxhash64("embedding")).mapInArrow(indexed, "vec_id long, same long, codes binary, half_norm double, vector binary"), "vectors")
+    index = shared.written(shared.mapped(clean.withColumn("same", F.xxhash64("embedding")), indexed, "vec_id long, same long, codes binary, half_norm double, vector binary"), "vectors")
     blocks, chunks = -(-index.count() // ROWS), max(1, -(-asked.count() // ASKED))
     row = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "*")
     query = asked.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("vec_id").alias("query_id"), "query")

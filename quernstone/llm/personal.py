@@ -144,7 +144,7 @@ def _write_patterns(table: pa.Table, store: Sorted) -> pa.Table:
 
 def trusted_patterns(texts: DataFrame) -> DataFrame:
     """(pattern, kind) that the rounds have come to trust."""
-    edges = shared.written(texts.select("text").mapInArrow(_graph, "instance long, kind int, pattern long, fits int").distinct(), "pii-graph")
+    edges = shared.written(shared.mapped(texts.select("text"), _graph, "instance long, kind int, pattern long, fits int").distinct(), "pii-graph")
     known = edges.where("kind >= 0").select("instance", F.col("kind").alias("sure")).distinct()
     trusted = None
     for _ in range(ROUNDS):
@@ -161,7 +161,7 @@ def trusted_patterns(texts: DataFrame) -> DataFrame:
 def discover(texts: DataFrame) -> Sorted:
     """The trusted patterns of these texts as sorted arrays."""
     spark = texts.sparkSession
-    store = Sorted(shared.folder(spark, "pii"), shared.bits(spark), ("kinds",))
+    store = Sorted(shared.folder(spark, "pii"), shared.bits(texts), ("kinds",))
     found = trusted_patterns(texts).select(F.expr(f"int(shiftrightunsigned(pattern, {64 - store.bits}))").alias("bucket"), "pattern", "kind")
     found.groupBy("bucket").applyInArrow(shared.with_args(_write_patterns, store=store), "bucket int, n long").agg(F.sum("n")).collect()
     return store
@@ -206,7 +206,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
     A null text counts as empty and has no spans. Repeated rows get the same spans and count as one
     instance. Other columns are ignored. An empty table gives no rows.
     """
-    return documents.select("doc_id", "text").mapInArrow(partial(_report, store=discover(documents)), ROWS)
+    return shared.mapped(documents.select("doc_id", "text"), partial(_report, store=discover(documents)), ROWS)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -228,7 +228,7 @@ def _mask(batches: Iterator[pa.RecordBatch], store: Sorted) -> Iterator[pa.Recor
 
 def mask(documents: DataFrame) -> DataFrame:
     """documents with all their columns, their texts without personal data; a null text stays null."""
-    return documents.mapInArrow(partial(_mask, store=discover(documents)), documents.schema)
+    return shared.mapped(documents, partial(_mask, store=discover(documents)), documents.schema)
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

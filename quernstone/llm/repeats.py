@@ -97,8 +97,9 @@ def stretches(column: pa.Array, length: int) -> Iterator[tuple[int, int, int, np
 
 
 class Index:
-    def __init__(self, spark, length: int):
-        self.length, self.bits = length, shared.bits(spark)
+    def __init__(self, texts: DataFrame, length: int):
+        spark = texts.sparkSession
+        self.length, self.bits = length, shared.bits(texts)
         self.several = Sorted(shared.folder(spark, "repeats-several"), self.bits)
         self.twice = Sorted(shared.folder(spark, "repeats-twice"), self.bits)
         self.suffixes = Sorted(shared.folder(spark, "repeats-suffixes"), self.bits)
@@ -136,7 +137,7 @@ def _count_phrases(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[
         for *_, p in index.phrases(batch.column("text")):
             if len(p.key):
                 held.append((p.key, p.phrase, np.ones(len(p.key), np.int64)))
-        if sum(len(x[0]) for x in held) >= shared.HELD // 2:
+        if sum(len(x[0]) for x in held) >= shared.HELD:
             yield sent()
     if held:
         yield sent()
@@ -168,10 +169,10 @@ def _merge_suffixes(table: pa.Table, index: Index) -> pa.Table:
 
 
 def build(texts: DataFrame, length: int = 400) -> Index:
-    index, texts = Index(texts.sparkSession, length), texts.select("text")
-    found = texts.mapInArrow(partial(_count_phrases, index=index), PHRASES)
+    index, texts = Index(texts, length), texts.select("text")
+    found = shared.mapped(texts, partial(_count_phrases, index=index), PHRASES)
     found.groupBy("bucket").applyInArrow(shared.with_args(_merge_phrases, index=index), "bucket int, n long").agg(F.sum("n")).collect()
-    found = texts.mapInArrow(partial(shared.counted, hashes=partial(_suffix_counts, index=index), bucket_bits=index.bits), shared.PACKED)
+    found = shared.mapped(texts, partial(shared.counted, hashes=partial(_suffix_counts, index=index), bucket_bits=index.bits), shared.PACKED)
     found.groupBy("bucket").applyInArrow(shared.with_args(_merge_suffixes, index=index), "bucket int, n long").agg(F.sum("n")).collect()
     return index
 
@@ -254,7 +255,7 @@ def repeated_spans(documents: DataFrame, length: int = 400) -> DataFrame:
     ignored. An empty table gives no rows.
     """
     index = build(documents, length)
-    return documents.select("doc_id", "text").mapInArrow(partial(_digest, index=index), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    return shared.mapped(documents.select("doc_id", "text"), partial(_digest, index=index), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], index: Index, name: str) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def _cut(batches: Iterator[pa.RecordBatch], index: Index, name: str) -> Iterator
 def remove_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
     """documents with all their columns, their texts without the repeated bytes (whole characters only;
     a null text becomes empty)."""
-    return documents.mapInArrow(partial(_cut, index=build(documents, length), name="text"), documents.schema)
+    return shared.mapped(documents, partial(_cut, index=build(documents, length), name="text"), documents.schema)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

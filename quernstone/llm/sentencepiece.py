@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import shared
 from .text import U64, mix, powers
 from .tokens import PartEncoder
 
@@ -295,7 +296,7 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
     A null or empty text has no ids. Repeated rows are encoded alike, other columns ignored. An empty
     table gives no rows.
     """
-    return documents.select("doc_id", "text").mapInArrow(partial(_encode, model=model or default_model()), ROWS)
+    return shared.mapped(documents.select("doc_id", "text"), partial(_encode, model=model or default_model()), ROWS)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -308,7 +309,7 @@ def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text of rows of doc_id and ids; null ids give the empty text."""
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, model=model or default_model()), "doc_id long, text string")
+    return shared.mapped(encoded.select("doc_id", "ids"), partial(_decode, model=model or default_model()), "doc_id long, text string")
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:

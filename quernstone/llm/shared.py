@@ -11,30 +11,42 @@ costs one entry a task.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Entries that a map task gathers before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 PACKED = "bucket int, keys binary, counts binary"
+#: Bytes of text whose hashes share a bucket, about.
+BUCKET = 16 << 20
+MOST_BITS = 18
+#: Bytes of an Arrow batch, unless the session asks for other than Spark's default of 64 MB.
+BATCH = 4 << 20
+#: Bytes of arrays that a worker holds where they can't be mapped.
+HELD_BYTES = 128 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir (a temporary one where that is unset, as in tests).
-
-    It is removed when the driver ends.
+    """A new folder's URI under spark.checkpoint.dir, removed when the driver ends. Where that is unset, a
+    single machine takes a temporary folder, as in tests; a cluster has to name one that all share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     uri = f"{base if '://' in base or base.startswith('file:') else f'file://{base}'}/{name}-{uuid.uuid4().hex}"
@@ -75,21 +87,47 @@ def save(uri: str, name: str, array: np.ndarray) -> None:
 
 
 def load(uri: str, name: str) -> np.ndarray:
-    """Maps an array that save() wrote; from a store without a mount it is first copied, and the copy unlinked."""
+    """Maps an array that save() wrote; from a store without a mount it is read into memory."""
     if path := local(uri):
         return np.load(f"{path}/{name}.npy", mmap_mode="r")
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(f"{path}/{name}.npy") as f, tempfile.NamedTemporaryFile() as copy:
-        shutil.copyfileobj(f, copy)
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")
+    with store.open_input_stream(f"{path}/{name}.npy") as f:
+        return np.lib.format.read_array(pa.PythonFile(f, "r"))
+
+
+def bits(texts: DataFrame, column: str = "text") -> int:
+    """Leading bits that name a bucket: enough for one bucket each BUCKET bytes of a text column, which
+    are measured, and for two buckets each shuffle partition; 18 at most."""
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    least = max(size // BUCKET, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(MOST_BITS, max(6, (least - 1).bit_length()))
+
+
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system, as the worker waits for the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _released(batches: Iterator[pa.RecordBatch], f: Callable) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from f(batches)
+    finally:
+        release()
 
 
-def bits(spark: SparkSession) -> int:
-    """Leading bits that name a bucket: at least two buckets for each shuffle partition."""
-    return max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of bounded bytes, after which a worker gives its memory back."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) in ("67108864b", "64MB"):
+        conf.set(_BATCH, f"{BATCH}b")
+    return df.mapInArrow(partial(_released, f=f), schema)
 
 
 def distinct(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +242,8 @@ class Sorted:
                 self._open[b] = tuple(load(self.uri, f"{b}-{name}") for name in ("keys", *self.values))
             except FileNotFoundError:  # no key has these leading bits
                 self._open[b] = ()
+            if not local(self.uri) and sum(x.nbytes for have in self._open.values() for x in have) > HELD_BYTES:
+                self._open = {b: self._open[b]}  # what isn't mapped takes memory
         return self._open[b]
 
     def find(self, keys: np.ndarray, *missing: int | float) -> list[np.ndarray]:
@@ -225,6 +265,9 @@ def with_args(f: Callable, *args, **named) -> Callable[[pa.Table], pa.Table]:
     """f with the later arguments given, as a plain function (applyInArrow inspects its signature)."""
 
     def g(table):
-        return f(table, *args, **named)
+        try:
+            return f(table, *args, **named)
+        finally:
+            release()
 
     return g

@@ -17,8 +17,8 @@ import pyarrow as pa
 
 from .text import U64, buffers, rolling, runs, spans_hash
 
-#: Parts remembered by a worker before it starts anew.
-REMEMBERED = 2_000_000
+#: Bytes of remembered parts, about, at which a worker starts anew.
+REMEMBERED = 16 << 20
 STRETCH = 1 << 20
 # white space and control characters; leading bytes of characters that may be white space
 _ODD = np.zeros(256, bool)
@@ -96,7 +96,7 @@ class PartEncoder:
         """The ids of each text; null counts as empty."""
         data, offsets = buffers(column)
         for i, j in runs(offsets, STRETCH):
-            if len(self.old[0]) > REMEMBERED:
+            if 24 * len(self.old[0]) + self.flat.nbytes > REMEMBERED:
                 self.forget()
             b, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if not len(b):

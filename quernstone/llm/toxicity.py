@@ -204,14 +204,14 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192) -> Model:
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     # at most twice ``sample`` rows of two numbers
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    rows = rows.select("toxic", "text").mapInArrow(_least_hashes, "toxic long, text string, m0 long, m1 long, m2 long")
+    rows = shared.mapped(rows.select("toxic", "text"), _least_hashes, "toxic long, text string, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):
         rows = rows.groupBy(m).agg(F.max(F.struct("toxic", "text", *sorted({"m0", "m1", "m2"} - {m}))).alias("row")).select("row.*", m)
     rows = rows.select("toxic", "text")
     rows = shared.written(rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
     n = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
-    bits = shared.bits(spark)
-    found = rows.mapInArrow(partial(_sample_counts, bucket_bits=bits), shared.PACKED).groupBy("bucket").applyInArrow(shared.with_args(_frequent), "bucket int, keys binary, counts binary").collect()
+    bits = shared.bits(rows)
+    found = shared.mapped(rows, partial(_sample_counts, bucket_bits=bits), shared.PACKED).groupBy("bucket").applyInArrow(shared.with_args(_frequent), "bucket int, keys binary, counts binary").collect()
     key = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["keys"], U64) for r in found)])
     count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in found)])
     keys, at = np.unique(key & ~U64(3), return_inverse=True)
@@ -225,7 +225,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192) -> Model:
         return Model(*log_odds(keys[enough], t[enough], c[enough], texts))
 
     both = spark.sparkContext.broadcast([model((0,)), model((1,))])
-    seen = rows.mapInArrow(partial(_calibration, models=both), "toxic long, n long, segments array<double>, bins array<double>, counts array<long>")
+    seen = shared.mapped(rows, partial(_calibration, models=both), "toxic long, n long, segments array<double>, bins array<double>, counts array<long>")
     seen = seen.toArrow()  # a row for each text of the sample
     toxic, words = np.array(seen.column("toxic")), np.array(seen.column("n"))
     scores = seen.column("segments").to_pylist()
@@ -267,7 +267,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     """One row for each row of documents (doc_id, held_out, text): the probability of toxicity, whether
     it reaches the threshold, the evidence, and the significant segments in words. A null or empty text
     has none and so the least probability."""
-    return documents.select("doc_id", "held_out", "text").mapInArrow(partial(_score, model=documents.sparkSession.sparkContext.broadcast(model), threshold=threshold), ROWS)
+    return shared.mapped(documents.select("doc_id", "held_out", "text"), partial(_score, model=documents.sparkSession.sparkContext.broadcast(model), threshold=threshold), ROWS)
 
 
 def learned(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Model:
@@ -298,7 +298,7 @@ def reject(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> D
     """documents with all their columns, without the rows predicted toxic. Each row is judged by its own
     text, whatever its id is and whether it has one."""
     model = documents.sparkSession.sparkContext.broadcast(learned(documents, labels))
-    return documents.mapInArrow(partial(_clean, model=model, threshold=threshold), documents.schema)
+    return shared.mapped(documents, partial(_clean, model=model, threshold=threshold), documents.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_repeats(stages):
     before, after = stages["suffix_array_dedup"]
     a, b = rows(before), rows(after)
     assert set(a) == set(b)
-    for r in repeats.repeated_spans(before).collect():
+    for r in repeats.repeated_spans(before, corpus_pipeline.PASSAGE).collect():
         raw = a[r.doc_id].text.encode()
         lost = len(raw) - len(b[r.doc_id].text.encode())
         assert r.n_removed - 6 * r.n_spans <= lost <= r.n_removed and b[r.doc_id].n_chars == len(b[r.doc_id].text)
