@@ -2,22 +2,26 @@
 
 1. From a bounded sample of labelled texts (8,192 a class at most, the parameter ``sample``; those with
    the least hashes of their ids; of texts that share one of three minimum hashes of their shingles,
-   as copies do, one) come the log-odds of words and of words'
-   first 4, 5 and 6 bytes between the classes, each with a Dirichlet prior from both classes together
-   and, to be sure of them, less 2.5 standard deviations and a margin. A word scores by the longest of these that the
-   sample has often enough; all else scores nothing, and every word costs a small drift.
+   as copies do, one) come the log-odds of words and of words' first 4, 5 and 6 bytes between the
+   classes (the ``most`` features that most texts have), with a Dirichlet prior from both classes
+   pooled: each class counts as if it had a tenth as many texts again, with a feature as often as both
+   together have it. To be sure of them, they lose 2.5 standard deviations and a margin. A word
+   scores by the longest of its features that the sample has often enough; all else scores nothing,
+   and every word costs a small drift.
 2. A linear scan finds all maximal-scoring segments of a text (Ruzzo and Tompa). Only words
    that score above zero are looped over; what lies between is a difference of running sums.
 3. In clean text the number of segments that reach S is about K n exp(-lambda S) (Karlin and Altschul):
    lambda comes from the clean words' scores, K from the clean texts' segments. A segment expected
    less than once in a text is significant; a text's evidence is the sum of -log of these expectations.
 4. A logistic curve makes a probability of log(1 + evidence). It is fitted on the sample, where each half
-   is scored by the other half's log-odds, and corrected to the classes' shares among all labels.
+   is scored by the other half's log-odds, and corrected to the classes' shares among all labels. The
+   margin is the one of MARGINS with which these halves have the least logistic loss.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -35,12 +39,14 @@ from .text import U64, mix, word_hashes
 PREFIXES = (4, 5, 6)
 #: Texts of the sample that must have a feature.
 SEEN = 4
-PRIOR = 1.0
+#: Texts of the prior for each text of the sample.
+PRIOR = 0.1
 DEVIATIONS = 2.5
-#: Log-odds that count as none: classes differ a little in their languages and lengths, and in a large
+#: Log-odds that may count as none: classes differ a little in their languages and lengths, and in a large
 #: sample every common word is sure to be a little likelier in one of them.
-MARGIN = 0.7
+MARGINS = (0.3, 0.6, 0.9, 1.2)
 DRIFT = 0.1
+COUNTS = "key long, n0 long, n1 long, n2 long, n3 long"
 
 
 @dataclass
@@ -73,21 +79,24 @@ def _sample_counts(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Itera
 
 
 def _frequent(table: pa.Table) -> pa.Table:
-    b, k, n = shared.merge(table)
-    key = k & ~U64(3)
+    """Of one bucket the features that several texts have: the texts of each half and class."""
+    _, k, n = shared.merge(table)
+    key, code = k & ~U64(3), (k & U64(3)).astype(int)
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    some = np.repeat(np.add.reduceat(n, at) >= SEEN, np.diff(np.append(at, len(k))))
-    return pa.table({"bucket": pa.array([b], pa.int32()), "keys": [k[some].tobytes()], "counts": [n[some].tobytes()]})
+    counts = np.zeros((4, len(at)), np.int64)
+    np.add.at(counts, (code, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(k))))), n)
+    some = counts.sum(0) >= SEEN
+    return pa.table([key[at][some].view(np.int64), *counts[:, some]], ["key", "n0", "n1", "n2", "n3"])
 
 
-def log_odds(keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds between the classes, brought towards zero by their deviations."""
+def log_odds(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], margin: float) -> np.ndarray:
+    """Log-odds of features between the classes, by the texts that have them, brought towards zero by
+    their deviations and the margin."""
     t, c = max(texts[0], 1), max(texts[1], 1)
     share = (toxic + clean) / (t + c)
-    prior = 2 * PRIOR * share / np.maximum(share, 1e-12)
-    a, b = toxic + prior * t / (t + c), clean + prior * c / (t + c)
+    a, b = toxic + PRIOR * t * share, clean + PRIOR * c * share
     d = np.log(a / b) - math.log(t / c)
-    return keys, np.sign(d) * np.maximum(np.abs(d) - DEVIATIONS * np.sqrt(1 / a + 1 / b) - MARGIN, 0)
+    return np.sign(d) * np.maximum(np.abs(d) - DEVIATIONS * np.sqrt(1 / a + 1 / b) - margin, 0)
 
 
 def word_scores(model: Model, hs: list[np.ndarray]) -> np.ndarray:
@@ -106,19 +115,21 @@ def word_scores(model: Model, hs: list[np.ndarray]) -> np.ndarray:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments [start, end) with their scores, in one pass over the positive scores."""
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    held: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
-    for k in np.flatnonzero(scores > 0).tolist():
-        lo, hi, left, right = k, k + 1, float(total[k]), float(total[k + 1])
+    some = np.flatnonzero(scores > 0)
+    # start, end, sum before, sum after, and the place of the last one before it with a smaller sum before
+    held: list[tuple[int, int, float, float, int]] = []
+    for k, left, right in zip(some.tolist(), total[some].tolist(), total[some + 1].tolist(), strict=True):
+        lo, j = k, len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= right:
-                held.append((lo, hi, left, right))
+                held.append((lo, k + 1, left, right, j))
                 break
-            lo, left = held[j][0], held[j][2]
+            lo, _, left, _, before = held[j]
             del held[j:]
-    return [(a, b, y - x) for a, b, x, y in held]
+            j = before
+    return [(a, b, y - x) for a, b, x, y, _ in held]
 
 
 def evidence(model: Model, found: list[tuple[int, int, float]], n: int) -> tuple[float, list[tuple[int, int, float]]]:
@@ -139,19 +150,24 @@ def _texts(model: Model, column: pa.Array) -> Iterator[tuple[int, int, list, np.
 
 
 def _calibration(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
-    """Of each sampled text its class, words, the scores of its segments, and a histogram of its words'."""
+    """Of each sampled text and margin its class, words and the scores of its segments; and, one row a
+    batch, half and margin, a histogram of the clean words' scores (its class is null)."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
     for batch in batches:
-        half, toxic = np.array(batch.column("half")), batch.column("toxic").to_pylist()
+        half, toxic = np.array(batch.column("half")), np.array(batch.column("toxic"))
         for fold in (0, 1):
             rows = np.flatnonzero(half == fold)
-            part = batch.take(pa.array(rows))
-            out = []
-            for k, n, found, x in _texts(models.value[1 - fold], part.column("text")):
-                bins, counts = np.unique(np.round(x, 2), return_counts=True)
-                out.append((toxic[rows[k]], n, [s for *_, s in found], bins.tolist(), counts.tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["toxic", "n", "segments", "bins", "counts"])
+            column = batch.column("text").take(pa.array(rows))
+            for m, pair in enumerate(models.value):
+                out, words = [], Counter()
+                for k, n, found, x in _texts(pair[1 - fold], column):
+                    y = int(toxic[rows[k]])
+                    out.append((m, y, n, [s for *_, s in found], [], []))
+                    if not y:
+                        bins, counts = np.unique(np.round(x, 2), return_counts=True)
+                        words.update(dict(zip(bins.tolist(), counts.tolist(), strict=True)))
+                out.append((m, None, 0, [], list(words), list(words.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["margin", "toxic", "n", "segments", "bins", "counts"])
 
 
 def karlin_rate(bins: np.ndarray, share: np.ndarray) -> float:
@@ -193,7 +209,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192) -> Model:
+def calibrated(model: Model, seen: pa.Table, size: dict[int, int]) -> float:
+    """Sets the model's rate, k, intercept and slope by _calibration()'s rows; returns the logistic loss."""
+    hist = seen.filter(pc.is_null(seen.column("toxic")))
+    bins, counts = (np.array([x for row in hist.column(c).to_pylist() for x in row]) for c in ("bins", "counts"))
+    seen = seen.filter(pc.is_valid(seen.column("toxic")))
+    toxic, words, scores = np.array(seen.column("toxic")), np.array(seen.column("n")), seen.column("segments").to_pylist()
+    if len(bins):
+        model.rate = karlin_rate(bins, counts / counts.sum())
+    reach = sum(model.rate * s >= 1 for row, y in zip(scores, toxic, strict=True) if y == 0 for s in row)
+    model.k = max(reach * math.e / max(int(words[toxic == 0].sum()), 1), 1e-6)
+    x = np.log1p([evidence(model, [(0, 0, s) for s in row], int(m))[0] for row, m in zip(scores, words, strict=True)])
+    weight = np.array([size[y] / sum(size.values()) * len(toxic) / max((toxic == y).sum(), 1) for y in (0, 1)])[toxic]
+    model.intercept, model.slope = logistic(x, toxic, weight)
+    return float((weight * np.logaddexp(0, (1 - 2 * toxic) * (model.intercept + model.slope * x))).sum())
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192, most: int = 1 << 18) -> Model:
     """labels: doc_id and toxic (0 or 1; others and nulls are left out). Without labels of both classes
     the model finds nothing toxic."""
     spark = documents.sparkSession
@@ -207,40 +239,31 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192) -> Model:
     rows = shared.mapped(rows.select("toxic", "text"), _least_hashes, "toxic long, text string, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):
         rows = rows.groupBy(m).agg(F.max(F.struct("toxic", "text", *sorted({"m0", "m1", "m2"} - {m}))).alias("row")).select("row.*", m)
-    rows = rows.select("toxic", "text")
-    rows = shared.written(rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
+    rows = shared.written(rows.select("toxic", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")), "toxic-sample")
     n = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
-    bits = shared.bits(rows)
-    found = shared.mapped(rows, partial(_sample_counts, bucket_bits=bits), shared.PACKED).groupBy("bucket").applyInArrow(shared.with_args(_frequent), "bucket int, keys binary, counts binary").collect()
-    key = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["keys"], U64) for r in found)])
-    count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in found)])
-    keys, at = np.unique(key & ~U64(3), return_inverse=True)
-    table = np.zeros((4, len(keys)))
-    np.add.at(table, ((key & U64(3)).astype(int), at), count)
-
-    def model(halves: tuple[int, ...]) -> Model:
+    found = shared.mapped(rows, partial(_sample_counts, bucket_bits=shared.bits(rows)), shared.PACKED).groupBy("bucket").applyInArrow(shared.with_args(_frequent), COUNTS)
+    # at most ``most`` rows of five numbers
+    found = found.orderBy(F.desc(F.expr("n0 + n1 + n2 + n3")), "key").limit(most).toArrow()
+    keys = np.array(found.column("key")).view(U64)
+    order = np.argsort(keys)
+    keys, table = keys[order], np.stack([np.array(found.column(f"n{k}"))[order] for k in range(4)])
+
+    def model(halves: tuple[int, ...], margin: float) -> Model:
         t, c = (sum(table[2 * h + y] for h in halves) for y in (1, 0))
         enough = t + c >= max(2, SEEN * len(halves) // 2)
         texts = tuple(sum(n.get((h, y), 0) for h in halves) for y in (1, 0))
-        return Model(*log_odds(keys[enough], t[enough], c[enough], texts))
-
-    both = spark.sparkContext.broadcast([model((0,)), model((1,))])
-    seen = shared.mapped(rows, partial(_calibration, models=both), "toxic long, n long, segments array<double>, bins array<double>, counts array<long>")
-    seen = seen.toArrow()  # a row for each text of the sample
-    toxic, words = np.array(seen.column("toxic")), np.array(seen.column("n"))
-    scores = seen.column("segments").to_pylist()
-    clean = pa.table(seen).filter(pa.array(toxic == 0))
-    bins, counts = (np.array([x for row in clean.column(c).to_pylist() for x in row]) for c in ("bins", "counts"))
-    out = model((0, 1))
-    if len(bins):
-        out.rate = karlin_rate(bins, counts / counts.sum())
-    reach = [s for row, y in zip(scores, toxic, strict=True) if y == 0 for s in row if out.rate * s >= 1]
-    out.k = max(len(reach) * math.e / max(int(words[toxic == 0].sum()), 1), 1e-6)
-    x = np.array([evidence(out, [(0, 0, s) for s in row], int(m))[0] for row, m in zip(scores, words, strict=True)])
-    total = sum(size.values())
-    weight = np.array([size[y] / total * len(toxic) / max((toxic == y).sum(), 1) for y in (0, 1)])[toxic]
-    out.intercept, out.slope = logistic(np.log1p(x), toxic, weight)
-    return out
+        return Model(keys[enough], log_odds(t[enough], c[enough], texts, margin))
+
+    pairs = spark.sparkContext.broadcast([(model((0,), m), model((1,), m)) for m in MARGINS])
+    # a row for each text of the sample and margin
+    seen = shared.mapped(rows, partial(_calibration, models=pairs), "margin long, toxic long, n long, segments array<double>, bins array<double>, counts array<long>").toArrow()
+    best: tuple[float, Model] | None = None
+    for m, margin in enumerate(MARGINS):
+        made = model((0, 1), margin)
+        loss = calibrated(made, seen.filter(pc.equal(seen.column("margin"), m)), size)
+        if best is None or loss < best[0]:
+            best = loss, made
+    return best[1]
 
 
 ROWS = "doc_id long, held_out boolean, score double, predicted int, evidence double, segments array<struct<start: long, end: long, expected: double>>"

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -171,6 +172,23 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.segments(x)] == brute(0, len(x))
 
 
+def test_segments_are_linear():
+    rng = np.random.default_rng(2)
+    for x in (np.full(100_000, 1.0), np.tile([1.0, -0.99], 100_000), np.tile([1.0, -1.01], 100_000), rng.normal(0, 1, 200_000)):
+        began = time.time()
+        assert toxicity.segments(x)
+        assert time.time() - began < 10
+
+
+def test_log_odds_prior_is_pooled():
+    t, c = np.array([40.0, 4.0, 400.0]), np.array([0.0, 0.0, 400.0])
+    a = toxicity.log_odds(t, c, (1000, 1000), 0.0)
+    share = (t + c) / 2000
+    x, y = t + toxicity.PRIOR * 1000 * share, c + toxicity.PRIOR * 1000 * share
+    want = np.maximum(np.log(x / y) - 2.5 * np.sqrt(1 / x + 1 / y), 0)
+    assert a == pytest.approx(want) and a[0] > 0 and a[2] == 0
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
