@@ -5,7 +5,9 @@ length; deterministic coin tossing (the lowest bit in which a name differs from
 and that bit, repeated until six labels are left) labels the names; local maxima of the labels begin
 phrases of two to a dozen names, and a hash of a phrase's names is its name at the next level. Where a
 phrase begins depends on a few names around it, so equal substrings get equal phrases inside,
-whatever stands before them.
+whatever stands before them. Long texts are parsed in parts that end where a hash of the last eight
+code points says so (once in 2^19), so equal substrings are also cut alike; a stretch without such a
+place is cut each 2^20 code points from the last one.
 
 A fingerprint is the 64 least 32-bit hashes among a text's distinct phrase names of level 1 and above
 and its whole text, in order. A run of n equal names
@@ -29,12 +31,17 @@ from .text import U64, mix, powers
 
 KEPT = 64
 LEVELS = 24
-#: Code points parsed together; a longer text is parsed in parts of this length.
+#: Code points of rows that are compared together, about.
 STRETCH = 1 << 18
+#: Code points parsed together, and the longest part of a text.
 LONGEST = 1 << 20
+#: Code points that decide where a long text is cut, and the bits of their hash that must be zero.
+WINDOW = 8
+CUT_BITS = 19
 _BIT = np.zeros(64, np.uint8)
 _DE_BRUIJN = U64(0x03F79D71B4CB0A89)
 _BIT[((U64(1) << np.arange(64, dtype=U64)) * _DE_BRUIJN >> U64(58)).astype(int)] = np.arange(64)
+_MIXER = {1: U64(0x9E3779B97F4A7C15), 2: U64(0xC2B2AE3D27D4EB4F), 4: U64(0x165667B19E3779F9)}
 _LOW = np.array([8] + [(x & -x).bit_length() - 1 for x in range(1, 256)], np.uint8)
 
 
@@ -83,15 +90,71 @@ def _phrases(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix((c[end] - c[start]) * inverse[start] + (end - start).astype(U64)), np.searchsorted(start, bounds), again
 
 
+def _names(text: str) -> np.ndarray:
+    return mix(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U64) + U64(1))
+
+
+def cuts(names: np.ndarray) -> np.ndarray:
+    """Places after which a text may be cut, by the WINDOW names before them."""
+    if len(names) < WINDOW:
+        return np.zeros(0, np.int64)
+    h, size = names, 1
+    while size < WINDOW:
+        h = h[size:] + h[:-size] * _MIXER[size]
+        size *= 2
+    return np.flatnonzero(h >> U64(64 - CUT_BITS) == 0) + WINDOW
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, names, bounds): the parts of texts, about LONGEST code points at a time."""
+    held: list[int] = []
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = _names("".join(texts[k] for k in held))
+        bounds = np.concatenate([[0], np.cumsum([len(texts[k]) for k in held])])
+        at = cuts(names)
+        doc = np.searchsorted(bounds, at, "right") - 1
+        ok = (doc < len(held)) & (at - bounds[np.minimum(doc, len(held) - 1)] >= WINDOW)
+        every = np.unique(np.concatenate([bounds, at[ok]]))
+        return np.array(held)[np.searchsorted(bounds, every[:-1], "right") - 1], names, every
+
+    size = 0
+    for k, t in enumerate(texts):
+        if len(t) > LONGEST:
+            last, ends = 0, []
+            for a in range(0, len(t), LONGEST):
+                lo = max(0, a - WINDOW + 1)
+                ends += (cuts(_names(t[lo : a + LONGEST])) + lo).tolist()
+            for end in [*ends, len(t)]:
+                while end > last:
+                    stop = min(end, last + LONGEST)
+                    yield np.array([k]), _names(t[last:stop]), np.array([0, stop - last])
+                    last = stop
+        elif t:
+            held.append(k)
+            size += len(t)
+            if size >= LONGEST:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _least(doc: np.ndarray, h: np.ndarray, kept: int) -> np.ndarray:
+    """Sorted distinct (document, 32-bit hash) keys, the ``kept`` least of each document."""
+    key = np.sort((doc.astype(U64) << U64(32)) | h)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    of = key >> U64(32)
+    first = np.searchsorted(of, of)
+    return key[np.arange(len(key)) - first < kept]
+
+
 def sketches(texts: list[str], kept: int = KEPT) -> list[np.ndarray]:
     """The fingerprints of texts, as ascending uint32 arrays; of an empty text, an empty one."""
-    parts = [(k, t[a : a + LONGEST]) for k, t in enumerate(texts) for a in range(0, len(t), LONGEST)]
-    whole = [U64(int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")) for t in texts]
-    found = [(np.array([k for k, t in enumerate(texts) if t], np.int64), np.array([h for h, t in zip(whole, texts, strict=True) if t], U64))]
-    if parts:
-        owner = np.array([k for k, _ in parts])
-        names = mix(np.frombuffer("".join(t for _, t in parts).encode("utf-32-le"), np.uint32).astype(U64) + U64(1))
-        bounds = np.concatenate([[0], np.cumsum([len(t) for _, t in parts])])
+    whole = [(k, int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") >> 32) for k, t in enumerate(texts) if t]
+    held = [np.array([(k << 32) | h for k, h in whole], U64)]
+    for owner, names, bounds in _groups(texts):
+        found = []
         for level in range(1, LEVELS):
             names, bounds, (more, of) = _phrases(names, bounds)
             if level > 1:
@@ -104,11 +167,12 @@ def sketches(texts: list[str], kept: int = KEPT) -> list[np.ndarray]:
                 more = size > 1
                 names, owner = names[np.repeat(more, size)], owner[more]
                 bounds = np.concatenate([[0], np.cumsum(size[more])])
-    doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    key = np.sort((doc.astype(U64) << U64(32)) | (h >> U64(32)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        held.append(_least(doc, h >> U64(32), kept))
+    key = np.concatenate(held)
+    key = _least(key >> U64(32), key & U64(0xFFFFFFFF), kept)
     edges = np.searchsorted(key, np.arange(len(texts) + 1, dtype=U64) << U64(32))
-    return [key[a : min(b, a + kept)].astype(np.uint32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [key[a:b].astype(np.uint32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:

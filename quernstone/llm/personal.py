@@ -1,14 +1,16 @@
 """PII by bootstrapped contextual extraction.
 
 Seeds are what four fixed forms find: e-mail and IP addresses, card numbers that pass the Luhn check,
-and international phone numbers. Every seed and every other token that looks like an identifier (it
-holds an @, a bracketed "at" or at least four digits) is an instance; the words before it, after it
-and around it are its patterns. Spark scores the graph of patterns and instances in rounds: a pattern
-is as sure of a kind as its distinct instances are but for the one that it judges, smoothed (of n with
-s sure ones s / (n - 1 + 0.5)); it is trusted from a confidence of 0.9
-and five sure instances on; instances of trusted patterns are sure from then on and count for others.
-The trusted patterns, as sorted arrays in the shared folder, then discover identifiers of unseen
-form in a last pass over the texts. Base spans always stay.
+and international phone numbers. Every seed and everything else that looks like an identifier is an
+instance: a token with an @ or at least four digits, a run of groups of digits with single spaces
+between, a bracketed "at" (and "dot") with its neighbours. The words before it, after it and around it
+are its patterns. Spark scores the graph of patterns and instances in rounds, until neither
+patterns nor instances are new. A pattern judges an instance by the others it has: of n with s sure
+ones of a kind the n - 1 others, smoothed, s / (n - 1 + 0.5) for one that isn't sure (it is among the
+n, but not among the s). It is trusted from a confidence of 0.9 and five sure instances on; instances
+of trusted patterns are sure from then on and count for others. The trusted patterns, as sorted arrays
+in the shared folder, then discover identifiers of unseen form in a last pass over the texts. Base
+spans always stay.
 
 The graph holds rows only for identifier-like tokens, and rounds aggregate by pattern before they
 join, so a word that stands before a third of all instances is one row a task.
@@ -18,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,6 @@ from .shared import Sorted
 from .text import U64
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 SURE = 0.9
 SUPPORT = 5
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -39,7 +42,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LIKE = re.compile(r"\S*(?:@|[(\[]at[)\]]|[0-9](?=(?:[^\s0-9]*[0-9]){3}))\S*")
+#: Tokens that may be or begin an identifier; each is scanned once, however long.
+_LIKE = re.compile(r"(?<!\S)[^\s0-9@(\[]*+[0-9@(\[]\S*+")
+_GROUP = re.compile(r"[0-9()+./:-]++")
+_AT = re.compile(r"[(\[]at[)\]]", re.I)
+_DOT = re.compile(r"[(\[]dot[)\]]", re.I)
+_END = ".,;:!?"
+#: Digits of the longest identifier; a longer run of groups is taken group by group.
+MOST_DIGITS = 19
+#: Tokens of a spelt-out domain, "dot"s included.
+MOST_LABELS = 9
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -83,7 +95,7 @@ def compatible(kind: int, token: str) -> bool:
     """Whether a token may be an identifier of this kind in some form."""
     digits = len(_DIGIT.findall(token))
     if kind == 0:
-        return "@" in token or "at" in token.lower() and digits < 7
+        return "@" in token or _AT.search(token) is not None and digits < 7
     if kind == 1:
         return digits >= 4 and ("." in token or ":" in token) and "@" not in token
     return (digits >= 13 if kind == 2 else digits >= 7) and "@" not in token
@@ -109,16 +121,71 @@ def patterns(text: str, start: int, end: int) -> list[int]:
     return [_hash(*x) for x in (("before", a), ("after", b), ("around", a, b)) if all(x)]
 
 
+def _neighbours(text: str, start: int, end: int) -> tuple[int, int]:
+    """A bracketed "at" with the tokens one space before and after, and "dot"s and tokens that follow."""
+    if start > 1 and text[start - 1] == " ":
+        before = start - 1
+        while before and not text[before - 1].isspace():
+            before -= 1
+        start = before if before < start - 1 else start
+    for _ in range(MOST_LABELS):
+        if text[end : end + 1] != " ":
+            break
+        after = end + 1
+        while after < len(text) and not text[after].isspace():
+            after += 1
+        if after == end + 1:
+            break
+        follows = text[after : after + 7]
+        end = after
+        if not (follows[:1] == " " and _DOT.match(follows, 1) or _DOT.fullmatch(text, max(0, after - 5), after)):
+            break
+    return start, end
+
+
+def _likely(text: str) -> Iterator[tuple[int, int]]:
+    """Spans like identifiers, from left to right."""
+    group: list[tuple[int, int]] = []
+
+    def closed() -> Iterator[tuple[int, int]]:
+        if group:
+            s, e = group[0][0], group[-1][1]
+            digits = len(_DIGIT.findall(text, s, e))
+            if len(group) > 1 and digits > MOST_DIGITS:
+                yield from ((a, b) for a, b in group if len(_DIGIT.findall(text, a, b)) >= 4)
+            elif digits >= 4:
+                yield s, e
+            group.clear()
+
+    for m in _LIKE.finditer(text):
+        s, e = m.span()
+        if group and not (s == group[-1][1] + 1 and text[s - 1] == " " and text[group[-1][1] - 1] not in _END):
+            yield from closed()
+        if _GROUP.fullmatch(text, s, e if text[e - 1] not in _END else e - 1):
+            group.append((s, e))
+            continue
+        yield from closed()
+        if _AT.fullmatch(text, s, e):
+            yield _neighbours(text, s, e)
+        elif "@" in m[0] or _AT.search(m[0]) or len(_DIGIT.findall(m[0])) >= 4:
+            yield s, e
+    yield from closed()
+
+
 def instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Seeds, then other tokens like identifiers (kind -1) that overlap none of them."""
     yield from base
-    if _DIGIT.search(text) or "@" in text or "at)" in text or "at]" in text:
-        taken = sorted((s, e) for _, s, e in base)
-        for m in _LIKE.finditer(text):
-            s = m.start()
-            token = m[0].rstrip(".,;:!?")
-            if token and not any(a < s + len(token) and s < b for a, b in taken):
-                yield -1, s, s + len(token)
+    if not (_DIGIT.search(text) or "@" in text or _AT.search(text)):
+        return
+    # what seeds take, as starts and the furthest end so far
+    taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    for s, e in _likely(text):
+        while e > s and text[e - 1] in _END:
+            e -= 1
+        k = bisect_left(starts, e)
+        if e > s and not (k and reach[k - 1] > s):
+            yield -1, s, e
 
 
 def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,16 +213,21 @@ def trusted_patterns(texts: DataFrame) -> DataFrame:
     """(pattern, kind) that the rounds have come to trust."""
     edges = shared.written(shared.mapped(texts.select("text"), _graph, "instance long, kind int, pattern long, fits int").distinct(), "pii-graph")
     known = edges.where("kind >= 0").select("instance", F.col("kind").alias("sure")).distinct()
-    trusted = None
-    for _ in range(ROUNDS):
+    before = None
+    while True:
         scored = edges.join(known, "instance", "left").groupBy("pattern", "instance").agg(F.min("sure").alias("sure"), F.max("sure").alias("other"))
         scored = scored.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("sure").eqNullSafe(k) & F.col("other").eqNullSafe(k)).alias(f"k{k}") for k in range(4)))
         best = F.greatest(*(F.struct(F.col(f"k{k}").alias("sure"), F.lit(k).alias("kind")) for k in range(4)))
-        scored = scored.withColumn("best", best).where((F.col("best.sure") >= SUPPORT) & (F.col("best.sure") / (F.col("n") - 0.5) >= SURE))
+        others = F.greatest(F.col("n") - 1, F.col("best.sure"))
+        scored = scored.withColumn("best", best).where((F.col("best.sure") >= SUPPORT) & (F.col("best.sure") / (others + 0.5) >= SURE))
         trusted = shared.written(scored.select("pattern", F.col("best.kind").alias("kind")), "pii-patterns")
         fresh = edges.where("kind < 0").join(trusted.withColumnRenamed("kind", "sure"), "pattern").where("shiftright(fits, sure) % 2 = 1").select("instance", "sure")
         known = shared.written(known.union(fresh).distinct(), "pii-known")
-    return trusted
+        # instances only become sure, so this ends
+        now = trusted.count(), known.count()
+        if now == before:
+            return trusted
+        before = now
 
 
 def discover(texts: DataFrame) -> Sorted:

@@ -144,6 +144,21 @@ def test_fingerprints_do_not_depend_on_a_length(texts):
         assert min(map(fingerprints.likeness, a, b)) > 0.6
 
 
+def test_long_texts_are_cut_by_their_content():
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(97, 123, 2_500_000)))
+    a, b, c = fingerprints.sketches([text, "shifted by some letters " + text, text[:1_048_570]])
+    assert fingerprints.likeness(a, b) > 0.9 and 0.2 < fingerprints.likeness(a, c) < 0.7
+    for n in (1 << 20, (1 << 20) + 1, (1 << 18) + 1):  # none of the lengths at which work is divided matters
+        x, y = fingerprints.sketches([text[: n - 1], text[:n]])
+        assert fingerprints.likeness(x, y) > 0.9
+    names = fingerprints._names(text)
+    assert (np.diff(fingerprints.cuts(names)) > 0).all() and len(fingerprints.cuts(names)) > 0
+    assert set(fingerprints.cuts(names[1000:]) + 1000) == {k for k in fingerprints.cuts(names) if k >= 1000 + fingerprints.WINDOW}
+    x, y = fingerprints.sketches(["ab" * 1_500_000, "ab" * 1_500_000 + "c"])
+    assert 0 <= fingerprints.likeness(x, y) <= 1
+
+
 def test_toxicity(spark, docs, sf, odd, none):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     found = toxicity.toxicity(docs, labels)
@@ -227,6 +242,30 @@ def test_patterns_discover_unseen_forms(spark):
     assert masked[50].text == "note phone: <PHONE> thanks"
 
 
+def test_identifiers_with_spaces(spark):
+    rows = [(i, f"note {i} phone: +1 555 010 {1000 + i} thanks") for i in range(12)] + [(50 + i, f"write to: person{i}@example{i}.com today") for i in range(12)]
+    rows += [(80, "note phone: 555 010 7777 thanks"), (81, "write to: jane (at) example.com today"), (82, "phone: 1 2 3 " + "4 " * 40 + "thanks"), (83, "write to: jane [at] example [dot] com today")]
+    found = by_id(personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[80].spans == "phone:12:24" and found[81].spans == "email:10:31" and found[82].spans == "" and found[83].spans == "email:10:37"
+
+
+def test_personal_data_is_linear_in_a_token():
+    for text in ("a" * 1_000_000 + "1", "1a" * 500_000, "@" * 1_000_000, "x@y.z " * 100_000, "1 " * 500_000, "a(at)" * 200_000, " (at) (dot)" * 100_000, "[" * 1_000_000):
+        began = time.time()
+        base = personal.base_spans(text)
+        for _ in personal.instances(text, base):
+            pass
+        assert time.time() - began < 20
+
+
+def test_trust_leaves_the_judged_instance_out(spark):
+    """Of 20 instances 18 are sure: each of the others is judged by 18 of 19. Of 7, 5 are: 5 of 6 are too few."""
+    rows = [(i, f"call {'+1 555 010 ' if i < 18 else '555-010-'}{1000 + i} soon") for i in range(20)]
+    rows += [(100 + i, f"dial {'+1 555 020 ' if i < 5 else '555-020-'}{1000 + i} later") for i in range(7)]
+    found = by_id(personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(found[i].spans for i in range(20)) and not found[105].spans and not found[106].spans
+
+
 def shingles(t):
     w = split(t)
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
