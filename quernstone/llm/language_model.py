@@ -1,4 +1,4 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model.
+"""LM scoring: an interpolated modified Kneser-Ney n-gram model of order three (or two).
 
 Counted in Spark, stored as sorted hash arrays in the shared folder, mapped into memory by the
 workers that score. Three passes read the texts; no text, no n-gram and no count passes the driver,
@@ -6,15 +6,17 @@ which sees one row of totals a bucket.
 
 1. Words are counted by 64-bit hash (ends of texts as one more word). A word's id is its place among
    all sorted hashes.
-2. Bigrams of ids are counted, exactly as pairs: the sorted key is a bijective mix of both ids.
-   From each bucket of distinct bigrams come, by word, how often it is followed and by how many
-   words once, twice or more, and how many words it follows (the continuation count).
-3. Each text's score is the sum of log10 p(w | v) with
-   p(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) p(w),  p(w) = max(n(w) - d(n), 0) / T + g / (V + 1),
-   with three discounts a level from the counts of counts. V + 1 leaves one share for all unknown words.
-
-The order is two: on these texts three words rarely recur, and a third order would take about as
-much disk again as both others, past what the cluster grants (README).
+2. Trigrams of ids are counted, exactly: the key of a context is a bijective mix of both its ids, and
+   a bucket holds its contexts sorted, each with its sorted words and their counts. Each distinct trigram
+   u v w then counts one for the bigram v w, sent on by the task that holds its bucket: the number of
+   words that v w follows (order two counts bigrams themselves instead).
+3. From each bucket of distinct bigrams come, by word, how often it is followed and by how many
+   words once, twice or more, and how many words it follows.
+4. Each text's score is the sum of log10 p(w | u v), texts beginning after two start marks, with
+   p(w | u v) = max(c(uvw) - D3(c), 0) / c(uv) + g(uv) p(w | v),
+   p(w | v) = max(n(vw) - D2(n), 0) / n(v) + g(v) p(w),  p(w) = max(n(w) - D1(n), 0) / T + g / (V + 1),
+   with three discounts a level from the counts of counts; n counts different words before.
+   V + 1 leaves one share for all unknown words.
 """
 
 from __future__ import annotations
@@ -70,17 +72,30 @@ def _arrow(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [name for name, _ in schema])
 
 
+def _chunks(sizes: np.ndarray, limit: int = 1 << 20) -> Iterator[slice]:
+    """Slices of consecutive sizes that sum up to the limit at most, or of one larger."""
+    stop, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(stop, limit + (stop[a - 1] if a else 0), "right")))
+        yield slice(a, b)
+        a = b
+
+
 class Model:
     """What scoring needs: where the arrays are, and a few totals."""
 
-    def __init__(self, spark, bits: int):
-        self.bits = bits
+    def __init__(self, spark, bits: int, order: int):
+        if order not in (2, 3):
+            raise ValueError("the order is two or three")
+        self.bits, self.order = bits, order
+        #: Contexts of two words in buckets: starts of their words, words and counts are parallel files.
+        self.triples = Sorted(shared.folder(spark, "lm-triples"), self.bits, ("starts", "words", "counts"))
         self.words = Sorted(shared.folder(spark, "lm-words"), self.bits, ("counts",))
         self.pairs = Sorted(shared.folder(spark, "lm-pairs"), self.bits, ("counts",))
         self.by_word = shared.folder(spark, "lm-by-word")
         self.starts = np.zeros(1, np.int64)
         self.vocabulary = self.tokens = self.types = 0
-        self.low, self.high = [0.75] * 3, [0.75] * 3
+        self.low, self.high, self.top = [0.75] * 3, [0.75] * 3, [0.75] * 3
         self._segments: dict[int, list] = {}
 
     def __getstate__(self) -> dict:
@@ -113,6 +128,55 @@ class Model:
         before[first] = self.vocabulary
         return mix((before.astype(U64) << U64(32)) | (ids.astype(U64) & U64(0xFFFFFFFF))), ids, before, counts
 
+    def contexts(self, key: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each token: the count of its trigram, the total of its context, and how many words follow
+        that once, twice and more; key: of the bigrams, known: whether context and word have ids."""
+        out = tuple(np.zeros(len(key), np.int64) for _ in range(5))
+        some = np.flatnonzero(known)
+        keys, back = np.unique(key[some], return_inverse=True)
+        for b, s in shared.cut(keys, self.bits):
+            have = self.triples.bucket(b)
+            if not have or not len(have[0]):
+                continue
+            held, starts, words, counts = have
+            at = np.minimum(np.searchsorted(held, keys[s]), len(held) - 1)
+            ok = held[at] == keys[s]
+            tokens = np.flatnonzero((back >= s.start) & (back < s.stop))
+            tokens = tokens[ok[back[tokens] - s.start]]
+            if not len(tokens):
+                continue
+            # the found contexts, then their tokens
+            where, of = np.unique(at[back[tokens] - s.start], return_inverse=True)
+            lo, hi = starts[where].astype(np.int64), starts[where + 1].astype(np.int64)
+            found = [np.concatenate(x) for x in zip(*(self._totals(lo[k], hi[k], counts) for k in _chunks(hi - lo)), strict=True)]
+            w, left, right = ids[some[tokens]], lo[of], hi[of]
+            end = right
+            while (open_ := left < right).any():
+                mid = (left + right) // 2
+                less = open_ & (words[np.minimum(mid, end - 1)] < w)
+                left, right = np.where(less, mid + 1, left), np.where(open_ & ~less, mid, right)
+            there = left < end
+            there[there] = words[left[there]] == w[there]
+            out[0][some[tokens[there]]] = counts[left[there]]
+            for o, x in zip(out[1:], found, strict=True):
+                o[some[tokens]] = x[of]
+        return out
+
+    @staticmethod
+    def _totals(lo: np.ndarray, hi: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = hi - lo
+        first = np.cumsum(n) - n
+        c = counts[np.repeat(lo - first, n) + np.arange(n.sum())]
+        return tuple(np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c > 2))
+
+    def before(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The key of the two words before each token, from the keys of the bigrams that end there."""
+        first = np.cumsum(n + 1) - (n + 1)
+        out = np.empty_like(key)
+        out[1:] = key[:-1]
+        out[first] = mix(np.array([(self.vocabulary << 32) | self.vocabulary], U64))[0]
+        return out
+
     def stats(self, ids: np.ndarray) -> list[np.ndarray]:
         """The arrays KINDS at sorted distinct ids."""
         out = [np.zeros(len(ids), np.int64) for _ in KINDS]
@@ -145,7 +209,54 @@ def _pairs(batch: pa.RecordBatch, model: Model) -> Iterator[np.ndarray]:
         yield model.pair_keys(n, h)[0]
 
 
-PARTS = "segment long, bucket int, n1 long, n2 long, n3 long, n4 long, ids binary, counts binary, kind int"
+TRIPLES = "bucket int, contexts binary, words binary, counts binary"
+CONTINUED = f"{shared.PACKED}, m1 long, m2 long, m3 long, m4 long"
+
+
+def _merged(key: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order, with summed counts."""
+    order = np.lexsort((word, key))
+    key, word, n = key[order], word[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (word[1:] != word[:-1])]))
+    return key[at], word[at], np.add.reduceat(n, at)
+
+
+def _triples(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def sent() -> pa.RecordBatch:
+        key, word, n = _merged(*map(np.concatenate, zip(*held, strict=True)))
+        held.clear()
+        rows = [(b, shared.pack_keys(key[s]), shared.pack(word[s]), shared.narrow(n[s])) for b, s in shared.cut(key, model.bits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], [x.split()[0] for x in TRIPLES.split(", ")])
+
+    for batch in batches:
+        for _, _, n, h in words(batch.column("text")):
+            key, ids, _, _ = model.pair_keys(n, h)
+            held.append(_merged(model.before(key, n), ids.astype(np.uint32), np.ones(len(ids), np.int64)))
+            if sum(len(x[0]) for x in held) >= shared.HELD:
+                yield sent()
+    if held:
+        yield sent()
+
+
+def _write_triples(table: pa.Table, model: Model) -> pa.Table:
+    """One bucket of trigrams to its arrays; the bigrams that end them, with the words before these."""
+    b = table.column("bucket")[0].as_py()
+    key, word, n = _merged(
+        np.concatenate([shared.unpack_keys(x.as_buffer()) for x in table.column("contexts")]),
+        np.concatenate([shared.unpack(bytes(x.as_buffer()), np.uint32) for x in table.column("words")]),
+        np.concatenate([shared.widen(bytes(x.as_buffer())) for x in table.column("counts")]))
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    starts = np.append(at, len(key))
+    model.triples.write(b, key[at], starts.astype(np.uint32) if len(key) < 1 << 32 else starts, word, n.astype(np.uint8 if n.max() < 256 else np.int64))
+    cc = counts_of_counts(n)
+    pairs, m = shared.distinct(mix((unmix(key) << U64(32)) | word.astype(U64)))
+    rows = shared.rows(pairs, m, model.bits)
+    return pa.Table.from_arrays([*rows.columns, *(pa.array([c, *[0] * (rows.num_rows - 1)], pa.int64()) for c in cc)], [x.split()[0] for x in CONTINUED.split(", ")])
+
+
+PARTS = "segment long, bucket int, n1 long, n2 long, n3 long, n4 long, m1 long, m2 long, m3 long, m4 long, ids binary, counts binary, kind int"
 
 
 def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
@@ -155,6 +266,7 @@ def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
     key = unmix(k)
     before, after = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
     cc, rows = counts_of_counts(n), []
+    cc += [sum(table.column(f"m{i}").to_pylist()) if model.order == 3 else 0 for i in (1, 2, 3, 4)]
     for kind, (ids, w) in enumerate(((before, n), (before[n == 1], None), (before[n == 2], None), (before[n > 2], None), (after, None))):
         got, c = shared.distinct(ids.astype(U64), np.ones(len(ids), np.int64) if w is None else w)
         if not len(got):
@@ -163,8 +275,8 @@ def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
         at = np.flatnonzero(np.diff(part, prepend=-1))
         for x, y in zip(at, [*at[1:], len(got)], strict=True):
             rows.append([int(part[x]), b, *cc, shared.pack_keys(got[x:y]), shared.narrow(c[x:y]), kind])
-            cc = [0] * 4
-    schema = pa.schema([("segment", pa.int64()), ("bucket", pa.int32()), *((f"n{i}", pa.int64()) for i in (1, 2, 3, 4)), ("ids", pa.binary()), ("counts", pa.binary()), ("kind", pa.int32())])
+            cc = [0] * 8
+    schema = pa.schema([("segment", pa.int64()), ("bucket", pa.int32()), *((f"{a}{i}", pa.int64()) for a in "nm" for i in (1, 2, 3, 4)), ("ids", pa.binary()), ("counts", pa.binary()), ("kind", pa.int32())])
     return pa.table([list(c) for c in zip(*rows, strict=True)], schema=schema)
 
 
@@ -176,18 +288,18 @@ def _write_segment(table: pa.Table, model: Model) -> pa.Table:
     for name, x in zip(KINDS, dense, strict=True):
         shared.save(model.by_word, f"{p}-{name}", x.astype(np.uint32) if x.max() < 1 << 32 else x)
     after = dense[-1]
-    sums = [sum(table.column(f"n{i}").to_pylist()) for i in (1, 2, 3, 4)]
+    sums = [sum(table.column(f"{a}{i}").to_pylist()) for a in "nm" for i in (1, 2, 3, 4)]
     return pa.table([[p], [int(after.sum())], *([x] for x in counts_of_counts(after)), *([x] for x in sums)], schema=_segment_schema())
 
 
 def _segment_schema() -> pa.Schema:
-    return pa.schema([("segment", pa.int64()), ("types", pa.int64()), *((f"{a}{i}", pa.int64()) for a in "tn" for i in (1, 2, 3, 4))])
+    return pa.schema([("segment", pa.int64()), ("types", pa.int64()), *((f"{a}{i}", pa.int64()) for a in "tnm" for i in (1, 2, 3, 4))])
 
 
-def fit(texts: DataFrame) -> Model:
+def fit(texts: DataFrame, order: int = 3) -> Model:
     """The model of a column ``text``; a null text counts as empty, no texts give a model that knows no word."""
     spark = texts.sparkSession
-    model, texts = Model(spark, shared.bits(texts)), texts.select("text")
+    model, texts = Model(spark, shared.bits(texts), order), texts.select("text")
     seen = shared.mapped(texts, partial(shared.counted, hashes=_word_hashes, bucket_bits=model.bits), shared.PACKED)
     totals = seen.groupBy("bucket").applyInArrow(shared.with_args(_write_words, model=model), STATS).collect()
     types = np.zeros(1 << model.bits, np.int64)
@@ -199,17 +311,21 @@ def fit(texts: DataFrame) -> Model:
         raise ValueError("more than 2**32 distinct words: a bigram's key would not hold both ids")
     if not totals:
         return model
-    pairs = shared.mapped(texts, partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.bits), shared.PACKED)
+    if order == 3:
+        triples = shared.mapped(texts, partial(_triples, model=model), TRIPLES)
+        pairs = triples.groupBy("bucket").applyInArrow(shared.with_args(_write_triples, model=model), CONTINUED)
+    else:
+        pairs = shared.mapped(texts, partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.bits), shared.PACKED)
     parts = pairs.groupBy("bucket").applyInArrow(shared.with_args(_write_pairs, model=model), PARTS)
-    segments = parts.groupBy("segment").applyInArrow(shared.with_args(_write_segment, model=model), "segment long, types long, t1 long, t2 long, t3 long, t4 long, n1 long, n2 long, n3 long, n4 long").collect()
+    segments = parts.groupBy("segment").applyInArrow(shared.with_args(_write_segment, model=model), ", ".join(["segment long", "types long", *(f"{a}{i} long" for a in "tnm" for i in (1, 2, 3, 4))])).collect()
     model.types = sum(r.types for r in segments)
     model.low_counts = [sum(r[f"t{i}"] for r in segments) for i in (1, 2, 3, 4)]
-    model.low, model.high = discounts(model.low_counts), discounts([sum(r[f"n{i}"] for r in segments) for i in (1, 2, 3, 4)])
+    model.low, model.high, model.top = (discounts([sum(r[f"{a}{i}"] for r in segments) for i in (1, 2, 3, 4)]) for a in "tnm")
     return model
 
 
 def probabilities(model: Model, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """p(w | v) of every word and end of these documents, and how often training has the word."""
+    """p(w | u v), or p(w | v), of every word and end of these documents, and how often training has the word."""
     key, ids, before, counts = model.pair_keys(n, h)
     d, e = np.array([0.0, *model.high]), np.array([0.0, *model.low])
     v1 = model.vocabulary + 1
@@ -229,7 +345,15 @@ def probabilities(model: Model, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarra
     both = (ids >= 0) & (before >= 0)
     keys, at = np.unique(key[both], return_inverse=True)
     c[both] = model.pairs.find(keys, 0)[1][at]
-    return np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / some + weight * p, counts
+    p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / some + weight * p
+    if model.order == 3:
+        first = np.cumsum(n + 1) - (n + 1)
+        known = np.concatenate([[True], both[:-1]])
+        known[first] = True  # two start marks
+        c, total, once, twice, more = model.contexts(model.before(key, n), ids, known)
+        d, some = np.array([0.0, *model.top]), np.maximum(total, 1)
+        p = np.maximum(c - d[np.minimum(c, 3)], 0) / some + np.where(total > 0, (d[1] * once + d[2] * twice + d[3] * more) / some, 1.0) * p
+    return p, counts
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -249,14 +373,14 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return shared.mapped(documents.select("doc_id", "held_out", "text"), partial(_score, model=model), RESULT)
 
 
-def held_out_scores(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+def held_out_scores(documents: DataFrame, folds: int = 7, held: int = 2, order: int = 3) -> DataFrame:
     """Fits on the documents whose crc32 of the id as text is not ``held`` modulo ``folds``; scores all.
 
     Null and empty texts hold one token, the end. A null id counts as the empty text in the fold.
     Repeated rows are scored and counted as often as they occur. An empty table gives no rows.
     """
     marked = documents.select("doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held).alias("held_out"))
-    return score(marked, fit(marked.where(~F.col("held_out"))))
+    return score(marked, fit(marked.where(~F.col("held_out")), order))
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
