@@ -11,7 +11,11 @@ s - ceil(0.8 n) + 1 of their s shared shingles, in any order common to all sets
    hashes name; verified links make linked groups. Blocks of about 64 sets are cut from each large one,
    and from the sets of small ones that have the same least hash.
 4. The token-group matrix has a row for each prefix shingle and block, with the linked groups that
-   its sets belong to. Two blocks meet only where a shingle has sets of different linked groups in them.
+   its sets belong to and their sizes. Two blocks meet only where a shingle has sets of different linked
+   groups in them, of sizes that may link: a set of n shingles, s of them shared, has at most s in common
+   with another, so it can only link with sets of at most 2.25 s - n shingles. Blocks hold sets of nearly
+   one size, so texts that a common line, a licence, makes alike, but not alike enough, don't meet;
+   where a shingle has many blocks, these are joined by their sizes too.
    A set of one opens the other where its union of shingles may hold 80 % of the set, and then
    counts its overlap with every member at once.
 5. Connected components by alternating large and small stars.
@@ -35,6 +39,10 @@ from .shared import Sorted
 from .text import U64, mix, words
 
 BLOCK = 64
+#: Sizes that share a block differ by less than this factor.
+BAND = 1.02
+#: Blocks of a shingle from which on they are joined by size too.
+HOT = 32
 #: Sets that meet one copy of a block.
 CHUNK = 128
 SETS = "doc_id long, n_shingles long, set_id binary, tokens binary, frequencies binary"
@@ -118,7 +126,8 @@ def _need(n: int, percent: int) -> int:
 
 
 def _prepare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each class the shingles that other classes have, its prefix, and the groups it may join."""
+    """Of each class the shingles that other classes have, the sizes of sets that it may link with, its
+    prefix, and the groups it may join."""
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
@@ -129,10 +138,11 @@ def _prepare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 continue
             prefix = k[np.lexsort((k, d))][: len(k) - _need(r["n_shingles"], percent) + 1]
             groups = [int(mix(k ^ U64(x)).min().view(np.int64)) for x in (1, 2, 3)]
-            rows.append((r["set_id"], r["n_shingles"], float(d.sum() / r["n_shingles"]), shared.pack_keys(k), prefix.view(np.int64).tolist(), groups))
-        types = (pa.binary(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["set_id", "n", "richness", "tokens", "prefix", "groups"])
+            n = r["n_shingles"]
+            rows.append((r["set_id"], n, _need(n, percent), (100 + percent) * len(k) // percent - n, float(d.sum() / n), shared.pack_keys(k), prefix.view(np.int64).tolist(), groups))
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        columns = zip(*rows, strict=True) if rows else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["set_id", "n", "fewest", "most", "richness", "tokens", "prefix", "groups"])
 
 
 def _linked(overlap: int, n: int, m: int, percent: int) -> bool:
@@ -196,6 +206,11 @@ def _spread(key: Column, n: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(key), F.ceil(n / size))
 
 
+def _band(n: Column) -> Column:
+    """The number of a size's band; sizes up to 50 have one each."""
+    return F.floor(F.log(n) / F.log(F.lit(BAND)) + 1e-9)
+
+
 def links(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): enough links between classes to connect all that are connected."""
     pair = partial(_verify, percent=percent)
@@ -207,17 +222,23 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
     first = shared.written(shared.mapped(pairs, pair, "a binary, b binary"), "links")
     labels = components(first)
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-    named = classes.select("set_id", "prefix", F.col("groups")[0].cast("string").cast("binary").alias("group")).join(sized, F.col("set_id") == F.col("node"), "left")
-    named = named.withColumn("home", F.when(F.col("size") >= BLOCK // 2, F.col("label")).otherwise(F.col("group")))
+    named = classes.select("set_id", "prefix", "n", "fewest", "most", F.col("groups")[0].cast("string").cast("binary").alias("group")).join(sized, F.col("set_id") == F.col("node"), "left")
+    named = named.withColumn("home", F.struct(F.when(F.col("size") >= BLOCK // 2, F.col("label")).otherwise(F.col("group")).alias("name"), _band(F.col("n")).alias("band")))
     homes = named.groupBy("home").agg(F.count("*").alias("members"))
-    named = named.join(homes, "home").select("set_id", "prefix", F.coalesce("label", "set_id").alias("label"), F.struct("home", _spread(F.col("set_id"), F.col("members"), BLOCK).alias("part")).alias("block"))
+    named = named.join(homes, "home").select("set_id", "prefix", "n", "fewest", "most", F.coalesce("label", "set_id").alias("label"), F.struct("home", _spread(F.col("set_id"), F.col("members"), BLOCK).alias("part")).alias("block"))
     named = shared.written(named, "blocks")
-    matrix = named.select("block", "label", F.explode("prefix").alias("token")).groupBy("token", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    several = matrix.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
+    matrix = named.select("block", "label", "n", "fewest", "most", F.explode("prefix").alias("token")).groupBy("token", "block").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("fewest").alias("fewest"), F.max("most").alias("most"))
+    several = matrix.groupBy("token").agg(F.min("low").alias("least_label"), F.max("high").alias("most_label"), F.count("*").alias("blocks")).where("least_label != most_label").select("token", "blocks")
     matrix = shared.written(matrix.join(several, "token"), "matrix")
-    other = matrix.select("token", *(F.col(c).alias(f"other_{c}") for c in ("block", "low", "high")))
-    # two blocks meet where a shingle has sets of different groups in them
-    meet = matrix.join(other, "token").where("block <= other_block and (low != high or other_low != other_high or low != other_low) and (block != other_block or low != high)").select("block", "other_block").distinct()
+    other = matrix.select(F.col("token"), F.col("blocks"), *(F.col(c).alias(f"other_{c}") for c in ("block", "low", "high", "n_least", "n_most", "fewest", "most")))
+    # two blocks meet where a shingle has sets of different groups in them, of sizes that may link
+    may = F.expr("block <= other_block and (low != high or other_low != other_high or low != other_low) and (block != other_block or low != high)"
+                 " and n_least <= other_most and other_n_least <= most and n_most >= other_fewest and other_n_most >= fewest")
+    few = matrix.where(F.col("blocks") <= HOT).join(other.where(F.col("blocks") <= HOT), "token").where(may).select("block", "other_block")
+    bands = F.explode(F.sequence(_band(F.col("fewest")), F.greatest(_band(F.col("fewest")), _band(F.col("most"))))).alias("band")
+    hot = matrix.where(F.col("blocks") > HOT).select("*", bands).join(other.where(F.col("blocks") > HOT).withColumn("band", F.col("other_block.home.band")), ["token", "band"]).where(may).select("block", "other_block")
+    meet = few.union(hot).distinct()
     meet = meet.join(named.select("block", F.col("set_id").alias("q")), "block").select("q", F.col("other_block").alias("block"))
     meet = shared.written(meet, "meet")
     chunks = meet.groupBy("block").agg(F.count("*").alias("asked"))
@@ -253,7 +274,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     # one row of each class: the one with the least id
     known = described.where("tokens is not null").select("set_id", "n_shingles", "tokens", "frequencies", F.col("doc_id").alias("first_id"))
     known = known.join(classes, (known.set_id == classes.set_id) & known.first_id.eqNullSafe(classes.first_id)).select(known.set_id, "n_shingles", "tokens", "frequencies", "copies").dropDuplicates(["set_id"])
-    prepared = shared.written(shared.mapped(known, partial(_prepare, percent=percent), "set_id binary, n long, richness double, tokens binary, prefix array<long>, groups array<long>"), "classes")
+    prepared = shared.written(shared.mapped(known, partial(_prepare, percent=percent), "set_id binary, n long, fewest long, most long, richness double, tokens binary, prefix array<long>, groups array<long>"), "classes")
     labels = components(links(prepared, percent))
     joined = classes.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "first_id", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -264,16 +285,17 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 def keep_first(documents: DataFrame) -> DataFrame:
     """One row of each component of linked rows: of the least id (rows without one come last), of equal
     ids any one. Ids take no part in linking, so rows that share an id are judged each by its own text.
-    Rows without words link with nothing and all stay."""
+    Rows without words link with nothing and all stay. Whatever columns documents have, they stay."""
     spark, uri = documents.sparkSession, shared.folder(documents.sparkSession, "keyed")
+    row = shared.unused("row", documents)
     # the keys hold once they are written; computed anew, they could go to other rows
-    keyed = documents.withColumn("_row", F.monotonically_increasing_id())
+    keyed = documents.withColumn(row, F.monotonically_increasing_id())
     keyed.write.option("compression", "zstd").parquet(uri)
     keyed = spark.read.schema(keyed.schema).parquet(uri)
-    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    kept = keyed.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
-    return keyed.join(kept.select("_row"), "_row", "left_semi").select(documents.columns)
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row)
+    kept = keyed.select(row, "doc_id").join(found, row).groupBy("component_id").agg(F.min(order)[row].alias(row))
+    return keyed.join(kept.select(row), row, "left_semi").select(documents.columns)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

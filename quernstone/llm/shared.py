@@ -69,6 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def save(uri: str, name: str, array: np.ndarray) -> None:
     """Writes an array under the URI; a repeated or doubled task replaces the file by the same."""
     if path := local(uri):
