@@ -7,18 +7,26 @@ the vector changes the inner products that matter; assignments are found pair by
 others, and all codebooks together by least squares. They are fitted on a bounded sample (8,192
 vectors at most, those with the least hashes of their ids; the parameter ``sample``).
 
-Every row is indexed: its codes, half its squared norm, its id. Queries and rows meet in blocks of at
-most 1,024 queries and about 16,384 rows: two codes make a byte, and for each byte a table of 256
-partial products a query is looked up and summed. The best ``rerank`` rows of each query and
-block, then over all blocks, are ranked anew by their exact distances. Of equal vectors only those with
+Every row is indexed once: its codes, half its squared norm, its id. Queries are written to the shared
+folder in chunks of about 1,024, and each task of the index maps them; rows are never sent to queries.
+Two codes make a byte, and for each byte a table of 256 partial products a query is looked up and
+summed over blocks of 16,384 rows. Beforehand a 64th of the rows, by the hash of their ids, gives each
+query a threshold: the exact product of its 16th best different one there, which about a thousand of
+all rows reach. A block sends those of its rows that reach it, so what is shuffled grows with the
+queries and not with queries times blocks. The best ``rerank`` rows of each query over all blocks are
+ranked anew by their exact distances. Of equal vectors only those with
 the k + 1 least ids can be among a query's k nearest; the others give way there, so that a vector which
 a third of the rows share doesn't crowd out the rest. Where more than 32 rows of a block have the same
 codes, these can't tell them apart, and their exact products take the place of the table's.
+
+The scan itself compares every query with every row: with queries as a fixed share of rows its
+arithmetic grows with their square, at two table lookups for four components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,9 @@ ROWS = 16_384
 #: Rows of a block with the same codes beyond which their exact products count.
 CROWD = 32
 CENTROIDS = 16
+#: One row in so many gives the threshold, which is its so-many-th best different product.
+SPARSE = 64
+PLACE = 16
 
 
 def usable(v: Column) -> Column:
@@ -123,81 +134,146 @@ def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (t[::2, :, None] + t[1::2, None, :]).reshape(len(t) // 2, CENTROIDS**2, -1).astype(np.float32)
 
 
-def scan(asked: pa.Table, rows: pa.Table, books: np.ndarray, dimension: int, best: int, k: int) -> pa.Table:
-    """For each query of a block its best rows of a block, equal ones by ascending id."""
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "same": pa.array([], pa.int64()), "product": pa.array([], pa.float64())})
-    if not len(asked) or not len(rows):
-        return empty
-    ids, same = np.array(rows.column("vec_id")), np.array(rows.column("same"))
-    order = np.lexsort((ids, same))
-    first = np.flatnonzero(np.diff(same[order], prepend=same[order[0]] - 1))
-    size = np.diff(np.append(first, len(ids)))
-    order = order[np.arange(len(ids)) - np.repeat(first, size) <= k]
-    order = order[np.argsort(ids[order], kind="stable")]
-    half = np.array(rows.column("half_norm"))[order]
-    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-    ids, same = ids[order], same[order]
-    _, cell, size = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_inverse=True, return_counts=True)
-    crowd = np.flatnonzero(size[cell] > CROWD)
-    exact = np.frombuffer(b"".join(rows.column("vector").take(pa.array(order[crowd])).to_pylist()), np.float64).reshape(len(crowd), width(dimension))
-    names = np.array(asked.column("query_id"))
-    q = _matrix(asked.column("query").combine_chunks(), dimension)
-    out = []
-    for lo in range(0, len(names), 64):
-        t = tables(q[lo : lo + 64], books)
-        s = -np.repeat(half[:, None], t.shape[2], 1)
-        for m in range(len(t)):
-            s += t[m][codes[:, m]]
-        if len(crowd):
-            s[crowd] = exact @ q[lo : lo + 64].T - half[crowd, None]
-        for j, name in enumerate(names[lo : lo + 64]):
-            x = np.where(ids == name, -np.inf, s[:, j])
-            if len(x) > best:
-                least = np.partition(x, len(x) - best)[len(x) - best]
-                more = np.flatnonzero(x > least)
-                at = np.concatenate([more, np.flatnonzero(x == least)[: best - len(more)]])
-            else:
-                at = np.arange(len(x))
-            at = at[x[at] > -np.inf]
-            out.append((np.full(len(at), name), ids[at], same[at], x[at]))
-    return pa.table(dict(zip(("query_id", "vec_id", "same", "product"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 400, sample: int = 8192) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest vectors found, by Euclidean distance
-    in double precision, ties by ascending id; a query's own id is no candidate.
-
-    vectors and queries have vec_id and embedding. Vectors that are null, zero, without an id, of another
-    length than most of the sample, or hold nulls, NaN or infinities take no part. Rows that repeat an id
-    are candidates each; rows that repeat a whole query give its neighbours once. With fewer than k
-    candidates all are returned; empty tables give no rows.
-    """
-    spark = vectors.sparkSession
-    clean = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("query")).distinct()
+class Block:
+    """Up to ROWS rows of the index, ready to be scanned. Of equal vectors the k + 1 least ids stay."""
+
+    def __init__(self, rows: pa.Table, dimension: int, k: int):
+        ids, same = np.array(rows.column("vec_id")), np.array(rows.column("same"))
+        order = np.lexsort((ids, same))
+        first = np.flatnonzero(np.diff(same[order], prepend=same[order[0]] - 1))
+        size = np.diff(np.append(first, len(ids)))
+        order = order[np.arange(len(ids)) - np.repeat(first, size) <= k]
+        order = order[np.argsort(ids[order], kind="stable")]
+        self.half = np.array(rows.column("half_norm"))[order]
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        self.ids, self.same, self.codes = ids[order], same[order], codes
+        _, cell, size = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+        self.crowd = np.flatnonzero(size[cell] > CROWD)
+        raw = rows.column("vector").take(pa.array(order[self.crowd])).to_pylist()
+        self.exact = np.frombuffer(b"".join(raw), np.float64).reshape(len(self.crowd), width(dimension))
+
+    def best(self, names: np.ndarray, q: np.ndarray, least: np.ndarray, books: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query ids, ids, same, products) of the rows that reach the queries' thresholds, ``keep`` a query at most,
+        equal ones by ascending id."""
+        for lo in range(0, len(names), 64):
+            t = tables(q[lo : lo + 64], books)
+            s = -np.repeat(self.half[:, None], t.shape[2], 1)
+            for m in range(len(t)):
+                s += t[m][self.codes[:, m]]
+            if len(self.crowd):
+                s[self.crowd] = self.exact @ q[lo : lo + 64].T - self.half[self.crowd, None]
+            for j, name in enumerate(names[lo : lo + 64]):
+                at = np.flatnonzero((s[:, j] >= least[lo + j]) & (self.ids != name))
+                x = s[at, j]
+                if len(at) > keep:
+                    edge = np.partition(x, len(x) - keep)[len(x) - keep]
+                    more = np.flatnonzero(x > edge)
+                    some = np.concatenate([more, np.flatnonzero(x == edge)[: keep - len(more)]])
+                    at, x = at[some], x[some]
+                yield np.full(len(at), name), self.ids[at], self.same[at], x
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class Queries:
+    """The queries, in chunks of arrays in the shared folder: ids, vectors, then thresholds."""
+
+    def __init__(self, asked: DataFrame, dimension: int):
+        self.uri, self.dimension = shared.folder(asked.sparkSession, "queries"), dimension
+        self.chunks = max(1, -(-asked.count() // ASKED))
+        rows = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(self.chunks)).alias("chunk"), "vec_id", "query")
+        rows.groupBy("chunk").applyInArrow(shared.with_args(_save_queries, queries=self), "chunk long").agg(F.count("*")).collect()
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for c in range(self.chunks):
+            try:
+                yield c, shared.load(self.uri, f"{c}-ids"), shared.load(self.uri, f"{c}-vectors")
+            except FileNotFoundError:  # no id falls into this chunk
+                pass
+
+    def least(self, chunk: int, n: int) -> np.ndarray:
+        try:
+            return shared.load(self.uri, f"{chunk}-least")
+        except FileNotFoundError:  # no row in the 64th
+            return np.full(n, -np.inf)
+
+
+def _save_queries(table: pa.Table, queries: Queries) -> pa.Table:
+    chunk = table.column("chunk")[0].as_py()
+    shared.save(queries.uri, f"{chunk}-ids", np.array(table.column("vec_id")))
+    shared.save(queries.uri, f"{chunk}-vectors", _matrix(table.column("query").combine_chunks(), queries.dimension))
+    return pa.table({"chunk": [chunk]})
+
+
+def _place(s: np.ndarray) -> np.ndarray:
+    """The PLACE greatest different values of each row, ascending, with -inf for missing ones."""
+    s = np.sort(s, axis=1)
+    s[:, 1:][s[:, 1:] == s[:, :-1]] = -np.inf
+    s = np.sort(s, axis=1)[:, -PLACE:]
+    return np.pad(s, ((0, 0), (PLACE - s.shape[1], 0)), constant_values=-np.inf)
+
+
+def _sparse(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[pa.RecordBatch]:
+    """For each chunk of queries the best exact products of a block of the sparse rows."""
+    for rows in _blocks(batches):
+        ids, half = np.array(rows.column("vec_id")), np.array(rows.column("half_norm"))
+        x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)
+        for chunk, names, q in queries:
+            best = []
+            for lo in range(0, len(names), 64):
+                s = q[lo : lo + 64] @ x.T - half
+                s[names[lo : lo + 64, None] == ids] = -np.inf
+                best.append(_place(s))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([np.concatenate(best).tobytes()], pa.binary())], ["chunk", "best"])
+
+
+def _save_least(table: pa.Table, queries: Queries) -> pa.Table:
+    chunk, best = table.column("chunk")[0].as_py(), None
+    for raw in table.column("best"):
+        s = np.frombuffer(raw.as_py(), np.float64).reshape(-1, PLACE)
+        best = s if best is None else _place(np.concatenate([best, s], axis=1))
+    shared.save(queries.uri, f"{chunk}-least", best[:, 0])
+    return pa.table({"chunk": [chunk]})
+
+
+FOUND = "query_id long, vec_id long, same long, product double"
+
+
+def _scan(batches: Iterator[pa.RecordBatch], queries: Queries, books, keep: int, k: int) -> Iterator[pa.RecordBatch]:
+    for rows in _blocks(batches):
+        block = Block(rows, queries.dimension, k)
+        for chunk, names, q in queries:
+            found = list(block.best(names, q, queries.least(chunk, len(names)), books.value, keep))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+
+
+def _nearest(clean: DataFrame, asked: DataFrame, dimension: int, k: int, rerank: int, sample: int) -> DataFrame:
+    """nearest() of clean vectors of one length."""
+    spark, weight = clean.sparkSession, anisotropy(dimension)
     # at most ``sample`` vectors come to the driver
     held = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).to_pylist()
-    if not held:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths, counts = np.unique([len(x) for x in held], return_counts=True)
-    dimension = int(lengths[counts.argmax()])
-    weight = anisotropy(dimension)
-    x = np.unique(np.array([v for v in held if len(v) == dimension]), axis=0)
+    x = np.unique(np.array(held, np.float64), axis=0)
     books = spark.sparkContext.broadcast(train(np.pad(x, ((0, 0), (0, dimension % 2))), weight))
-    clean, asked = clean.where(F.size("embedding") == dimension), asked.where(F.size("query") == dimension)
 
     def indexed(batches):
         return _index(batches, books.value, weight, dimension)
 
     index = shared.written(shared.mapped(clean.withColumn("same", F.xxhash64("embedding")), indexed, "vec_id long, same long, codes binary, half_norm double, vector binary"), "vectors")
-    blocks, chunks = -(-index.count() // ROWS), max(1, -(-asked.count() // ASKED))
-    row = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "*")
-    query = asked.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("vec_id").alias("query_id"), "query")
-
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        return scan(left, right, books.value, dimension, rerank, k)
-
-    found = query.withColumn("block", F.col("block").cast("long")).groupBy("block", "chunk").cogroup(row.groupBy("block", "chunk")).applyInArrow(met, "query_id long, vec_id long, same long, product double")
+    store = Queries(asked, dimension)
+    sparse = index.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(SPARSE)) == 0)
+    sparse = shared.mapped(sparse, partial(_sparse, queries=store), "chunk long, best binary")
+    sparse.groupBy("chunk").applyInArrow(shared.with_args(_save_least, queries=store), "chunk long").agg(F.count("*")).collect()
+    found = shared.mapped(index, partial(_scan, queries=store, books=books, keep=rerank, k=k), FOUND)
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "same").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("product"), "vec_id"))).where(F.col("n") <= rerank).select("query_id", "vec_id").distinct()
     distance = F.sqrt(F.aggregate(F.zip_with("query", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
@@ -205,6 +281,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 4
     return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 400, sample: int = 8192) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k nearest vectors found, by Euclidean distance
+    in double precision, ties by ascending id; a query's own id is no candidate.
+
+    vectors and queries have vec_id and embedding. Vectors that are null, zero, without an id, or hold
+    nulls, NaN or infinities take no part. Vectors are compared with those of their length, one length
+    after another. Rows that repeat an id are candidates each; rows that repeat a whole query give its
+    neighbours once. With fewer than k candidates all are returned; empty tables give no rows.
+    """
+    clean = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("query")).distinct()
+    # a row for each length: one, as a rule
+    lengths = sorted(r.n for r in clean.groupBy(F.size("embedding").alias("n")).agg(F.count("*")).join(asked.select(F.size("query").alias("n")).distinct(), "n").collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, (_nearest(clean.where(F.size("embedding") == n), asked.where(F.size("query") == n), n, k, rerank, sample) for n in lengths))
+
+
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
