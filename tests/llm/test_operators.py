@@ -65,52 +65,59 @@ def test_sharding(spark, docs, duck, same_rows, odd, none, sf):
         sharding.lookup_table(("a", "a"), 101)
 
 
-def brute_lm(train, docs):
-    """The same model in dictionaries."""
-    uni, bi = Counter(), Counter()
+def brute_lm(train, docs, order):
+    """The same model in dictionaries: counts of n-grams, and for lower orders of different words before."""
+    grams = [Counter() for _ in range(order + 1)]
     for t in train:
         w = [*split(t), None]
-        uni.update(w)
-        bi.update(zip(["<s>", *w], w, strict=False))
-    v, n = len(uni), sum(uni.values())
-    follow, after = defaultdict(Counter), Counter()
-    for (a, b), c in bi.items():
-        follow[a][c if c < 3 else 3] += 1
-        follow[a]["all"] += c
-        after[b] += 1
-
-    def d(counts):
-        m = Counter(counts)
-        return [0.0, *language_model.discounts([m[1], m[2], m[3], m[4]])]
-
-    high, low, types = d(bi.values()), d(after.values()), len(bi)
-    t = Counter(min(x, 3) for x in after.values())
-    g = sum(low[k] * t[k] for k in (1, 2, 3)) / types
+        grams[1].update(w)
+        padded = ["<s>"] * (order - 1) + w
+        grams[order].update(zip(*(padded[k:] for k in range(order)), strict=False))
+    v, n, known = len(grams[1]), sum(grams[1].values()), set(grams[1]) | {"<s>"}
+    level = {order: grams[order]}
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    discount, context = {}, {}
+    for k, counts in level.items():
+        m = Counter(counts.values())
+        discount[k] = [0.0, *language_model.discounts([m[1], m[2], m[3], m[4]])]
+        context[k] = defaultdict(Counter)
+        for g, c in counts.items():
+            context[k][g[:-1]]["all"] += c
+            context[k][g[:-1]][min(c, 3)] += 1
+
+    def p(k, g):
+        if k == 0:
+            return 1 / (v + 1)
+        lower = p(k - 1, g[1:])
+        f = context[k].get(g[:-1]) if all(x in known for x in g[:-1]) else None
+        if not f:
+            return lower
+        c, d = level[k][g], discount[k]
+        return (max(c - d[min(c, 3)], 0) + sum(d[j] * f[j] for j in (1, 2, 3)) * lower) / f["all"]
+
     out = {}
     for i, text in docs.items():
-        s = base = 0.0
         w = [*split(text), None]
-        for a, b in zip(["<s>", *w], w, strict=False):
-            p = max(after[b] - low[min(after[b], 3)], 0) / types + g / (v + 1)
-            f = follow.get(a) if a == "<s>" or a in uni else None
-            c = bi[a, b]
-            s += math.log10((max(c - high[min(c, 3)], 0) + sum(high[k] * f[k] for k in (1, 2, 3)) * p) / f["all"] if f else p)
-            base += math.log10((uni[b] + 1) / (n + v + 1))
-        out[i] = (len(w), sum(x in uni for x in w), n, base, s)
+        padded = ["<s>"] * (order - 1) + w
+        s = sum(math.log10(p(order, tuple(padded[k : k + order]))) for k in range(len(w)))
+        out[i] = (len(w), sum(x in grams[1] for x in w), n, sum(math.log10((grams[1][x] + 1) / (n + v + 1)) for x in w), s)
     return out
 
 
-def test_language_model(docs, texts, odd, none):
-    found = by_id(language_model.held_out_scores(docs))
+@pytest.mark.parametrize("order", [3, 2])
+def test_language_model(docs, texts, odd, none, order):
+    found = by_id(language_model.held_out_scores(docs, order=order))
     held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
-    want = brute_lm([t for i, t in texts.items() if i not in held], texts)
+    want = brute_lm([t for i, t in texts.items() if i not in held], texts, order)
     for i, w in want.items():
         r = found[i]
         assert r.held_out == (i in held) and (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
         assert r.base_score == pytest.approx(w[3], rel=1e-9) and r.score == pytest.approx(w[4], rel=1e-9)
     assert sum(found[i].score for i in held) > sum(found[i].base_score for i in held)
-    assert language_model.held_out_scores(odd).where("score < 0").count() == 11
-    assert language_model.held_out_scores(none).count() == 0
+    if order == 3:
+        assert language_model.held_out_scores(odd).where("score < 0").count() == 11
+        assert language_model.held_out_scores(none).count() == 0
 
 
 def test_fingerprints(spark, docs, texts, odd, none):
@@ -243,7 +250,7 @@ def test_patterns_discover_unseen_forms(spark):
 
 
 def test_identifiers_with_spaces(spark):
-    rows = [(i, f"note {i} phone: +1 555 010 {1000 + i} thanks") for i in range(12)] + [(50 + i, f"write to: person{i}@example{i}.com today") for i in range(12)]
+    rows = [(i, f"note {i} phone: +1 555 010 {1000 + i} thanks") for i in range(12)] + [(50 + i, f"write to: person{i}@example{i}.com today") for i in range(24)]
     rows += [(80, "note phone: 555 010 7777 thanks"), (81, "write to: jane (at) example.com today"), (82, "phone: 1 2 3 " + "4 " * 40 + "thanks"), (83, "write to: jane [at] example [dot] com today")]
     found = by_id(personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
     assert found[80].spans == "phone:12:24" and found[81].spans == "email:10:31" and found[82].spans == "" and found[83].spans == "email:10:37"
@@ -311,6 +318,33 @@ def test_jaccard_join(spark, docs, texts, odd, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("own", [1, 2, 3])
+def test_a_common_line_does_not_make_all_blocks_meet(spark, own, monkeypatch):
+    """Texts of one line of 13 words and some words of their own: with one they all link, with more none do,
+    and then hardly any blocks meet."""
+    line, met = " ".join(f"common{k}" for k in range(13)), []
+    written = jaccard_join.shared.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "meet":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.shared, "written", counted)
+    for n in (2000, 4000):
+        rows = [(i, line + "".join(f" own{i}x{k}" for k in range(own))) for i in range(n)] + [(n + i, line) for i in range(2)]
+        found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        groups = found.groupBy("component_id").count().collect()
+        assert len(groups) == (n + 1 if own == 3 else 1), own
+    assert met[1] <= 2.5 * max(met[0], 64)
+
+
+def test_columns_that_clash(spark):
+    d = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 8, 9, 10)], "doc_id long, text string, row int, component_id int, _gone int")
+    assert [tuple(r) for r in jaccard_join.keep_first(d).collect()] == [(1, "a b c d e f", 5, 6, 7)]
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 1), (5, 4), (4, 6), (3, 3)]
     found = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -441,7 +475,23 @@ def test_neighbours(spark, sf):
         assert all(s == pytest.approx(d[k], abs=1e-12) for k, s in got[i]) and len(got[i]) == 10
     assert len(got) == 60 and hit / 600 >= 0.95
     assert [k for k, _ in got[400]] == list(range(401, 411))
+    wide = rng.normal(size=(40_000, 16))  # the threshold leaves most rows out
+    wide[::3] = wide[0]
+    v2 = spark.createDataFrame([(i, x) for i, x in enumerate(wide.tolist())], "vec_id long, embedding array<double>")
+    hit, asked = 0, list(range(1, 40_000, 997))
+    near = defaultdict(set)
+    for r in neighbours.nearest(v2, v2.where(F.col("vec_id").isin(asked))).collect():
+        near[r.query_id].add(r.vec_id)
+    for i in asked:
+        d = ((wide - wide[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(near[i] & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert hit / (10 * len(asked)) >= 0.95
     empty = v.where("vec_id < 0")
     assert neighbours.nearest(empty, empty).count() == 0
+    # of another length: compared among themselves
+    other = spark.createDataFrame([(9004 + j, [float(j + c) for c in range(5)]) for j in range(4)], "vec_id long, embedding array<double>")
+    both = v.select("vec_id", "embedding").union(other)
+    assert [(r.query_id, r.vec_id) for r in neighbours.nearest(both, other.where("vec_id = 9004")).orderBy("rank").collect()][:2] == [(9004, 9005), (9004, 9006)]
     few = v.where("vec_id in (1, 2, 600)")
     assert neighbours.nearest(few, few).count() == 6
