@@ -18,7 +18,7 @@ import pyarrow as pa
 from .text import U64, buffers, rolling, runs, spans_hash
 
 #: Bytes of remembered parts, about, at which a worker starts anew.
-REMEMBERED = 16 << 20
+REMEMBERED = 48 << 20
 STRETCH = 1 << 20
 # white space and control characters; leading bytes of characters that may be white space
 _ODD = np.zeros(256, bool)
