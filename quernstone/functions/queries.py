@@ -24,7 +24,7 @@ def folded(spark, sf_dir):
 
 @query("h7_tolerance", "SELECT item_id, w, CASE WHEN strlen(w) < 4 THEN 0 WHEN strlen(w) < 8 THEN 1 ELSE 2 END AS tolerance FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w FROM benchmark)".replace("\\\\", "\\"))
 def tolerances(spark, sf_dir):
-    from ..operators.search import tolerance
+    from ..operators.fuzzy import tolerance
 
     w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(terms("text"))).alias("w"))
     return w.withColumn("tolerance", tolerance(F.octet_length("w")))

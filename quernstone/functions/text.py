@@ -47,6 +47,21 @@ def snippet(body: Column, word: Column, before: int = 48, after: int = 130) -> C
     return F.concat(F.when(start > 1, "…").otherwise(""), F.trim(cut), F.when(F.length(flat) >= start + before + after, "…").otherwise(""))
 
 
+def best_match(flat: Column, raw: Column, terms: Column) -> Column:
+    """struct(at, length): where the whole query is in a text, in any case, else its longest term; at is 0 for neither."""
+    longest = F.element_at(F.array_sort(F.coalesce(terms, F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)), 1)
+    found = F.array(*(F.struct(F.when(F.length(w) > 0, F.instr(F.lower(flat), F.lower(w))).otherwise(0).alias("at"), F.coalesce(F.length(w), F.lit(0)).alias("length")) for w in (raw, F.try_element_at(F.when(F.size(terms) > 0, F.array(longest)).otherwise(F.array().cast("array<string>")), F.lit(1)))))
+    hit = F.filter(found, lambda m: m["at"] > 0)
+    return F.coalesce(F.try_element_at(hit, F.lit(1)), F.struct(F.lit(0).alias("at"), F.lit(0).alias("length")))
+
+
+def best_snippet(body: Column, raw: Column, terms: Column, before: int = 48, after: int = 130) -> Column:
+    """The text around best_match(), white space collapsed, with ellipses where it was cut; else the head."""
+    flat = collapse(body)
+    start = F.greatest(best_match(flat, raw, terms)["at"] - before, F.lit(1))
+    return F.concat(F.when(start > 1, "…").otherwise(""), F.trim(F.substr(flat, start, F.lit(before + after))), F.when(F.length(flat) >= start + before + after, "…").otherwise(""))
+
+
 def token_estimate(c: Column) -> Column:
     return F.ceil(F.octet_length(c) / 4)
 

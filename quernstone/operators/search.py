@@ -14,6 +14,8 @@ from ..registry import query
 from ..session import table
 
 K1, B = 1.2, 0.75
+#: Terms of queries up to which they are sent to every task.
+ASKED = 200_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -25,14 +27,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     """(query_id, key, score) for every document that has a term of the query; a term that a query
     repeats counts as often. queries: query_id, text. Scores are rounded to nine places, so that equal
     documents tie."""
-    p = postings(docs, key, text)
-    length = p.groupBy(key).agg(F.sum("tf").alias("length"))
-    stats = docs.select(key).agg(F.count("*").alias("n")).join(length.agg((F.sum("length")).alias("total")))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.select("query_id", F.explode(terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # document frequencies only of terms that are asked for; the totals are one row
+    asked = q.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
+    split = docs.select(key, terms(text).alias("t")).select(key, F.size("t").alias("length"), "t")
+    stats = split.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    # only terms that are asked for leave the scan; document frequencies are summed where the texts are
+    df = split.select(F.explode(F.array_distinct("t")).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    p = split.select(key, "length", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     weights = q.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hit = weights.join(p, "term").join(length, key)
+    weights = F.broadcast(weights) if q.count() <= ASKED else weights
+    hit = p.join(weights, "term")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (F.col("total") / F.col("n"))))
     return hit.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 9).alias("score"))
 
@@ -108,11 +113,6 @@ def score_margin(spark, sf_dir):
     return t.where("rank = 1").select("query_id", F.round((F.col("score") - F.col("next")) / F.col("score"), 6).alias("margin"))
 
 
-def tolerance(length: Column) -> Column:
-    """Edits that a word of so many bytes may differ by."""
-    return F.when(length < 4, 0).when(length < 8, 1).otherwise(2)
-
-
 def one_edit(a: Column, b: Column) -> Column:
     """Whether two words are equal or differ by one insertion, deletion, substitution or swap of
     neighbours."""
@@ -219,10 +219,12 @@ def candidate_merge(spark, sf_dir):
 def prefix_and_search(spark, sf_dir):
     """All three first terms of a passage, the last as a prefix: postings are counted by query and document."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(terms("text"), 1, 3).alias("w")).where("size(w) = 3")
-    p = postings(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "term")
+    p = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
     whole = q.select("item_id", F.explode(F.array_distinct(F.slice("w", 1, 2))).alias("term")).join(p, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     whole = whole.join(q.select("item_id", F.size(F.array_distinct(F.slice("w", 1, 2))).alias("need")), "item_id").where("n = need").select("item_id", "doc_id")
     last = q.select("item_id", F.element_at("w", 3).alias("last"))
-    # prefixes meet vocabulary, not text: one row a term
-    heads = p.select("term").distinct().join(last, F.startswith("term", "last")).select("item_id", "term")
-    return whole.join(heads.join(p, "term").select("item_id", "doc_id").distinct(), ["item_id", "doc_id"])
+    longest = last.agg(F.max(F.length("last"))).first()[0] or 1
+    # terms meet prefixes by equality, as each goes out with its own beginnings
+    heads = p.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))), lambda k: F.substr(F.col("term"), F.lit(1), k))).alias("last"))
+    asked = F.broadcast(last) if last.count() <= ASKED else last
+    return whole.join(heads.join(asked, "last").select("item_id", "doc_id").distinct(), ["item_id", "doc_id"])

@@ -21,14 +21,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return added
-
-
-def load() -> None:
-    """Imports all modules that register queries."""
-    from .operators import aggregates, joins, maintenance, relational, search, vectors  # noqa: F401
-    from .plans import queries as plan_queries  # noqa: F401
-    from .sources import queries as source_queries  # noqa: F401
-    from .streaming import sessions  # noqa: F401
-    from .functions import queries as function_queries  # noqa: F401
-
-load()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quernstone.registry import ORACLE_SQL, QUERIES
+from quernstone.queries import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
