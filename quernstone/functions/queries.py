@@ -17,9 +17,9 @@ def term_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(terms("text")).cast("long").alias("terms"), F.size(F.array_distinct(terms("text"))).cast("long").alias("different"))
 
 
-@query("h1_fold", "SELECT doc_id, replace(lower(strip_accents(substr(text, 1, 200))), 'ß', 'ss') AS folded FROM documents WHERE lang IN ('en', 'fr', 'es')")
+@query("h1_fold", "SELECT doc_id, replace(lower(strip_accents(text)), 'ß', 'ss') AS folded FROM documents")
 def folded(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang in ('en', 'fr', 'es')").select("doc_id", T.fold(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("folded"))
 
 
 @query("h7_tolerance", "SELECT item_id, w, CASE WHEN strlen(w) < 4 THEN 0 WHEN strlen(w) < 8 THEN 1 ELSE 2 END AS tolerance FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w FROM benchmark)".replace("\\\\", "\\"))
@@ -47,7 +47,7 @@ def calendar_ranges(spark, sf_dir):
 def temporal_phrases(spark, sf_dir):
     """Time phrases in front of the first words of each conversation turn."""
     c = table(spark, sf_dir, "conversations").withColumn("phrase", F.element_at(F.array(*map(F.lit, ("yesterday", "last week", "three days ago", "on May 3rd", "recently", ""))), (F.col("turn") % 6 + 1).cast("int")))
-    p = temporal(F.concat_ws(" ", F.substring("text", 1, 20), "phrase"), F.lit("2024-02-01 12:00:00").cast("timestamp_ntz"))
+    p = temporal(F.concat_ws(" ", "text", "phrase"), F.lit("2024-02-01 12:00:00").cast("timestamp_ntz"))
     return c.select("conv_id", "turn", p.alias("t")).select("conv_id", "turn", "t.*")
 
 
@@ -56,9 +56,11 @@ def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("h28_paths", "SELECT page_id, array_to_string(list_filter(string_split(split_part(url, '://', 2), '/'), lambda p: p <> '' AND p <> '.'), '/') AS path FROM pages WHERE NOT contains(url, '..')")
+@query("h28_paths", """WITH RECURSIVE p AS (SELECT page_id, list_filter(string_split(split_part(url, '://', 2), '/'), lambda p: p <> '' AND p <> '.') AS parts FROM pages), w AS (SELECT page_id, parts, 1 AS k, CAST([] AS VARCHAR[]) AS out FROM p
+  UNION ALL SELECT page_id, parts, k + 1, CASE WHEN parts[k] = '..' THEN out[1 : greatest(len(out) - 1, 0)] ELSE list_append(out, parts[k]) END FROM w WHERE k <= len(parts))
+  SELECT page_id, array_to_string(out, '/') AS path FROM w WHERE k = len(parts) + 1""")
 def paths(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where("not contains(url, '..')").select("page_id", T.normal_path(F.split_part("url", F.lit("://"), F.lit(2))).alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", T.normal_path(F.split_part("url", F.lit("://"), F.lit(2))).alias("path"))
 
 
 @query("h31_hashes", "SELECT doc_id, sha256(text) AS hash, substr(sha256(text), 1, 16) AS short_key FROM documents")
@@ -77,6 +79,16 @@ def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text"), F.lit("th")).alias("snippet"))
 
 
+@query("h34_best_snippets", r"""WITH q AS (SELECT item_id, trim(text) AS raw, regexp_extract_all(text, '[\p{L}\p{N}]+') AS t, doc_id, trim(regexp_replace(body, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS flat FROM benchmark JOIN (SELECT doc_id, text AS body FROM documents) ON doc_id = item_id),
+  a AS (SELECT *, list_filter(t, lambda x: len(x) = list_max(list_transform(t, lambda y: len(y))))[1] AS long FROM q), p AS (SELECT *, CASE WHEN contains(lower(flat), lower(raw)) THEN instr(lower(flat), lower(raw)) ELSE instr(lower(flat), lower(long)) END AS pos FROM a), s AS (SELECT *, greatest(pos - 48, 1) AS st FROM p)
+  SELECT item_id, CASE WHEN st > 1 THEN '…' ELSE '' END || trim(substr(flat, st, 178)) || CASE WHEN len(flat) >= st + 178 THEN '…' ELSE '' END AS snippet FROM s""")
+def best_snippets(spark, sf_dir):
+    """A benchmark text, or its longest word, shown in the document of its number."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("raw"), F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("t"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("body"))
+    return b.join(d, "item_id").select("item_id", T.best_snippet(F.col("body"), F.col("raw"), F.col("t")).alias("snippet"))
+
+
 @query("h44_redaction", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '<redacted>', 'g'), '(?i)(password|api_key|token)\s*[=:]\s*[\x22'']?[A-Za-z0-9_\-]{8,}[\x22'']?', '<redacted>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '<redacted>', 'g') AS clean FROM documents")
 def redaction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("clean"))
@@ -95,6 +107,13 @@ def turn_diffs(spark, sf_dir):
     return d.select("conv_id", "turn", "pos", "d.op", "d.line")
 
 
+@query("l12_unified_diffs")
+def unified_diffs(spark, sf_dir):
+    """Each turn against the one before, as text with three lines of context."""
+    c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", T.unified_diff(F.coalesce("before", F.lit("")), "text").alias("diff"))
+
+
 @query("d22_diff_counts")
 def diff_counts(spark, sf_dir):
     return turn_diffs(spark, sf_dir).groupBy("conv_id", "turn").agg(F.count_if(F.col("op") == "+").alias("added"), F.count_if(F.col("op") == "-").alias("removed"))

@@ -1,10 +1,10 @@
 """Scalar functions on texts and paths: built-in expressions first, Arrow UDFs where none will do."""
 
 
-import difflib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,44 +82,101 @@ def redact(c: Column, roots: list[str] = ()) -> Column:
 DIFF = "array<struct<op: string, line: string>>"
 
 
+#: Lines times lines up to which a longest common subsequence is looked for.
+MOST_CELLS = 4_000_000
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence: pairs of places, ascending. Row by row: the best so far, one more where lines are
+    equal, and what stands to the left."""
+    names: dict[str, int] = {}
+    x, y = (np.array([names.setdefault(t, len(names)) for t in z]) for z in (a, b))
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for k in range(len(a)):
+        np.maximum.accumulate(np.maximum(best[k, 1:], best[k, :-1] + (y == x[k])), out=best[k + 1, 1:])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if best[i, j] == best[i, j - 1]:
+            j -= 1
+        elif best[i, j] == best[i - 1, j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def line_diff(before: str, after: str) -> list[dict]:
-    """Lines kept (' '), removed ('-') and added ('+'), in order."""
-    a, b, out = (before or "").splitlines(), (after or "").splitlines(), []
-    for op, i, j, x, y in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [{"op": " ", "line": t} for t in a[i:j]]
+    """Lines kept (' '), removed ('-') and added ('+'), in order: what both share at the head and the tail, and between
+    them a longest common subsequence; beyond MOST_CELLS all lines between are removed and added."""
+    a, b = ((t or "").split("\n") if t else [] for t in (before, after))
+    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    most = min(len(a), len(b)) - head
+    tail = next((k for k in range(most) if a[-1 - k] != b[-1 - k]), most)
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    pairs = _common(x, y) if x and y and len(x) * len(y) <= MOST_CELLS else []
+    out, i, j = [(" ", t) for t in a[:head]], 0, 0
+    for p, q in [*pairs, (len(x), len(y))]:
+        out += [("-", t) for t in x[i:p]] + [("+", t) for t in y[j:q]] + ([(" ", x[p])] if p < len(x) else [])
+        i, j = p + 1, q + 1
+    return [{"op": o, "line": t} for o, t in [*out, *((" ", t) for t in a[len(a) - tail :])]]
+
+
+def hunks(change: list[dict], context: int = 3) -> list[dict]:
+    """Changed lines with up to ``context`` kept ones on either side; nearer ones are one hunk. Starts count from 0."""
+    marks = [k for k, c in enumerate(change) if c["op"] != " "]
+    out: list[dict] = []
+    for k in marks:
+        lo, hi = max(0, k - context), min(len(change), k + context + 1)
+        if out and lo <= out[-1]["end"]:
+            out[-1]["end"] = hi
         else:
-            out += [{"op": "-", "line": t} for t in a[i:j]] + [{"op": "+", "line": t} for t in b[x:y]]
+            out.append({"start": lo, "end": hi})
+    for h in out:
+        ahead = change[: h["start"]]
+        h["before_start"], h["after_start"] = (sum(c["op"] != o for c in ahead) for o in "+-")
+        h["lines"] = change[h["start"] : h["end"]]
     return out
 
 
+def unified(before: str, after: str, names: tuple[str, str] = ("before", "after")) -> str:
+    """A diff as text; empty for equal texts."""
+    found = hunks(line_diff(before, after))
+    if not found:
+        return ""
+    out = [f"--- {names[0]}", f"+++ {names[1]}"]
+    for h in found:
+        n, m = (sum(c["op"] != o for c in h["lines"]) for o in "+-")
+        out.append(f"@@ -{h['before_start'] + (n > 0)},{n} +{h['after_start'] + (m > 0)},{m} @@")
+        out += [c["op"] + c["line"] for c in h["lines"]]
+    return "\n".join(out) + "\n"
+
+
+@arrow_udf("string")
+def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([unified(a, b) for a, b in zip(before, after, strict=True)])
+
+
 @arrow_udf(DIFF)
 def diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([line_diff(a, b) for a, b in zip(before, after, strict=True)])
 
 
 def patched(current: str, change: list[dict], reverse: bool = False) -> str | None:
-    """A diff applied to a text that may have moved on: each run of changed lines is found by the lines it
-    replaces and one of context on either side; None where one is not to be found."""
+    """A diff applied to a text that may have moved on: each hunk goes where its lines are, nearest to where they were;
+    None where one is not to be found."""
     gone, new = ("+", "-") if reverse else ("-", "+")
-    lines, at = (current or "").splitlines(), 0
-    k = 0
-    while k < len(change):
-        if change[k]["op"] == " ":
-            k += 1
-            continue
-        e = k
-        while e < len(change) and change[e]["op"] != " ":
-            e += 1
-        lead = [change[k - 1]["line"]] if k else []
-        tail = [change[e]["line"]] if e < len(change) else []
-        old = lead + [c["line"] for c in change[k:e] if c["op"] == gone] + tail
-        put = lead + [c["line"] for c in change[k:e] if c["op"] == new] + tail
-        spot = next((x for x in range(at, len(lines) - len(old) + 1) if lines[x : x + len(old)] == old), None)
-        if spot is None:
+    lines, moved = (current or "").split("\n") if current else [], 0
+    for h in hunks(change):
+        old = [c["line"] for c in h["lines"] if c["op"] in (" ", gone)]
+        put = [c["line"] for c in h["lines"] if c["op"] in (" ", new)]
+        want = h["after_start" if reverse else "before_start"] + moved
+        spots = [k for k in range(len(lines) - len(old) + 1) if lines[k : k + len(old)] == old] if old else [max(0, min(want, len(lines)))]
+        if not spots:
             return None
-        lines[spot : spot + len(old)] = put
-        at, k = spot + len(put) - len(tail), e
+        at = min(spots, key=lambda k: abs(k - want))
+        lines[at : at + len(old)] = put
+        moved += len(put) - len(old)
     return "\n".join(lines)
 
 

@@ -66,9 +66,9 @@ def vectors_of_model(spark, sf_dir):
 
 @query("c5_first_later", "SELECT user_id, event_id, later FROM (SELECT user_id, event_id, event_type, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM events) WHERE event_type = 'error'")
 def first_later(spark, sf_dir):
-    """For each error, the user's first purchase after it."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    later = F.first(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
+    """For each error, the user's first purchase after it: from the last event back, the latest one seen."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
     return table(spark, sf_dir, "events").withColumn("later", later).where("event_type = 'error'").select("user_id", "event_id", "later")
 
 

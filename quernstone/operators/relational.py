@@ -107,14 +107,13 @@ def due(spark, sf_dir):
     return rows.where(F.col("k").isNull() | F.expr(f"ts + make_dt_interval(0, 0, k) <= timestamp_ntz'{NOW}' - interval 7 days")).select("event_id")
 
 
-@query("b16_leaks", "SELECT b.item_id, count(*) AS n FROM benchmark b, documents d WHERE contains(d.text, substr(b.text, 1, 80)) GROUP BY b.item_id")
+@query("b16_leaks", "SELECT b.item_id, count(*) AS n FROM benchmark b, documents d WHERE contains(d.text, b.text) GROUP BY b.item_id")
 def leaks(spark, sf_dir):
-    """Documents that hold the beginning of a benchmark passage. One side is a handful of passages whose
-    count is checked; the other stays where it is."""
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("head"))
-    if passages.count() <= 10_000:
-        passages = F.broadcast(passages)
-    return table(spark, sf_dir, "documents").join(passages, F.col("text").contains(F.col("head"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    """Documents that hold a whole benchmark passage."""
+    from .search import containing, passages
+
+    met = containing(table(spark, sf_dir, "documents").select("doc_id", "text"), passages(spark, sf_dir))
+    return met.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n"))
 
 
 @query("f6_recents", f"WITH {NOTES_SQL}, opened AS (SELECT user_id AS id, max(ts) AS last_opened FROM events GROUP BY 1) SELECT id, relpath, greatest(coalesce(last_opened, TIMESTAMP '1970-01-01'), mtime) AS touched FROM notes LEFT JOIN opened USING (id) ORDER BY touched DESC, relpath LIMIT 20")

@@ -15,7 +15,7 @@ def made_up(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
     target = "case when conv_id % 3 = 0 then 'none/here.md' else 'src1/en/000000000001.md' end"
     return c.select(F.col("conv_id").cast("string").alias("plan_id"), F.lit("tidy").alias("summary"), F.to_json(F.expr(
-        f"array(named_struct('action', 'createNote', 'note', cast(null as string), 'path', 'inbox/' || conv_id || '.md', 'text', text), named_struct('action', case when conv_id % 5 = 0 then 'explode' else 'appendToNote' end, 'note', {target}, 'path', cast(null as string), 'text', substr(text, 1, 50)))")).alias("actions"),
+        f"array(named_struct('action', 'createNote', 'note', cast(null as string), 'path', 'inbox/' || conv_id || '.md', 'text', text), named_struct('action', case when conv_id % 5 = 0 then 'explode' else 'appendToNote' end, 'note', {target}, 'path', cast(null as string), 'text', text))")).alias("actions"),
         F.expr(f"case when conv_id % 7 = 0 then map({target}, 'stale') else cast(map() as map<string, string>) end").alias("preconditions"))
 
 
@@ -25,10 +25,11 @@ def decoded_actions(spark, sf_dir):
     return P.decode(made_up(spark, sf_dir)).select("plan_id", "action_index", "action", "known")
 
 
-@query("i6_plan_issues", """WITH c AS (SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY 1)
-  SELECT CAST(conv_id AS VARCHAR) AS plan_id, 1 AS action_index, 'error' AS severity, 'unknownAction' AS kind FROM c WHERE conv_id % 5 = 0
-  UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, 'error', 'missingNote' FROM c WHERE conv_id % 5 <> 0 AND (conv_id % 3 = 0 OR NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = 1 AND source = 'src1' AND lang = 'en'))
-  UNION ALL SELECT CAST(conv_id AS VARCHAR), 0, 'error', 'emptyText' FROM c WHERE trim(text) = '' UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, 'error', 'emptyText' FROM c WHERE conv_id % 5 <> 0 AND trim(substr(text, 1, 50)) = ''""")
+@query("i6_plan_issues", """WITH c AS (SELECT conv_id, max_by(text, turn) AS text, EXISTS (SELECT 1 FROM documents WHERE doc_id = 1 AND source = 'src1' AND lang = 'en') AS there FROM conversations GROUP BY 1)
+  SELECT CAST(conv_id AS VARCHAR) AS plan_id, 1 AS action_index, 'warning' AS severity, 'unreadableAction' AS kind FROM c WHERE conv_id % 5 = 0
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), 0, 'error', 'unknownFolder' FROM c
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, 'error', 'unknownNote' FROM c WHERE conv_id % 5 <> 0 AND (conv_id % 3 = 0 OR NOT there)
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), 0, 'warning', 'emptyContent' FROM c WHERE trim(text) = '' UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, 'error', 'emptyContent' FROM c WHERE conv_id % 5 <> 0 AND trim(text) = ''""")
 def plan_issues(spark, sf_dir):
     return P.issues(P.decode(made_up(spark, sf_dir)), notes(spark, sf_dir))
 

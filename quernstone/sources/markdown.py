@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.notes import is_note
 from ..functions.text import parsed_front_matter
+from .writers import settled
 
-QUERY_SET = "version int, now string, timeZone string, queries array<struct<id: string, category: string, text: string, expectedPath: string, expectedSnippet: string>>"
+QUERY_SET = "version int, now string, timeZone string, queries array<struct<id: string, category: string, text: string, expectedPath: string, expectedSnippet: string, expectedRange: struct<start: string, end: string>, comment: string>>"
 OUTCOMES = "at timestamp, query string, found boolean, seconds double, note string"
 RECORDING = "key string, model string, purpose string, responseBody string"
 
@@ -16,8 +20,8 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """relpath, mtime, size of every note; hidden files and _assets are none. File contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     name = root.rstrip("/").split("/")[-1]
-    rel = F.regexp_replace(F.regexp_extract("path", rf"/{name}/(.*)$", 1), "%20", " ")
-    return files.select(rel.alias("relpath"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").where(~F.col("relpath").rlike(r"(^|/)(\.|_assets/)"))
+    rel = F.url_decode(F.replace(F.regexp_extract("path", rf"/{re.escape(name)}/(.*)$", 1), F.lit("+"), F.lit("%2B")))
+    return files.select(rel.alias("relpath"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").where(is_note(F.col("relpath")))
 
 
 def derived_id(path):
@@ -36,10 +40,15 @@ def notes(spark: SparkSession, root: str) -> DataFrame:
     return f.select(F.coalesce("front.id", derived_id(F.col("relpath"))).alias("id"), "relpath", folder.alias("folder_path"), title.alias("title"), "front.tags", F.coalesce(F.try_to_timestamp("front.created"), F.col("mtime")).alias("created"), "mtime", "size", F.sha2("content", 256).alias("content_hash"), F.col("front.body").alias("body"))
 
 
-def changed(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """relpaths whose size or modification time differ from an earlier listing: only these need reading."""
+def changed(spark: SparkSession, root: str, manifest: DataFrame, scanned_at: Column | None = None) -> DataFrame:
+    """relpaths that need reading, in order: size or modification time (to half a millisecond) differ from an earlier
+    listing, or the file was written within two seconds of that scan, when it may have changed again unseen."""
     now = listing(spark, root).drop("content")
-    return now.join(manifest.select("relpath", "mtime", "size"), ["relpath", "mtime", "size"], "left_anti").select("relpath")
+    was = manifest.select("relpath", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"))
+    same = (F.col("size") == F.col("old_size")) & (F.abs(F.unix_micros(F.col("mtime").cast("timestamp")) - F.unix_micros(F.col("old_mtime").cast("timestamp"))) < 500)
+    if scanned_at is not None:
+        same = same & settled(F.col("old_mtime"), scanned_at)
+    return now.join(was, "relpath", "left").where(~F.coalesce(same, F.lit(False))).select("relpath").orderBy("relpath")
 
 
 def query_set(spark: SparkSession, path: str) -> DataFrame:
@@ -67,11 +76,10 @@ def replayed(requests: DataFrame, recorded: DataFrame) -> DataFrame:
 
 def vocabulary(spark: SparkSession, path: str, most: int = 200_000) -> dict[str, int]:
     """A WordPiece vocabulary: the line number is the id. A longer file than ``most`` lines is refused."""
-    lines = [r.value for r in spark.read.text(path, wholetext=True).collect()]
-    words = lines[0].split("\n") if lines else []
-    if len(words) > most:
+    lines = [r.value for r in spark.read.text(path).coalesce(1).limit(most + 1).collect()]  # a file's lines keep their order in one partition
+    if len(lines) > most:
         raise ValueError(f"a vocabulary of more than {most} pieces")
-    return {w: k for k, w in enumerate(words) if w}
+    return {w: k for k, w in enumerate(lines) if w}
 
 
 def synthetic(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:

@@ -117,13 +117,38 @@ def debounced(events: DataFrame, gap: str = "2 seconds", *by: str) -> DataFrame:
     return events.groupBy("note_id", *by, F.session_window("ts", gap).alias("w")).agg(F.max_by("text", "revision").alias("text"), F.count("*").alias("edits")).select("note_id", *by, F.col("w.end").alias("deadline"), "text", "edits")
 
 
-def without_echoes(changes: DataFrame, own: DataFrame, live: str = "30 seconds") -> DataFrame:
-    """Changes (relpath, content_hash, ts) that none of our own operations (relpath, content_hash,
-    recorded_at) explains: equal ones pair off in order, each once, within the time they live."""
+def without_echoes(changes: DataFrame, own: DataFrame, live: int = 30) -> DataFrame:
+    """Changes (relpath, content_hash, ts; a null hash is a removal) that none of our own operations (relpath,
+    content_hash, recorded_at) explains: a change takes the latest equal one of the ``live`` seconds before it, each once.
+
+    The log of a path and hash is cut where it is quiet for longer, so a busy one spreads over tasks, and a task holds
+    the operations of ``live`` seconds only."""
     key = ["relpath", "content_hash"]
-    c = changes.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("ts")))
-    o = own.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("recorded_at")))
-    return c.join(o.select(*key, "n", "recorded_at"), [*key, "n"], "left").where(f"recorded_at is null or ts < recorded_at or ts > recorded_at + interval {live}").select(*changes.columns)
+    log = changes.select(*key, F.col("ts").alias("at"), F.lit(1).alias("change"), F.struct(*changes.columns).alias("row"))
+    log = log.unionByName(own.select(*key, F.col("recorded_at").alias("at"), F.lit(0).alias("change")), allowMissingColumns=True)
+    w = Window.partitionBy(*key).orderBy("at", "change")
+    quiet = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(w).cast("timestamp")) > live * 1_000_000
+    log = log.withColumn("burst", F.sum(F.when(quiet, 1).otherwise(0)).over(w)).withColumn("n", F.monotonically_increasing_id())
+    log = log.select("relpath", "content_hash", "burst", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "change", "row")
+
+    def run(batches):
+        here, held = None, []
+        for b in batches:
+            kept = []
+            for i, (path, hash_, burst, at, change) in enumerate(zip(*(b.column(c).to_pylist() for c in ("relpath", "content_hash", "burst", "at", "change")), strict=True)):
+                if (path, hash_, burst) != here:
+                    here, held = (path, hash_, burst), []
+                held = [t for t in held if at - t <= live * 1_000_000]
+                if not change:
+                    held.append(at)
+                elif held:
+                    held.pop()
+                else:
+                    kept.append(i)
+            yield b.select(["row"]).take(kept)
+
+    rows = log.repartition(*key, "burst").sortWithinPartitions(*key, "burst", "at", "change").mapInArrow(run, log.select("row").schema)
+    return rows.select("row.*")
 
 
 def reconcile_stream(spark: SparkSession, listings: DataFrame, known_path: str, out_path: str, checkpoint: str):
@@ -155,9 +180,8 @@ def debounce(spark, sf_dir):
     return debounced(e, "2 hours")
 
 
-@query("j3_echo_suppression", """WITH o AS (SELECT user_id, event_type, ts AS recorded_at, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events WHERE event_id % 3 = 0),
-  c AS (SELECT event_id, user_id, event_type, ts + INTERVAL 10 SECOND AS ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)
-  SELECT c.event_id FROM c LEFT JOIN o USING (user_id, event_type, n) WHERE recorded_at IS NULL OR c.ts < recorded_at OR c.ts > recorded_at + INTERVAL 30 SECOND""")
+@query("j3_echo_suppression", """WITH o AS (SELECT user_id, event_type, ts AS recorded_at FROM events WHERE event_id % 3 = 0), c AS (SELECT event_id, user_id, event_type, ts + INTERVAL 10 SECOND AS ts FROM events)
+  SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user_id = c.user_id AND o.event_type = c.event_type AND recorded_at <= c.ts AND recorded_at >= c.ts - INTERVAL 30 SECOND)""")
 def echo_suppression(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     c = e.select("event_id", F.col("user_id").alias("relpath"), F.col("event_type").alias("content_hash"), F.expr("ts + interval 10 seconds").alias("ts"))

@@ -4,7 +4,8 @@ import pytest
 
 from quernstone.functions import text as T
 from quernstone.functions.temporal import parse
-from quernstone.operators.search import one_edit, tolerance
+from quernstone.operators.fuzzy import osa, tolerance
+from quernstone.operators.search import one_edit
 from quernstone.plans.plans import undone
 
 NOW = datetime(2024, 2, 1, 12)  # a Thursday
