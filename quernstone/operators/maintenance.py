@@ -86,3 +86,64 @@ def retry_queue(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("attempts", F.get_json_object("props", "$.k").cast("long")).where("attempts < 8")
     delay = F.least(60.0 * F.pow(F.lit(2.0), F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(3600.0))
     return e.select("event_id", "attempts", delay.alias("delay"), F.expr("ts + make_dt_interval(0, 0, 0, least(60.0D * power(2, greatest(attempts - 1, 0)), 3600D))").alias("next_attempt_at"))
+
+
+def with_changes(known: DataFrame, disk: DataFrame, changes: DataFrame) -> DataFrame:
+    """The known listing after a batch of changes (change, relpath, from_path), written as one version: what was removed,
+    moved away or modified goes, what was added, modified or moved here comes from the disk; a moved note keeps its id."""
+    gone = changes.select(F.coalesce("from_path", "relpath").alias("relpath")).distinct()
+    here = changes.where("change <> 'removed'").join(disk.withColumnRenamed("id", "new_id"), "relpath").join(known.select(F.col("relpath").alias("from_path"), F.col("id").alias("old_id")), "from_path", "left")
+    return known.join(gone, "relpath", "left_anti").select("relpath", "id", "content_hash").union(here.select("relpath", F.coalesce("old_id", "new_id"), "content_hash"))
+
+
+@query("k3_change_batch", f"WITH {NOTES_SQL} SELECT relpath, content_hash FROM notes")
+def change_batch(spark, sf_dir):
+    """The changes between an earlier listing and the notes, applied to it: the notes."""
+    from .joins import known_listing, reconcile
+
+    disk, known = notes(spark, sf_dir).select("relpath", "id", "content_hash"), known_listing(spark, sf_dir)
+    return with_changes(known, disk, reconcile(disk, known)).select("relpath", "content_hash")
+
+
+@query("k5_postings_upkeep", r"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term".replace("\\\\", "\\"))
+def postings_upkeep(spark, sf_dir):
+    """Of an earlier index only the changed notes' postings are made anew; a seventh had other texts, a ninth none."""
+    from .search import postings
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = postings(d.where("doc_id % 9 <> 4").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.lit("other words")).otherwise(F.col("text"))), "doc_id", "text")
+    dirty = d.where("doc_id % 7 = 0 or doc_id % 9 = 4")
+    now = old.join(dirty.select("doc_id"), "doc_id", "left_anti").union(postings(dirty, "doc_id", "text"))
+    return now.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("k8_purged", f"WITH {NOTES_SQL} SELECT folder_path, count(*) AS n FROM notes WHERE NOT (folder_path = 'src1' OR starts_with(folder_path, 'src1/')) AND id % 5 <> 0 GROUP BY 1")
+def purged(spark, sf_dir):
+    """Rows of excluded folders and of notes that are gone leave every derived table."""
+    n = notes(spark, sf_dir).select("id", "folder_path")
+    live = n.where("id % 5 <> 0 and not (folder_path = 'src1' or startswith(folder_path, 'src1/'))").select("id")
+    return n.join(live, "id", "left_semi").groupBy("folder_path").agg(F.count("*").alias("n"))
+
+
+@query("k15_opened_and_removed", f"WITH {NOTES_SQL}, o AS (SELECT user_id AS id, max(ts) AS opened FROM events WHERE event_type = 'click' GROUP BY 1) SELECT id, greatest(opened, mtime) AS touched FROM notes LEFT JOIN o USING (id) WHERE NOT (folder_path = 'src2/en' OR starts_with(folder_path, 'src2/en/'))")
+def opened_and_removed(spark, sf_dir):
+    """Opening a note leaves its time of opening; removing a folder removes all below it."""
+    o = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("opened"))
+    n = notes(spark, sf_dir).where("not (folder_path = 'src2/en' or startswith(folder_path, 'src2/en/'))")
+    return n.join(o, "id", "left").select("id", F.greatest("opened", "mtime").alias("touched"))
+
+
+@query("a20_rebuilt", f"WITH {NOTES_SQL}, old AS (SELECT id, mtime AS last_opened FROM notes WHERE id % 3 = 0) SELECT id, relpath, content_hash, last_opened FROM notes LEFT JOIN old USING (id)")
+def rebuilt(spark, sf_dir):
+    """All derived rows made anew; only what can't be derived, the times of opening, is carried over by id."""
+    n = notes(spark, sf_dir)
+    old = n.where("id % 3 = 0").select("id", F.col("mtime").alias("last_opened"))
+    return n.select("id", "relpath", "content_hash").join(old, "id", "left")
+
+
+@query("c3_c13_hydrated", f"WITH {NOTES_SQL}, r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) SELECT user_id, CAST(rank AS INTEGER) AS rank, title, relpath FROM r JOIN notes ON id = event_id WHERE rank <= 3")
+def hydrated(spark, sf_dir):
+    """Ranked and cut first, joined to notes after, so that only winners are looked up."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    top = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.row_number().over(w).alias("rank")).where("rank <= 3")
+    return top.join(notes(spark, sf_dir).select("id", "title", "relpath"), "id").select("user_id", "rank", "title", "relpath")

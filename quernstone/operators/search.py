@@ -142,7 +142,10 @@ def title_ladder(spark, sf_dir):
     """The first words of conversations as queries against all titles, ten best each."""
     t = notes(spark, sf_dir).select("id", F.lower("title").alias("title"), "mtime", "relpath")
     q = table(spark, sf_dir, "conversations").select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("q")).where("q <> ''").distinct()
-    found = t.join(q, F.contains("title", "q")).withColumn("score", title_score(F.col("title"), F.col("q")))
+    from .keyword import by_blocks
+
+    met = by_blocks(q.withColumn("query_id", F.col("q")), lambda part: t.join(F.broadcast(part.drop("query_id")), F.contains("title", "q")))
+    found = met.withColumn("score", title_score(F.col("title"), F.col("q")))
     return ranked(found, 10, F.desc("score"), F.desc("mtime"), F.col("relpath"), by="q").select("q", "id", "score", "rank")
 
 

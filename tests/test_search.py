@@ -164,3 +164,54 @@ def test_contexts_fit_the_budget(spark):
     for budget, rung in ((10_000, 0), (2_500, 1), (400, 3), (10, 4)):
         r = organise.contexts(added, found_, bodies, budget).first()
         assert r.rung == rung and (r.tokens <= budget or rung == 4), (budget, r.rung, r.tokens)
+
+
+def test_reports_and_corpora(spark, tmp_path):
+    from quernstone.sources import reports
+
+    m = spark.createDataFrame([("a|b", 0.5, None)], "category string, top1 double, note string")
+    assert reports.markdown_table(m) == "| category | top1 | note |\n|---|---|---|\n| a\\|b | 0.500 |  |\n"
+    reports.write_json(m, f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m").first().top1 == 0.5
+    g, d = spark.createDataFrame([("a.md", "g")], "relpath string, text string"), spark.createDataFrame([("a.md", "d"), ("b.md", "d")], "relpath string, text string")
+    assert {tuple(r) for r in reports.corpus(g, d).collect()} == {("a.md", "g", True), ("b.md", "d", False)}
+    e = spark.createDataFrame([(1, "c", "t", 5, 6, 3), (2, "c", "t", 5, 5, 1), (3, "c", "t", 5, None, None)], "query_id long, category string, text string, wanted long, found long, rank int")
+    assert [r.query_id for r in reports.failures(e).collect()] == [3, 1]
+
+    class Text:
+        name = "text"
+
+        def can_read(self, path):
+            return path.endswith(".txt")
+
+        def notes(self, spark, path):
+            return spark.read.text(path)
+
+    assert reports.importer_for("a.txt", [Text()]).name == "text"
+
+
+def test_stream_of_files(spark, tmp_path):
+    import time
+
+    from quernstone.sources import reports
+
+    root, seen, watch = tmp_path / "notes", [], reports.Progress()
+    (root / "_assets").mkdir(parents=True)
+    (root / "a.md").write_text("one")
+    (root / "_assets" / "x.md").write_text("no")
+    spark.streams.addListener(watch)
+    q = reports.file_changes(spark, str(root)).queryName("files").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda b, n: seen.extend(r.relpath for r in b.select("relpath").collect())).start()
+    try:
+        for name in ("", "b.md"):
+            if name:
+                (root / name).write_text("two")
+            for _ in range(100):
+                if len(seen) >= (2 if name else 1):
+                    break
+                time.sleep(0.3)
+        assert sorted(seen) == ["a.md", "b.md"]
+    finally:
+        q.stop()
+        time.sleep(1)
+        spark.streams.removeListener(watch)
+    assert watch.batches.get("files", 0) >= 1 and watch.error is None
