@@ -196,7 +196,7 @@ class Model:
 
 def _write_words(table: pa.Table, model: Model) -> pa.Table:
     b, k, n = shared.merge(table)
-    model.words.write(b, k, n)
+    model.words.write(b, k, shared.least(n))
     return pa.table([[b], [len(k)], [int(n.sum())], *([x] for x in counts_of_counts(n))], schema=_stats_schema())
 
 
@@ -249,7 +249,7 @@ def _write_triples(table: pa.Table, model: Model) -> pa.Table:
         np.concatenate([shared.widen(bytes(x.as_buffer())) for x in table.column("counts")]))
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     starts = np.append(at, len(key))
-    model.triples.write(b, key[at], starts.astype(np.uint32) if len(key) < 1 << 32 else starts, word, n.astype(np.uint8 if n.max() < 256 else np.int64))
+    model.triples.write(b, key[at], starts.astype(np.uint32) if len(key) < 1 << 32 else starts, word, shared.least(n))
     cc = counts_of_counts(n)
     pairs, m = shared.distinct(mix((unmix(key) << U64(32)) | word.astype(U64)))
     rows = shared.rows(pairs, m, model.bits)
@@ -262,7 +262,7 @@ PARTS = "segment long, bucket int, n1 long, n2 long, n3 long, n4 long, m1 long,
 def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
     """One bucket of bigrams to its arrays; its share of each word's statistics, by segment of ids."""
     b, k, n = shared.merge(table)
-    model.pairs.write(b, k, n.astype(np.uint8 if n.max() < 256 else np.int64))
+    model.pairs.write(b, k, shared.least(n))
     key = unmix(k)
     before, after = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
     cc, rows = counts_of_counts(n), []

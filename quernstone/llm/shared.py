@@ -175,6 +175,11 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw, U64), dtype=U64)
 
 
+def least(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least unsigned type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
+
+
 def narrow(counts: np.ndarray) -> bytes:
     """Counts with a leading byte that names their width."""
     size = 1 if not len(counts) or counts.max() < 256 else 4 if counts.max() < 1 << 32 else 8
