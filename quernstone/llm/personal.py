@@ -95,7 +95,7 @@ def compatible(kind: int, token: str) -> bool:
     """Whether a token may be an identifier of this kind in some form."""
     digits = len(_DIGIT.findall(token))
     if kind == 0:
-        return "@" in token or _AT.search(token) is not None and digits < 7
+        return "@" in token or _AT.search(token) is not None
     if kind == 1:
         return digits >= 4 and ("." in token or ":" in token) and "@" not in token
     return (digits >= 13 if kind == 2 else digits >= 7) and "@" not in token
@@ -146,6 +146,7 @@ def _neighbours(text: str, start: int, end: int) -> tuple[int, int]:
 def _likely(text: str) -> Iterator[tuple[int, int]]:
     """Spans like identifiers, from left to right."""
     group: list[tuple[int, int]] = []
+    reach = 0  # what a bracketed "at" has taken
 
     def closed() -> Iterator[tuple[int, int]]:
         if group:
@@ -159,6 +160,8 @@ def _likely(text: str) -> Iterator[tuple[int, int]]:
 
     for m in _LIKE.finditer(text):
         s, e = m.span()
+        if s < reach or text[e : e + 1] == " " and _AT.match(text, e + 1):
+            continue  # part of what goes with the "at"
         if group and not (s == group[-1][1] + 1 and text[s - 1] == " " and text[group[-1][1] - 1] not in _END):
             yield from closed()
         if _GROUP.fullmatch(text, s, e if text[e - 1] not in _END else e - 1):
@@ -166,7 +169,10 @@ def _likely(text: str) -> Iterator[tuple[int, int]]:
             continue
         yield from closed()
         if _AT.fullmatch(text, s, e):
-            yield _neighbours(text, s, e)
+            span = _neighbours(text, s, e)
+            if span[0] >= reach:
+                reach = span[1]
+                yield span
         elif "@" in m[0] or _AT.search(m[0]) or len(_DIGIT.findall(m[0])) >= 4:
             yield s, e
     yield from closed()

@@ -256,6 +256,11 @@ def test_identifiers_with_spaces(spark):
     assert found[80].spans == "phone:12:24" and found[81].spans == "email:10:31" and found[82].spans == "" and found[83].spans == "email:10:37"
 
 
+def test_parts_of_a_spelt_out_address_are_one_instance():
+    t = "mail u630232 (at) ex7890123.com (at) x then 12345 more"
+    assert [t[s:e] for _, s, e in personal.instances(t, [])] == ["u630232 (at) ex7890123.com", "12345"]
+
+
 def test_personal_data_is_linear_in_a_token():
     for text in ("a" * 1_000_000 + "1", "1a" * 500_000, "@" * 1_000_000, "x@y.z " * 100_000, "1 " * 500_000, "a(at)" * 200_000, " (at) (dot)" * 100_000, "[" * 1_000_000):
         began = time.time()
