@@ -9,6 +9,7 @@ from ..corpus import NOTES_SQL, TERMS_SQL, notes, terms
 from ..registry import query
 from ..session import table
 from . import text as T
+from .markup import markdown_spans as styled_spans
 from .temporal import temporal
 
 
@@ -144,9 +145,9 @@ def wordpieces(spark, sf_dir):
 
 @query("h46_markdown_spans")
 def markdown_spans(spark, sf_dir):
-    """Headings, links and code in texts, one row each."""
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found")) for k, p in (("heading", r"(?m)^#{1,6} .*$"), ("code", r"`[^`\n]+`"), ("link", r"\[[^\]\n]+\]\([^)\n]+\)"), ("strong", r"\*\*[^*\n]+\*\*"), ("task", r"(?m)^\s*- \[[ xX]\] "))))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.kind", F.posexplode("k.found").alias("ordinal", "span"))
+    """The styled spans of texts, with a heading, a list and a fence before each."""
+    t = F.concat(F.lit("# Head *it*\n- [x] done `code`\n```py\nx\n```\n"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(styled_spans(t)).alias("ordinal", "s")).select("doc_id", "ordinal", "s.*")
 
 
 @query("h20_h35_coverage", f"WITH {NOTES_SQL}, w AS (SELECT id, list_distinct(regexp_extract_all(lower(title), '[a-z]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(body), '[a-z]{{3,}}')) AS b FROM notes) SELECT id, len(a) AS words, len(list_intersect(a, b)) / greatest(len(a), 1) AS coverage FROM w")

@@ -215,3 +215,16 @@ def test_stream_of_files(spark, tmp_path):
         time.sleep(1)
         spark.streams.removeListener(watch)
     assert watch.batches.get("files", 0) >= 1 and watch.error is None
+
+
+def test_markdown_spans():
+    from quernstone.functions.markup import KINDS, styled
+
+    text = "# Head *it* #\n> quote\n- [x] **b** and `co*de*`\n1. ~~s~~ ***bi***\n---\n😀 [t](u)\n```py\n*no*\n```\nsnake_case_word"
+    wide = text.encode("utf-16-le")
+    got = [(s["kind"], wide[2 * s["start"] : 2 * (s["start"] + s["length"])].decode("utf-16-le"), s["detail"]) for s in styled(text)]
+    for want in [("heading", "Head *it*", "1"), ("italic", "it", None), ("blockQuote", "quote", None), ("listMarker", "-", None), ("taskMarker", "[x]", "checked"), ("bold", "b", None), ("inlineCode", "co*de*", None), ("listMarker", "1.", None),
+                 ("strikethrough", "s", None), ("boldItalic", "bi", None), ("thematicBreak", "---", None), ("link", "t", None), ("linkURL", "u", None), ("codeFence", "```py", None), ("codeLanguage", "py", "py"), ("codeBlock", "*no*", None), ("codeFence", "```", None)]:
+        assert want in got, want
+    assert {k for k, *_ in got} == set(KINDS) and not any(t in ("de", "no", "case") for k, t, _ in got if k in ("italic", "bold"))
+    assert styled(None) == [] and [s["kind"] for s in styled("```\nopen *x*")] == ["codeFence", "codeBlock"]
