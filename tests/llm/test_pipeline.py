@@ -73,6 +73,25 @@ def test_odd_table(spark, sf):
     assert docs.count() >= 4
 
 
+def test_empty_long_and_clashing(spark, sf):
+    """Empty tables stay empty; a very long text and columns named like our own pass all stages with their values."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, component_id long, bucket int, label string"
+    long = " ".join(f"w{k}" for k in range(60_000)) + " write to x@example.com"
+    for rows in ([], [(1, long, "en", "s", len(long), "r", 5, 6, "l"), (2, None, None, None, None, None, None, None, None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, sf)
+            assert after.columns == docs.columns
+            docs = spark.createDataFrame(after.collect(), docs.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        if rows:
+            kept = {r.doc_id: r for r in docs.collect()}
+            assert kept[1].text == long.replace("x@example.com", "<EMAIL>") and kept[1].row == "r" and kept[1].component_id == 5 and kept[1].n_chars == len(kept[1].text)
+            assert {r.doc_id for r in packed} == {1, 2} and not kept[2].text
+        else:
+            assert docs.count() == 0 and packed == []
+
+
 def test_rows_without_or_with_repeated_ids(spark, sf):
     """One text of each group of copies passes all stages whole, whatever the ids are."""
 
