@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .centroids import op13_centroid_clustering
 from .fingerprints import op3_document_fingerprints
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_model import op2_lm_scoring
+from .near_vectors import op11_embedding_near_dedup
 from .neighbours import op10_nearest_neighbours
 from .packing import op8_best_fit_packing
 from .personal import op5_pii
@@ -25,5 +27,7 @@ QUERIES: dict = {
     "op5_pii": op5_pii,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding_sql()}
