@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .centroids import op13_centroid_clustering
+from .collocations import op12_phrase_collocations
 from .fingerprints import op3_document_fingerprints
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_model import op2_lm_scoring
@@ -28,6 +29,7 @@ QUERIES: dict = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding_sql()}
