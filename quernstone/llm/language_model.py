@@ -96,10 +96,7 @@ class Model:
         self.starts = np.zeros(1, np.int64)
         self.vocabulary = self.tokens = self.types = 0
         self.low, self.high, self.top = [0.75] * 3, [0.75] * 3, [0.75] * 3
-        self._segments: dict[int, list] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_segments": {}}
+        self._segments = shared.Held()
 
     @property
     def segment(self) -> int:
@@ -182,12 +179,7 @@ class Model:
         out = [np.zeros(len(ids), np.int64) for _ in KINDS]
         part = ids // self.segment
         for p in np.unique(part):
-            if p not in self._segments:
-                try:
-                    self._segments[p] = [shared.load(self.by_word, f"{p}-{k}") for k in KINDS]
-                except FileNotFoundError:
-                    self._segments[p] = []
-            if have := self._segments[p]:
+            if have := self._segments.get(int(p), self.by_word, [f"{p}-{k}" for k in KINDS]):
                 s = part == p
                 for o, x in zip(out, have, strict=True):
                     o[s] = x[ids[s] - p * self.segment]

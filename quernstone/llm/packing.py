@@ -132,7 +132,9 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = 204
     cut = partial(_pieces, tokenizer=tokenizer or default_tokenizer(), capacity=capacity, end=end, with_ids=with_ids)
     pieces = shared.written(shared.mapped(documents.select("doc_id", "text"), cut, PIECES + ", ids array<long>" * with_ids), "pieces")
     tasks = max(1, round(pieces.count() / TASK))
-    return shared.mapped(pieces.repartition(tasks), partial(_pack, capacity=capacity, open_bins=open_bins), PLACED.replace("ids_crc32 long", "ids_crc32 long, ids array<long>") if with_ids else PLACED)
+    # a task that runs again packs its rows in the same order
+    dealt = pieces.repartition(tasks).sortWithinPartitions("doc_id", "piece", "length", "ids_crc32")
+    return shared.mapped(dealt, partial(_pack, capacity=capacity, open_bins=open_bins), PLACED.replace("ids_crc32 long", "ids_crc32 long, ids array<long>") if with_ids else PLACED)
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import mmap
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +38,8 @@ MOST_BITS = 18
 BATCH = 4 << 20
 #: Bytes of arrays that a worker holds where they can't be mapped.
 HELD_BYTES = 128 << 20
+#: Arrays that a store keeps mapped in a worker; the system allows some 65,000 maps a process.
+MAPPED = 8192
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -97,7 +101,7 @@ def save(uri: str, name: str, array: np.ndarray) -> None:
 def load(uri: str, name: str) -> np.ndarray:
     """Maps an array that save() wrote; from a store without a mount it is read into memory."""
     if path := local(uri):
-        return np.load(f"{path}/{name}.npy", mmap_mode="r")
+        return _mapped(f"{path}/{name}.npy")
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
@@ -105,6 +109,46 @@ def load(uri: str, name: str) -> np.ndarray:
         return np.lib.format.read_array(pa.PythonFile(f, "r"))
 
 
+def _mapped(path: str) -> np.ndarray:
+    """A mapped array that keeps no file open."""
+    with open(path, "rb") as f:
+        version = np.lib.format.read_magic(f)
+        shape, _, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        if 0 in shape:
+            return np.empty(shape, dtype)
+        untracked = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **untracked)
+        return np.frombuffer(raw, dtype, offset=f.tell(), count=int(np.prod(shape))).reshape(shape)
+
+
+class Held:
+    """Groups of loaded arrays by key, the latest used ones: MAPPED arrays at most where they are mapped, else
+    HELD_BYTES of them (one group is held in any case). A worker's own: it isn't sent with its owner."""
+
+    def __init__(self) -> None:
+        self._groups: dict[int, tuple] = {}
+        self._arrays = self._bytes = 0
+
+    def __getstate__(self) -> dict:
+        return {"_groups": {}, "_arrays": 0, "_bytes": 0}
+
+    def get(self, key: int, uri: str, names: list[str]) -> tuple:
+        """The arrays of these names, or () where the first has no file."""
+        if (have := self._groups.pop(key, None)) is None:
+            try:
+                have = tuple(load(uri, name) for name in names)
+            except FileNotFoundError:
+                have = ()
+            self._arrays += len(have)
+            self._bytes += 0 if local(uri) else sum(x.nbytes for x in have)
+            while self._groups and (self._arrays > MAPPED or self._bytes > HELD_BYTES):
+                gone = self._groups.pop(next(iter(self._groups)))
+                self._arrays -= len(gone)
+                self._bytes -= 0 if local(uri) else sum(x.nbytes for x in gone)
+        self._groups[key] = have
+        return have
+
+
 def bits(texts: DataFrame, column: str = "text") -> int:
     """Leading bits that name a bucket: enough for one bucket each BUCKET bytes of a text column, which
     are measured, and for two buckets each shuffle partition; 18 at most."""
@@ -240,24 +284,15 @@ class Sorted:
 
     def __init__(self, uri: str, bucket_bits: int, values: tuple[str, ...] = ()):
         self.uri, self.bits, self.values = uri, bucket_bits, values
-        self._open: dict[int, tuple] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}}
+        self._held = Held()
 
     def write(self, bucket: int, keys: np.ndarray, *values: np.ndarray) -> None:
         for name, x in zip(("keys", *self.values), (keys, *values), strict=True):
             save(self.uri, f"{bucket}-{name}", x)
 
     def bucket(self, b: int) -> tuple:
-        if b not in self._open:
-            try:
-                self._open[b] = tuple(load(self.uri, f"{b}-{name}") for name in ("keys", *self.values))
-            except FileNotFoundError:  # no key has these leading bits
-                self._open[b] = ()
-            if not local(self.uri) and sum(x.nbytes for have in self._open.values() for x in have) > HELD_BYTES:
-                self._open = {b: self._open[b]}  # what isn't mapped takes memory
-        return self._open[b]
+        """The arrays of a bucket; () where no key has these leading bits."""
+        return self._held.get(b, self.uri, [f"{b}-{name}" for name in ("keys", *self.values)])
 
     def find(self, keys: np.ndarray, *missing: int | float) -> list[np.ndarray]:
         """For sorted distinct keys: whether each is held, then each array of values (missing where not)."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import fingerprints, jaccard_join, language_model, neighbours, packing, personal, queries, repeats, sentencepiece, sharding, toxicity
+from quernstone.llm import fingerprints, jaccard_join, language_model, neighbours, packing, personal, queries, repeats, sentencepiece, sharding, shared, toxicity
 from quernstone.llm.text import mix, unmix
 
 SCHEMA = "doc_id long, text string, lang string, bucket string, keys string, label string"
@@ -65,6 +65,47 @@ def test_sharding(spark, docs, duck, same_rows, odd, none, sf):
         sharding.lookup_table(("a", "a"), 101)
 
 
+def test_arrays_stay_bounded(tmp_path, monkeypatch):
+    """A store keeps no file open, and no more arrays mapped than it may; what was dropped is read again."""
+    import os
+
+    monkeypatch.setattr(shared, "MAPPED", 40)
+    store = shared.Sorted(f"file://{tmp_path}", 11, ("counts",))
+    keys = (np.arange(2048, dtype=np.uint64) << np.uint64(53)) + np.uint64(5)
+    for b in range(0, 2048, 2):
+        store.write(b, keys[b : b + 1], np.array([b], np.uint16))
+    store.write(1, np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+    before = len(os.listdir("/proc/self/fd"))
+    for _ in range(2):
+        held, counts = store.find(keys, -1)
+        assert (held == (np.arange(2048) % 2 == 0)).all() and (counts == np.where(held, np.arange(2048), -1)).all()
+    with open("/proc/self/maps") as f:
+        assert sum(str(tmp_path) in line for line in f) <= 40
+    assert len(os.listdir("/proc/self/fd")) <= before + 1
+
+
+def test_scoring_with_few_open_files(spark, docs, texts):
+    """The language model with many buckets in workers that may open few files."""
+    import resource
+
+    def limited(batches):
+        soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+        resource.setrlimit(resource.RLIMIT_NOFILE, (200, hard))
+        try:
+            yield from language_model._score(batches, model)
+        finally:
+            resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        model = language_model.fit(docs.where("doc_id < 60"))
+        rows = shared.mapped(docs.select("doc_id", F.lit(True).alias("held_out"), "text"), limited, language_model.RESULT)
+        assert model.bits >= 9 and rows.where("score < 0").count() == len(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def brute_lm(train, docs, order):
     """The same model in dictionaries: counts of n-grams, and for lower orders of different words before."""
     grams = [Counter() for _ in range(order + 1)]
