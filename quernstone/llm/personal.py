@@ -50,8 +50,7 @@ _DOT = re.compile(r"[(\[]dot[)\]]", re.I)
 _END = ".,;:!?"
 #: Digits of the longest identifier; a longer run of groups is taken group by group.
 MOST_DIGITS = 19
-#: Tokens of a spelt-out domain, "dot"s included.
-MOST_LABELS = 9
+_WORD = re.compile(r"\S++")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -106,13 +105,17 @@ def _hash(*x: str) -> int:
 
 
 def _word_before(text: str, at: int) -> str:
-    w = text[max(0, at - 64) : at].rstrip()
-    return w.split()[-1].lower() if w.split() else ""
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:at].lower()
 
 
 def _word_after(text: str, at: int) -> str:
-    w = text[at : at + 64].split()
-    return w[0].lower() if w else ""
+    m = _WORD.search(text, at)
+    return m[0].lower() if m else ""
 
 
 def patterns(text: str, start: int, end: int) -> list[int]:
@@ -128,9 +131,7 @@ def _neighbours(text: str, start: int, end: int) -> tuple[int, int]:
         while before and not text[before - 1].isspace():
             before -= 1
         start = before if before < start - 1 else start
-    for _ in range(MOST_LABELS):
-        if text[end : end + 1] != " ":
-            break
+    while text[end : end + 1] == " ":
         after = end + 1
         while after < len(text) and not text[after].isspace():
             after += 1

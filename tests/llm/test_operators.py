@@ -302,6 +302,15 @@ def test_parts_of_a_spelt_out_address_are_one_instance():
     assert [t[s:e] for _, s, e in personal.instances(t, [])] == ["u630232 (at) ex7890123.com", "12345"]
 
 
+def test_contexts_are_whole_words():
+    """Contexts beyond long white space, words of any length, spelt-out addresses of any number of labels."""
+    long, wide = "w" * 500, " " * 300
+    t = f"{long}1{wide}12345{wide}{long}2 x"
+    assert personal.patterns(t, t.index("12345"), t.index("12345") + 5) == [personal._hash("before", f"{long}1"), personal._hash("after", f"{long}2"), personal._hash("around", f"{long}1", f"{long}2")]
+    spelt = "me (at) " + " (dot) ".join(f"part{chr(97 + k)}" for k in range(20))
+    assert [f"write {spelt} soon"[s:e] for _, s, e in personal.instances(f"write {spelt} soon", [])] == [spelt]
+
+
 def test_personal_data_is_linear_in_a_token():
     for text in ("a" * 1_000_000 + "1", "1a" * 500_000, "@" * 1_000_000, "x@y.z " * 100_000, "1 " * 500_000, "a(at)" * 200_000, " (at) (dot)" * 100_000, "[" * 1_000_000):
         began = time.time()
