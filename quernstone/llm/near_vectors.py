@@ -69,9 +69,12 @@ def _hyperplanes(dimension: int, tables: int, bits: int) -> np.ndarray:
 
 
 def signs(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """(rows, tables) keys of ``bits`` signs each."""
+    """The keys of each row, ``bits`` signs each, as many to a word as fit."""
     positive = (x @ _hyperplanes(x.shape[1], tables, bits) > 0).reshape(len(x), tables, bits)
-    return (positive << np.arange(bits)).sum(2, dtype=np.int64)
+    key = (positive.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64)
+    each = 64 // bits
+    key = np.pad(key, ((0, 0), (0, -tables % each))).reshape(len(x), -1, each)
+    return (key << (np.arange(each, dtype=np.uint64) * np.uint64(bits))).sum(2, dtype=np.uint64).view(np.int64)
 
 
 def _column(rows: np.ndarray) -> pa.Array:
@@ -156,21 +159,23 @@ def _allowed(angle: Column | float, signs_in_all: int) -> Column:
     return p * signs_in_all + F.sqrt(p * (1 - p) * signs_in_all) * SLACK + 1
 
 
-def _keys(df: DataFrame, *columns: str) -> DataFrame:
+def _keys(df: DataFrame, tables: int, bits: int, *columns: str) -> DataFrame:
     """A row for each table: table, key, and these columns."""
-    return df.select(*columns, F.posexplode("signs").alias("table", "key"))
+    each = 64 // bits
+    key = f"shiftrightunsigned(signs[t div {each}], cast(t % {each} * {bits} as int)) & {(1 << bits) - 1}L"
+    return df.select(*columns, F.posexplode(F.expr(f"transform(sequence(0, {tables - 1}), t -> {key})")).alias("table", "key"))
 
 
 def _spread(key: Column, n: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(key), F.ceil(n / size))
 
 
-def _balls(classes: DataFrame, signed: DataFrame, dtype: str, least: float, all_signs: int) -> tuple[DataFrame, DataFrame]:
+def _balls(classes: DataFrame, signed: DataFrame, dtype: str, least: float, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Members of balls of several: c, ball, angle (from the centre); and the centres: ball, vector."""
     theta = math.acos(least)
-    mine = _keys(signed.withColumnRenamed("ball", "c"), "c", "signs")
+    mine = _keys(signed.withColumnRenamed("ball", "c"), tables, bits, "c", "signs")
     pivots = mine.groupBy("table", "key").agg(F.min(F.struct(F.xxhash64("c").alias("h"), F.col("c").alias("pivot"), F.col("signs").alias("other"))).alias("p"), F.count("*").alias("n")).where("n > 1").select("table", "key", "p.*")
-    pairs = mine.join(pivots, ["table", "key"]).where((F.col("c") != F.col("pivot")) & (_differing("signs", "other") <= _allowed(theta, all_signs))).select("c", "pivot", "h").distinct()
+    pairs = mine.join(pivots, ["table", "key"]).where((F.col("c") != F.col("pivot")) & (_differing("signs", "other") <= _allowed(theta, tables * bits))).select("c", "pivot", "h").distinct()
     vector = classes.select("c", "vector")
     pairs = pairs.join(vector, "c").join(classes.select(F.col("c").alias("pivot"), F.col("vector").alias("other_vector")), "pivot")
     linked = shared.written(shared.mapped(pairs, partial(_cosines, left=dtype, right=dtype, names=("c", "pivot"), least=least), "c long, pivot long, cosine double"), "followed")
@@ -186,9 +191,9 @@ def _balls(classes: DataFrame, signed: DataFrame, dtype: str, least: float, all_
     return shared.written(inside.withColumn("angle", F.acos(F.least(F.lit(1.0), "cosine")) + MARGIN).drop("cosine"), "members"), centres.withColumnRenamed("pivot", "ball")
 
 
-def _meetings(balls: DataFrame, theta: float, all_signs: int, centre_signs: DataFrame, member_signs: DataFrame) -> DataFrame:
+def _meetings(balls: DataFrame, theta: float, tables: int, bits: int, centre_signs: DataFrame, member_signs: DataFrame) -> DataFrame:
     """Pairs (ball, other) that share a key of any members, and whose centres may be near enough."""
-    rows = _keys(member_signs, "ball").distinct()
+    rows = _keys(member_signs, tables, bits, "ball").distinct()
     crowds = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART))
     rows = rows.join(crowds, ["table", "key"]).join(balls.select("ball", "radius").join(centre_signs, "ball"), "ball").withColumn("part", F.pmod(F.xxhash64("ball"), F.col("parts")))
     rows = shared.written(rows.select("table", "key", "parts", "part", "ball", "radius", "signs"), "meeting")
@@ -196,7 +201,7 @@ def _meetings(balls: DataFrame, theta: float, all_signs: int, centre_signs: Data
     left = rows.select("table", "key", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), last)).alias("j"), "ball", "radius", "signs")
     right = rows.select("table", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("ball").alias("other"), F.col("radius").alias("other_radius"), F.col("signs").alias("other_signs"))
     met = left.join(right, ["table", "key", "i", "j"]).where(F.when(F.col("i") == F.col("j"), F.col("ball") < F.col("other")).otherwise(F.col("ball") != F.col("other")))
-    met = met.where(_differing("signs", "other_signs") <= _allowed(theta + F.col("radius") + F.col("other_radius"), all_signs))
+    met = met.where(_differing("signs", "other_signs") <= _allowed(theta + F.col("radius") + F.col("other_radius"), tables * bits))
     return met.select(F.least("ball", "other").alias("ball"), F.greatest("ball", "other").alias("other")).distinct()
 
 
@@ -209,7 +214,7 @@ def _linked(clean: DataFrame, dimension: int, rows: int, dtype: str, least: floa
     classes = shared.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     sign = partial(_signed, dtype=dtype, tables=tables, bits=bits)
     signed = shared.written(shared.mapped(classes.select(F.col("c").alias("ball"), "vector"), sign, "ball long, signs array<long>"), "signs")
-    members, centres = _balls(classes, signed, dtype, least, tables * bits)
+    members, centres = _balls(classes, signed, dtype, least, tables, bits)
     slim = classes.select("c", "class", "first_id", "copies")
     # a class alone has a ball of its own, numbered below zero
     homes = slim.join(members, "c", "left").select("c", "class", "first_id", "copies", F.coalesce("ball", -1 - F.col("c")).alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
@@ -218,7 +223,7 @@ def _linked(clean: DataFrame, dimension: int, rows: int, dtype: str, least: floa
     alone = signed.select((-1 - F.col("ball")).alias("ball"), "signs")
     central = shared.mapped(centres, partial(_signed, dtype="f8", tables=tables, bits=bits), "ball long, signs array<long>").union(alone)
     of_members = signed.join(homes.select(F.col("c").alias("ball"), F.col("ball").alias("home")), "ball").select(F.col("home").alias("ball"), "signs")
-    met = shared.written(_meetings(balls, theta, tables * bits, central, of_members), "meetings")
+    met = shared.written(_meetings(balls, theta, tables, bits, central, of_members), "meetings")
     # centres of balls alone are stored as the vectors are, others as doubles
     vectors = centres.select("ball", "vector", F.lit(True).alias("mean")).union(classes.select((-1 - F.col("c")).alias("ball"), "vector", F.lit(False).alias("mean")))
     sided = met.join(vectors, "ball").join(vectors.select(F.col("ball").alias("other"), F.col("vector").alias("other_vector"), F.col("mean").alias("other_mean")), "other")
