@@ -34,7 +34,7 @@ from .text import PIECE, U64, buffers, mix, rolling, runs, spans_hash, unmix
 
 LONGEST = 4
 #: Occurrences of a prefix that one task grows.
-PROJECTED = 1 << 22
+PROJECTED = 1 << 20
 #: Phrases of a language that are ranked together before the last ranking, in so many parts.
 PARTS = 64
 #: Words that a task remembers to have sent.
