@@ -68,9 +68,9 @@ def times(spark, sf_dir):
     return e.select("event_id", "iso", F.date_format(back, "yyyy-MM-dd HHmm").alias("stamp"), F.date_diff(back.cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("days"))
 
 
-@query("h8_signatures", "SELECT item_id, bit_count(list_reduce(list_prepend(0::UBIGINT, list_transform(list_distinct(list_transform(string_split(lower(text), ''), lambda c: ascii(c) % 64)), lambda k: (1::UBIGINT) << k)), lambda a, b: a | b)) AS classes FROM benchmark")
+@query("h8_signatures", "SELECT item_id, CAST(len(list_distinct(list_transform(range(strlen(text)), lambda k: ('0x' || substr(hex(encode(lower(text))), CAST(2 * k + 1 AS INTEGER), 2))::INT % 64))) AS INTEGER) AS classes FROM benchmark")
 def signatures(spark, sf_dir):
-    """How many of 64 classes of characters a text has: what a near word can't differ in by more than its edits."""
+    """How many of 64 classes of bytes a text has: what a near word can't differ in by more than its edits."""
     from ..operators.fuzzy import signature
 
     return table(spark, sf_dir, "benchmark").select("item_id", F.bit_count(signature(F.lower("text"))).alias("classes"))

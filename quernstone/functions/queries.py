@@ -23,12 +23,12 @@ def folded(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("folded"))
 
 
-@query("h7_tolerance", "SELECT item_id, w, CASE WHEN strlen(w) < 4 THEN 0 WHEN strlen(w) < 8 THEN 1 ELSE 2 END AS tolerance FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w FROM benchmark)".replace("\\\\", "\\"))
+@query("h7_tolerance", "SELECT item_id, w, CASE WHEN len(w) < 4 THEN 0 WHEN len(w) < 8 THEN 1 ELSE 2 END AS tolerance FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w FROM benchmark)".replace("\\\\", "\\"))
 def tolerances(spark, sf_dir):
     from ..operators.fuzzy import tolerance
 
     w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(terms("text"))).alias("w"))
-    return w.withColumn("tolerance", tolerance(F.octet_length("w")))
+    return w.withColumn("tolerance", tolerance(F.length("w")))
 
 
 @query("h17_h18_ranking_math", "SELECT event_id, round(1.0 / (20 + 1 + event_id % 50), 9) AS rrf, round(1 + 0.05 * exp(-greatest(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts), 0) / 86400000000.0 / 30 * 0.6931471805599453), 9) AS boost FROM events")

@@ -2,6 +2,7 @@
 
 
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -9,13 +10,34 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chunker import chunked, chunks  # noqa: F401
 from .udf import arrow_udf
 
 
-@arrow_udf("string")
-def fold(s: pd.Series) -> pd.Series:
+def _marks() -> re.Pattern:
+    """Runs of combining characters."""
+    found = [k for k in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(k))]
+    return re.compile("[" + "".join(chr(k) for k in found) + "]+")
+
+
+_MARKS = _marks()
+
+
+def folded(t: str | None) -> str | None:
     """Case, width and diacritics removed (compatibility decomposition, marks dropped, case folded)."""
-    return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold())
+    return None if t is None else _MARKS.sub("", unicodedata.normalize("NFKD", t)).casefold()
+
+
+@arrow_udf("string")
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(folded)
+
+
+def fold(c: Column | str) -> Column:
+    """folded() of a column: texts in ASCII are lower-cased where they are, only others go to Python."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = F.length(c) == F.octet_length(c)
+    return F.when(plain, F.lower(c)).otherwise(_folded(F.when(~plain, c)))
 
 
 def utf16_length(c: Column) -> Column:
@@ -180,69 +202,6 @@ def patched(current: str, change: list[dict], reverse: bool = False) -> str | No
     return "\n".join(lines)
 
 
-_HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
-_FENCE = re.compile(r"\s{0,3}(```+|~~~+)\s*([\w+-]*)")
-
-
-def chunks(text: str, limit: int = 220, least: int = 64) -> list[dict]:
-    """Heading-aware pieces of whole lines: a fenced block is one piece of code, prose breaks at headings
-    (once it has ``least`` tokens) and at ``limit`` tokens; a short last piece joins the one before it
-    where both are prose of one section."""
-    out: list[dict] = []
-    path: list[tuple[int, str]] = []
-    held: list[str] = []
-    start = at = 0
-    fence: tuple[str, str] | None = None
-
-    def tokens(t: str) -> int:
-        return -(-len(t.encode()) // 4)
-
-    def close(kind: str, language: str | None = None) -> None:
-        nonlocal held
-        body = "".join(held)
-        if body.strip():
-            out.append({"kind": kind, "heading_path": [h for _, h in path_at], "language": language, "start": start, "length": len(body.encode("utf-16-le")) // 2, "text": body})
-        held = []
-
-    path_at: list[tuple[int, str]] = []
-    for line in (text or "").splitlines(keepends=True):
-        size = len(line.encode("utf-16-le")) // 2
-        mark = _FENCE.match(line)
-        if fence:
-            held.append(line)
-            if mark and mark[1].startswith(fence[0]) and not mark[2]:
-                close("code", fence[1] or None)
-                fence, start = None, at + size
-        elif mark:
-            close("prose")
-            path_at, start, held, fence = list(path), at, [line], (mark[1][:3], mark[2])
-        else:
-            heading = _HEADING.match(line)
-            if heading and tokens("".join(held)) >= least or held and tokens("".join(held) + line) > limit:
-                close("prose")
-            if heading:
-                level = len(heading[1])
-                path = [h for h in path if h[0] < level] + [(level, heading[2])]
-            if not held:
-                start, path_at = at, list(path)
-            held.append(line)
-        at += size
-    close("code" if fence else "prose", (fence[1] or None) if fence else None)
-    if len(out) > 1 and out[-1]["kind"] == out[-2]["kind"] == "prose" and out[-1]["heading_path"] == out[-2]["heading_path"] and tokens(out[-1]["text"]) < least and tokens(out[-2]["text"] + out[-1]["text"]) <= limit + least:
-        last = out.pop()
-        out[-1]["text"] += last["text"]
-        out[-1]["length"] += last["length"]
-    return out
-
-
-CHUNKS = "array<struct<kind: string, heading_path: array<string>, language: string, start: int, length: int, text: string>>"
-
-
-@arrow_udf(CHUNKS)
-def chunked(text: pd.Series) -> pd.Series:
-    return text.map(chunks)
-
-
 FRONT = "struct<id: string, created: string, tags: array<string>, body: string>"
 
 
@@ -330,18 +289,46 @@ def wordpiece(vocabulary: dict[str, int], limit: int = 256):
     return encoded
 
 
+WIDTH = 64
+_WORDS = re.compile(r"\w+")
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1 << 18
+_hashes: dict[str, int] = {}
+
+
+def _fnv(words: list[str]) -> np.ndarray:
+    """The 64-bit FNV-1a hashes of words, byte by byte for all of them at once."""
+    raw = [w.encode() for w in words]
+    size = np.array([len(x) for x in raw])
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    order = np.argsort(-size, kind="stable")
+    # the k-th byte of all words that have one; long words come first
+    flat = np.frombuffer(b"".join(raw[k] for k in order), np.uint8)
+    begin = np.cumsum(size[order]) - size[order]
+    for k in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-size[order], -k, "left"))
+        h[:n] = (h[:n] ^ flat[begin[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def _vectors(texts: list[str | None]) -> np.ndarray:
+    each = [_WORDS.findall((t or "").lower()) for t in texts]
+    if len(_hashes) > REMEMBERED:
+        _hashes.clear()
+    new = list({w for words in each for w in words if w not in _hashes})
+    _hashes.update(zip(new, _fnv(new).tolist() if new else [], strict=True))
+    h = np.array([_hashes[w] for words in each for w in words], np.uint64)
+    row = np.repeat(np.arange(len(each)), [len(words) for words in each])
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    v = np.bincount(row * WIDTH + (h % np.uint64(WIDTH)).astype(np.int64), sign, len(each) * WIDTH).reshape(-1, WIDTH)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    v[n[:, 0] == 0, 0] = 1.0
+    return (v / np.where(n > 0, n, 1.0)).astype(np.float32)
+
+
 @arrow_udf("array<float>")
 def hashed_embedding(text: pd.Series) -> pd.Series:
     """64 signed buckets of FNV-1a hashes of words, unit length; the first axis for a text without words."""
-
-    def one(t: str | None) -> list[float]:
-        v = [0.0] * 64
-        for w in re.findall(r"\w+", (t or "").lower()):
-            h = 0xCBF29CE484222325
-            for byte in w.encode():
-                h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            v[h % 64] += 1.0 if h >> 63 else -1.0
-        n = sum(x * x for x in v) ** 0.5
-        return [x / n for x in v] if n else [1.0, *v[1:]]
-
-    return text.map(one)
+    return pd.Series(list(_vectors(text.tolist())), index=text.index, dtype=object)

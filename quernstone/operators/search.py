@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import NOTES_SQL, TERMS_SQL, notes, terms
+from ..derived import ASKED, spread, written
 from ..registry import query
 from ..session import table
 
 K1, B = 1.2, 0.75
-#: Terms of queries up to which they are sent to every task.
-ASKED = 200_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,13 +27,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     repeats counts as often. queries: query_id, text. Scores are rounded to nine places, so that equal
     documents tie."""
     q = queries.select("query_id", F.explode(terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = q.select("term").distinct()
+    asked = q.select("term").union(q.sparkSession.createDataFrame([("",)], "term string")).distinct()
     asked = F.broadcast(asked) if asked.count() <= ASKED else asked
-    split = docs.select(key, terms(text).alias("t")).select(key, F.size("t").alias("length"), "t")
-    stats = split.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
-    # only terms that are asked for leave the scan; document frequencies are summed where the texts are
-    df = split.select(F.explode(F.array_distinct("t")).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    p = split.select(key, "length", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    # one pass: only terms that are asked for leave the scan, and an empty one that stands for the document
+    split = spread(docs.select(key, text)).select(key, terms(text).alias("t")).select(key, F.size("t").alias("length"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
+    p = written(split.join(asked, "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = p.where("term = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("length") * F.col("tf")).alias("total"))
+    df = p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     weights = q.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weights = F.broadcast(weights) if q.count() <= ASKED else weights
     hit = p.join(weights, "term")
@@ -47,14 +46,33 @@ def ranked(scores: DataFrame, keep: int, *order: Column, by: str = "query_id") -
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= keep)
 
 
+#: Words of a part that a document must have before the text is looked for.
+RAREST = 2
+
+
 def containing(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, query_id): documents that have the whole text of a part verbatim. They meet by the part's longest
-    word, and the text itself is looked for in what meets. docs: doc_id, text; parts: query_id, text."""
+    """(doc_id, query_id): documents that have the whole text of a part verbatim. They meet by the part's two rarest inner
+    words (its only one, or any word's trigrams where it has none), and the text itself is looked for in what
+    meets. docs: doc_id, text; parts: query_id, text."""
+    from .substrings import Substrings
+
     w = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    p = parts.select("query_id", F.col("text").alias("part"), F.array_max(F.transform(F.slice(w("text"), F.lit(2), F.greatest(F.size(w("text")) - 2, F.lit(1))), lambda t: F.struct(F.length(t), t.alias("word"))))["word"].alias("word"))
-    asked = F.broadcast(p) if p.count() <= ASKED else p
-    met = docs.select("doc_id", F.explode(F.array_distinct(w("text"))).alias("word")).join(asked.select("query_id", "word"), "word").select("doc_id", "query_id")
-    return met.join(docs, "doc_id").join(p.select("query_id", "part"), "query_id").where(F.contains("text", "part")).select("doc_id", "query_id")
+    inner = F.array_distinct(F.slice(w("text"), F.lit(2), F.greatest(F.size(w("text")) - 2, F.lit(0))))
+    p = written(parts.select("query_id", F.col("text").alias("part"), inner.alias("words")).where("part <> ''"), "parts")
+    each = p.select("query_id", F.explode("words").alias("word"))
+    asked = each.select("word").distinct()
+    texts = written(spread(docs.select("doc_id", "text")), "texts")
+    met = written(texts.select("doc_id", F.explode(F.array_distinct(w("text"))).alias("word")).join(F.broadcast(asked) if asked.count() <= ASKED else asked, "word"), "met")
+    df = met.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = ranked(each.join(df, "word", "left").fillna(0, ["df"]), RAREST, F.col("df"), F.col("word"))
+    need = rarest.groupBy("query_id").agg(F.count("*").alias("need"))
+    had = met.join(rarest.select("query_id", "word"), "word").groupBy("doc_id", "query_id").agg(F.count("*").alias("n")).join(need, "query_id").where("n = need").select("doc_id", "query_id")
+    found = had.join(texts, "doc_id").join(p.select("query_id", "part"), "query_id").where(F.contains("text", "part")).select("doc_id", "query_id")
+    bare = p.where("size(words) = 0")
+    if bare.isEmpty():
+        return found
+    short = Substrings.build(texts.select(F.col("doc_id").alias("id"), "text")).holding(bare.select(F.col("part").alias("q")))
+    return found.union(short.join(bare.select("query_id", F.col("part").alias("q")), "q").select(F.col("id").alias("doc_id"), "query_id"))
 
 
 def passages(spark, sf_dir):
@@ -142,9 +160,10 @@ def title_ladder(spark, sf_dir):
     """The first words of conversations as queries against all titles, ten best each."""
     t = notes(spark, sf_dir).select("id", F.lower("title").alias("title"), "mtime", "relpath")
     q = table(spark, sf_dir, "conversations").select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("q")).where("q <> ''").distinct()
-    from .keyword import by_blocks
+    from .substrings import Substrings
 
-    met = by_blocks(q.withColumn("query_id", F.col("q")), lambda part: t.join(F.broadcast(part.drop("query_id")), F.contains("title", "q")))
+    t = written(t, "titles")
+    met = Substrings.build(t.select("id", F.col("title").alias("text")), 8).holding(q).join(t, "id")
     found = met.withColumn("score", title_score(F.col("title"), F.col("q")))
     return ranked(found, 10, F.desc("score"), F.desc("mtime"), F.col("relpath"), by="q").select("q", "id", "score", "rank")
 
@@ -193,19 +212,24 @@ HYBRID_SQL = f"""WITH {NOTES_SQL}, {TOP_SQL}, e AS (SELECT vec_id, CAST(embeddin
   SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mtime DESC, id) AS rank FROM s) WHERE rank <= 20"""
 
 
-@query("l3_c20_hybrid_search", HYBRID_SQL)
-def hybrid_search(spark, sf_dir):
-    """Benchmark items as queries: the vector of the item's number, its text's BM25, fused, with recency."""
+def hybrid_ranked(spark, sf_dir):
+    """Benchmark items as queries: the vector of the item's number, its text's BM25, fused, with recency. cosine: of the
+    vector arm, null where only words found a document."""
     from .vectors import top_k
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    v = top_k(asked, e, 50).select("query_id", F.col("vec_id").alias("id"), "rank")
-    f = fused(v, top10(spark, sf_dir).withColumnRenamed("doc_id", "id"))
+    v = top_k(asked, e, 50).select("query_id", F.col("vec_id").alias("id"), "rank", F.col("score").alias("cosine"))
+    f = fused(v, top10(spark, sf_dir).withColumnRenamed("doc_id", "id")).join(v.select("query_id", "id", "cosine"), ["query_id", "id"], "left")
     n = notes(spark, sf_dir).select("id", "mtime")
     now = F.lit("2024-02-01").cast("timestamp_ntz")
     s = f.join(n, "id").withColumn("score", F.round(F.col("score") * recency(now, F.col("mtime")), 9))
-    return ranked(s, 20, F.desc("score"), F.desc("mtime"), F.col("id")).select("query_id", "id", "score", "rank")
+    return ranked(s, 20, F.desc("score"), F.desc("mtime"), F.col("id")).select("query_id", "id", "score", "rank", "cosine")
+
+
+@query("l3_c20_hybrid_search", HYBRID_SQL)
+def hybrid_search(spark, sf_dir):
+    return hybrid_ranked(spark, sf_dir).drop("cosine")
 
 
 @query("d15_best_chunk", """WITH s AS (SELECT conv_id, turn, len(text) AS score FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM s)
@@ -229,12 +253,15 @@ def candidate_merge(spark, sf_dir):
 def prefix_and_search(spark, sf_dir):
     """All three first terms of a passage, the last as a prefix: postings are counted by query and document."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.slice(terms("text"), 1, 3).alias("w")).where("size(w) = 3")
-    p = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    whole = q.select("item_id", F.explode(F.array_distinct(F.slice("w", 1, 2))).alias("term")).join(p, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    whole = whole.join(q.select("item_id", F.size(F.array_distinct(F.slice("w", 1, 2))).alias("need")), "item_id").where("n = need").select("item_id", "doc_id")
-    last = q.select("item_id", F.element_at("w", 3).alias("last"))
-    longest = last.agg(F.max(F.length("last"))).first()[0] or 1
-    # terms meet prefixes by equality, as each goes out with its own beginnings
-    heads = p.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))), lambda k: F.substr(F.col("term"), F.lit(1), k))).alias("last"))
-    asked = F.broadcast(last) if last.count() <= ASKED else last
-    return whole.join(heads.join(asked, "last").select("item_id", "doc_id").distinct(), ["item_id", "doc_id"])
+    d = written(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_distinct(terms("text")).alias("t")), "terms")
+    last = q.select("item_id", F.element_at("w", 3).alias("head"))
+    # one number for each length; distinct terms go out with their beginnings of these lengths
+    lengths = sorted(r.n for r in last.select(F.length("head").alias("n")).distinct().collect())
+    vocabulary = d.select(F.explode("t").alias("term")).distinct()
+    cut = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("term"))
+    begun = vocabulary.select("term", F.explode(F.transform(cut, lambda n: F.substr(F.col("term"), F.lit(1), n))).alias("head")).join(last, "head").select("item_id", "term", F.lit(3).alias("place"))
+    whole = q.select("item_id", F.posexplode(F.slice("w", 1, 2)).alias("p", "term")).select("item_id", "term", (F.col("p") + 1).alias("place"))
+    asked = written(whole.union(begun), "asked")
+    met = d.select("doc_id", F.explode("t").alias("term")).join(F.broadcast(asked) if asked.count() <= ASKED else asked, "term")
+    # a bit for each place of the query that a document has
+    return met.groupBy("item_id", "doc_id").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("had")).where("had = 14").select("item_id", "doc_id")

@@ -4,7 +4,7 @@ import pytest
 
 from quernstone.functions import text as T
 from quernstone.functions.temporal import parse
-from quernstone.operators.fuzzy import osa, tolerance
+from quernstone.operators.fuzzy import tolerance
 from quernstone.operators.search import one_edit
 from quernstone.plans.plans import undone
 
@@ -54,17 +54,6 @@ def test_front_matter():
     assert T.front_matter(None)["body"] == ""
 
 
-def test_chunks_keep_every_line_in_place():
-    text = "# A\n" + "word " * 300 + "\n## B\ntext 😀\n```python\nx = 1\n```\ntail\n"
-    found = T.chunks(text)
-    wide = text.encode("utf-16-le")
-    for c in found:
-        assert wide[2 * c["start"] : 2 * (c["start"] + c["length"])].decode("utf-16-le") == c["text"]
-    code = next(c for c in found if c["kind"] == "code")
-    assert code["language"] == "python" and code["heading_path"] == ["A", "B"]
-    assert T.chunks("") == [] and T.chunks(None) == []
-
-
 def test_diff_and_undo():
     a, b = "one\ntwo\nthree", "one\n2\nthree\nfour"
     change = T.line_diff(a, b)
