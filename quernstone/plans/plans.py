@@ -163,22 +163,6 @@ def valid(actions: DataFrame, found: DataFrame) -> DataFrame:
     return actions.select("plan_id").distinct().join(found.where("severity = 'error'").select("plan_id"), "plan_id", "left_anti")
 
 
-def repaired(actions: DataFrame, notes: DataFrame) -> DataFrame:
-    """Actions after the safe repairs: folders clamped to their last levels, a note to create that exists
-    already is appended to, folders that no action uses go, and those that one needs come first."""
-    clamp = lambda c: F.array_join(F.slice(F.split(c, "/"), F.greatest(F.size(F.split(c, "/")) - DEPTH, F.lit(1)), F.lit(DEPTH + 1)), "/")
-    a = actions.withColumn("path", F.when(F.col("action").isin("createNote", "moveNote"), clamp(F.col("path"))).otherwise(F.col("path")))
-    taken = notes.select(F.col("relpath").alias("path"), F.lit(True).alias("occupied"))
-    a = a.join(taken, "path", "left").withColumn("again", (F.col("action") == "createNote") & F.col("occupied").isNotNull())
-    a = a.withColumn("note", F.when(F.col("again"), F.col("path")).otherwise(F.col("note"))).withColumn("action", F.when(F.col("again"), F.lit("appendToNote")).otherwise(F.col("action"))).drop("again", "occupied")
-    used = a.where("action in ('createNote', 'moveNote') and contains(path, '/')").select("plan_id", F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
-    made = a.where("action = 'createFolder'").join(used, ["plan_id", "folder"], "left_semi").dropDuplicates(["plan_id", "folder"])
-    have = notes.select(F.regexp_replace("relpath", "/[^/]*$", "").alias("folder")).distinct()
-    absent = used.join(have, "folder", "left_anti").join(made.select("plan_id", "folder"), ["plan_id", "folder"], "left_anti")
-    added = absent.select("plan_id", F.lit(-1).alias("action_index"), F.lit("createFolder").alias("action"), "folder", F.lit(True).alias("known"))
-    return a.where("action <> 'createFolder' or action is null").select(*actions.columns).unionByName(made.select(*actions.columns)).unionByName(added, allowMissingColumns=True)
-
-
 OUTCOME = "plan_id string, status string, relpath string, before string, after string"
 
 
@@ -253,13 +237,17 @@ def _reachable() -> list[Column]:
     return [F.when(F.col("action") == "retitleNote", at(folder, F.concat("title", F.lit(".md")))), F.when((F.col("action") == "moveNote") & F.col("path").isNull(), at(F.col("folder"), name))]
 
 
-def apply(actions: DataFrame, plans: DataFrame, notes: DataFrame) -> DataFrame:
+def apply(actions: DataFrame, plans: DataFrame, notes: DataFrame, excluded: tuple[str, ...] = (), session: DataFrame | None = None) -> DataFrame:
     """Images before and after of each note that a plan changes; a plan whose preconditions (hashes by path)
-    no longer hold changes nothing and is a conflict."""
-    a = actions.join(plans.select("plan_id", F.to_json("preconditions").alias("preconditions")), "plan_id")
+    no longer hold changes nothing and is a conflict. Plans are validated first: one with an error, other than about its
+    preconditions, which the notes' own texts decide, is invalid and changes nothing."""
+    found = issues(actions, notes, None, excluded, session)
+    good = valid(actions, found)
+    refused = actions.select("plan_id").distinct().join(good, "plan_id", "left_anti").select("plan_id", F.lit("invalid").alias("status"), *(F.lit(None).cast("string").alias(c) for c in ("relpath", "before", "after")))
+    a = actions.join(good, "plan_id", "left_semi").join(plans.select("plan_id", F.to_json("preconditions").alias("preconditions")), "plan_id")
     named = a.select("plan_id", F.explode(F.array_distinct(F.concat(F.array("note", "path", "to", *_reachable()), F.coalesce(F.map_keys(F.from_json("preconditions", "map<string,string>")), F.array().cast("array<string>"))))).alias("relpath")).where("relpath is not null").distinct()
     state = named.join(notes.select("relpath", "body"), "relpath").select(F.col("plan_id").alias("of_plan"), "relpath", "body")
-    return a.groupBy("plan_id").cogroup(state.groupBy("of_plan")).applyInPandas(_apply, OUTCOME)
+    return a.groupBy("plan_id").cogroup(state.groupBy("of_plan")).applyInPandas(_apply, OUTCOME).union(refused)
 
 
 def recovered(images: DataFrame, disk: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from quernstone.operators import organise
 from quernstone.plans import plans as P
+from quernstone.plans.repair import preconditions, repair
 
 NOTES = [("a.md", "1", "alpha body\nkeep this", ["t"]), ("box/b.md", "2", "beta", []), ("box/c.md", "3", None, []), ("secret/s.md", "4", "hidden", [])]
 
@@ -96,6 +98,73 @@ def test_application(spark):
     many = [act("appendToNote", note="a.md", text="x")] * 5000
     assert applied(spark, many) == {("invalid", None): (None, None)}
     assert applied(spark, [act("moveSegment", note="box/b.md", segment="beta", to="a.md")])[("applied", "box/b.md")] == ("beta", None)
+    # what validation refuses changes nothing
+    assert applied(spark, [act("createNote", path="nowhere/n.md", text="x")]) == applied(spark, [act("retitleNote", note="a.md", title="a/b")]) == {("invalid", None): (None, None)}
+
+
+REPAIRS = {
+    # step 1
+    "unused": ([act("createFolder", folder="empty"), act("appendToNote", note="a.md", text="x")], [("appendToNote", "a.md")], [(-1, "droppedUnusedFolder")]),
+    "twice": ([act("createFolder", folder="new"), act("createFolder", folder="new/"), act("createNote", path="new/n.md", text="x")], [("createFolder", "new"), ("createNote", "new/n.md")], [(-1, "droppedUnusedFolder")]),
+    "ancestor": ([act("createFolder", folder="new"), act("createFolder", folder="new/in"), act("createNote", path="new/in/n.md", text="x")], [("createFolder", "new"), ("createFolder", "new/in"), ("createNote", "new/in/n.md")], []),
+    # step 2
+    "deep": ([act("createNote", path="x/y/box/in/n.md", text="x"), act("createNote", folder="p/q/r", title="t", text="x")], [("createFolder", "box/in"), ("createFolder", "q/r"), ("createNote", "box/in/n.md"), ("createNote", "q/r")], [(0, "repairedFolderDepth"), (0, "repairedMissingFolder"), (1, "repairedFolderDepth"), (1, "repairedMissingFolder")]),
+    "deep_odd": ([act("createNote", path="x/ y/box/in/n.md", text="x")], [("createNote", "x/ y/box/in/n.md")], []),
+    "deep_excluded": ([act("moveNote", note="a.md", folder="x/y/secret/in")], [("moveNote", "x/y/secret/in")], []),
+    # step 3
+    "collision": ([act("createNote", path="box/b.md", text="more", tags=["t"]), act("tagNote", note="a.md", tags=["u"])], [("appendToNote", "box/b.md"), ("tagNote", "a.md"), ("tagNote", "box/b.md")], [(0, "repairedCollision")]),
+    "collision_by_title": ([act("createNote", folder="box", title="b", text="more")], [("appendToNote", "box/b.md")], [(0, "repairedCollision")]),
+    "collision_excluded": ([act("createNote", path="secret/s.md", text="more")], [("createNote", "secret/s.md")], []),
+    "collision_segment": ([act("moveSegment", note="a.md", segment="keep this", path="box/b.md")], [("moveSegment", "box/b.md")], [(0, "repairedCollision")]),
+    # steps see the last one's paths: clamped onto a note that is there, so added to it
+    "deep_then_collision": ([act("createNote", path="w/x/deep/box/b.md", text="x"), act("createNote", path="x/y/z/box.md", text="x")], [("createFolder", "deep/box"), ("createFolder", "y/z"), ("createNote", "deep/box/b.md"), ("createNote", "y/z/box.md")], [(0, "repairedFolderDepth"), (0, "repairedMissingFolder"), (1, "repairedFolderDepth"), (1, "repairedMissingFolder")]),
+    # step 4
+    "merge": ([act("moveSegment", note="a.md", segment="not there", to="box/b.md")], [("appendToNote", "box/b.md")], [(0, "repairedMerge")]),
+    "merge_new": ([act("moveSegment", note="a.md", segment="not there", path="new/n.md")], [("createFolder", "new"), ("createNote", "new/n.md")], [(0, "repairedMerge"), (0, "repairedMissingFolder")]),
+    "merge_collision": ([act("moveSegment", note="a.md", segment="not there", path="box/b.md", tags=["t"])], [("appendToNote", "box/b.md"), ("tagNote", "box/b.md")], [(0, "repairedCollision"), (0, "repairedMerge")]),
+    "merge_unknown": ([act("moveSegment", note="box/c.md", segment="not there", to="box/b.md")], [("moveSegment", "box/b.md")], []),
+    # step 5
+    "missing": ([act("appendToNote", note="a.md", text="x"), act("moveNote", note="a.md", folder="new"), act("createNote", path="new/n.md", text="x")], [("createFolder", "new"), ("appendToNote", "a.md"), ("moveNote", "new"), ("createNote", "new/n.md")], [(1, "repairedMissingFolder")]),
+    "missing_excluded": ([act("createNote", path="secret/in/n.md", text="x")], [("createNote", "secret/in/n.md")], []),
+    "nothing": ([act("appendToNote", note="a.md", text="x"), act("explode")], [("appendToNote", "a.md"), ("explode", None)], []),
+}
+
+
+def test_repairs(spark):
+    """Each step and each kind of finding, steps in their order."""
+    p = plans(spark, [(k, a, {}) for k, (a, _, _) in REPAIRS.items()] + [("many", [act("createNote", path=f"x/y/z/{k}.md", text="x") for k in range(5000)], {}), ("unreadable", "no json", {})])
+    actions, findings = repair(P.decode(p), library(spark), ("secret",))
+    got, found = {}, {}
+    for r in actions.orderBy("plan_id", "action_index").collect():
+        got.setdefault(r.plan_id, []).append((r.action, {"createFolder": r.folder, "createNote": r.path or r.folder, "moveNote": r.folder, "moveSegment": r.to or r.path}.get(r.action, r.note)))
+    for r in findings.collect():
+        found.setdefault(r.plan_id, []).append((r.action_index, r.kind))
+        assert r.severity == "warning"
+    for k, (_, want, kinds) in REPAIRS.items():
+        assert got[k] == want and sorted(found.get(k, [])) == sorted(kinds), k
+    assert len(got["many"]) == 5000 and got["unreadable"] == [(None, None)] and not {"many", "unreadable"} & set(found)
+    assert {k for f in found.values() for _, k in f} == {"droppedUnusedFolder", "repairedFolderDepth", "repairedCollision", "repairedMerge", "repairedMissingFolder"}
+    assert {r.plan_id: r.preconditions for r in preconditions(actions, library(spark)).where("plan_id in ('collision', 'merge', 'deep')").collect()} == {"collision": {"box/b.md": OK["box/b.md"], "a.md": OK["a.md"]}, "merge": {"box/b.md": OK["box/b.md"]}, "deep": {}}
+
+
+def test_repair_removes_errors_only(spark):
+    """Random plans: repair never leaves an error of a kind that it mends, nor adds one of another kind, and nothing is lost."""
+    rng = random.Random(11)
+    paths = ["a.md", "box/b.md", "new/n.md", "p/q/r/deep.md", "secret/s.md", "secret/x.md", "box/in/k.md"]
+    one = lambda: rng.choice([
+        lambda: act("createNote", path=rng.choice(paths), text=f"text {rng.random()}", tags=rng.choice([[], ["t"]])), lambda: act("createFolder", folder=rng.choice(["new", "p/q/r", "box", "q/r"])),
+        lambda: act("appendToNote", note=rng.choice(["a.md", "box/b.md"]), text=f"text {rng.random()}"), lambda: act("moveSegment", note="a.md", segment=rng.choice(["keep this", "gone"]), **rng.choice([{"to": "box/b.md"}, {"path": rng.choice(paths)}])),
+        lambda: act("moveNote", note="box/b.md", folder=rng.choice(["", "new", "x/y/z"]))])()
+    p = plans(spark, [(str(k), [one() for _ in range(rng.randrange(1, 9))], {}) for k in range(60)])
+    before = P.decode(p)
+    after, findings = repair(before, library(spark), ("secret",))
+    errors = lambda a: {(r.plan_id, r.kind) for r in P.issues(a, library(spark), None, ("secret",)).where("severity = 'error'").collect()}
+    was, now = errors(before), errors(after)
+    assert len(was) > len(now) and {k for _, k in now - was} <= {"emptyReference", "duplicateAction", "titleCollision", "contradictoryAction"}
+    again, rest = repair(after, library(spark), ("secret",))
+    assert rest.count() == 0
+    texts = lambda a: sorted((r.plan_id, t) for r in a.collect() for t in (r.text, r.segment) if t)
+    assert texts(after) == texts(before) and findings.count() > 20
 
 
 def test_recovery(spark):
