@@ -10,7 +10,9 @@ from ..registry import query
 from ..session import table
 from . import text as T
 from .markup import markdown_spans as styled_spans
+from .paste import classified
 from .temporal import temporal
+from .wordpiece import encoder, vocabulary_of
 
 
 @query("h2_terms", f"SELECT doc_id, len({TERMS_SQL.format('text')}) AS terms, len(list_distinct({TERMS_SQL.format('text')})) AS different FROM documents")
@@ -75,6 +77,15 @@ def encoded_lists(spark, sf_dir):
     return k.select("user_id", F.to_json("kinds").alias("kinds_json"), F.array_join("kinds", "\x1f").alias("joined"))
 
 
+@query("h32_h33_decoded_lists", """SELECT event_id, CASE WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 = 3 THEN '' ELSE event_type || '|' || user_id END AS tags, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type || '|' || user_id END AS path FROM events""")
+def decoded_lists(spark, sf_dir):
+    """Stored lists read back: JSON that is broken or no list is empty, an empty path has no parts."""
+    e = table(spark, sf_dir, "events").select("event_id", F.array("event_type", F.col("user_id").cast("string")).alias("list"))
+    kind = F.col("event_id") % 4
+    stored = e.select("event_id", F.when(kind == 1, '["open').when(kind == 3, '{"a": 1}').otherwise(F.to_json("list")).alias("tags"), F.when(kind == 0, "").otherwise(F.array_join("list", "\x1f")).alias("path"))
+    return stored.select("event_id", F.array_join(T.decoded_tags(F.col("tags")), "|").alias("tags"), F.array_join(T.decoded_path(F.col("path")), "|").alias("path"))
+
+
 @query("h34_snippets", r"WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS flat FROM documents), p AS (SELECT *, greatest(instr(lower(flat), 'th') - 48, 1) AS st FROM s) SELECT doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || trim(substr(flat, st, 178)) || CASE WHEN len(flat) >= st + 178 THEN '…' ELSE '' END AS snippet FROM p")
 def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text"), F.lit("th")).alias("snippet"))
@@ -127,7 +138,7 @@ def chunk_rows(spark, sf_dir):
 
 @query("h39_pasted_kinds")
 def pasted_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.classified("text").alias("kind"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classified("text").alias("k")).select("conv_id", "turn", "k.*")
 
 
 @query("h22_hashed_embeddings")
@@ -137,10 +148,12 @@ def hashed_embeddings(spark, sf_dir):
 
 @query("h45_wordpiece")
 def wordpieces(spark, sf_dir):
-    """A vocabulary of letters as pieces; a real one is read with sources.markdown.vocabulary()."""
-    marks = [chr(x) for x in (*range(97, 123), *range(48, 58))]
-    words = ["[UNK]", "[CLS]", "[SEP]", *marks, *("##" + m for m in marks), "the", "##ing", "##tion", "."]
-    return table(spark, sf_dir, "documents").select("doc_id", T.wordpiece({w: k for k, w in enumerate(words)})("text").alias("ids"))
+    """Whole texts by a vocabulary of the documents' own frequent words; a model's is read with
+    sources.markdown.vocabulary()."""
+    d = table(spark, sf_dir, "documents")
+    rows = vocabulary_of(d, "text").collect()  # at most 30,000 words and the characters
+    names = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *sorted({r.w for r in rows} | set(".,;:!?-'"))]
+    return d.select("doc_id", encoder({w: k for k, w in enumerate(names)}, limit=1 << 30)("text").alias("t")).select("doc_id", "t.ids")
 
 
 @query("h46_markdown_spans")

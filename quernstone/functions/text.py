@@ -88,6 +88,17 @@ def token_estimate(c: Column) -> Column:
     return F.ceil(F.octet_length(c) / 4)
 
 
+def decoded_tags(c: Column) -> Column:
+    """The strings of a JSON list; broken JSON, or JSON of another kind, has none."""
+    found = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>"))
+    return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def decoded_path(c: Column) -> Column:
+    """The headings of a stored path; an empty one has none."""
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(c, "\x1f"))
+
+
 #: Fixed forms of secrets that a report must not show.
 SECRETS = [r"AKIA[0-9A-Z]{16}", r"(?i)(password|api_key|token)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{8,}[\"']?", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"]
 
@@ -236,59 +247,6 @@ def parsed_front_matter(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([front_matter(t) for t in text], columns=["id", "created", "tags", "body"])
 
 
-_SIGNS = {
-    "shell": r"^\s*(\$|#|sudo|cd|ls|git|curl|export|npm|pip|docker|kubectl)\s",
-    "sql": r"(?i)^\s*(select|insert|update|delete|create|with)\b.*\b(from|into|set|table|as)\b",
-    "json": r"^\s*[{\[].*[}\]]\s*$",
-    "yaml": r"^\s*[\w-]+:\s*\S*$",
-    "python": r"^\s*(def |class |import |from \w+ import )",
-}
-
-
-def pasted_kind(text: str | None) -> str:
-    """plain, or the kind of code that most lines of a pasted text look like; prose has the last word."""
-    lines = [x for x in (text or "").splitlines() if x.strip()]
-    if not lines:
-        return "plain"
-    flat = " ".join(lines)
-    if re.search(_SIGNS["json"], flat, re.S) and ":" in flat:
-        return "json"
-    for kind, sign in _SIGNS.items():
-        if kind != "json" and sum(bool(re.search(sign, x)) for x in lines) * 2 > len(lines):
-            return kind
-    return "plain"
-
-
-@arrow_udf("string")
-def classified(text: pd.Series) -> pd.Series:
-    return text.map(pasted_kind)
-
-
-def wordpiece(vocabulary: dict[str, int], limit: int = 256):
-    """A UDF from text to ids: lower-cased words and single punctuation marks, each the longest known
-    pieces from the left (## inside a word), unknown words as [UNK]; cut at ``limit`` with [CLS] and [SEP].
-    The vocabulary is a fixed file of bounded size."""
-    cls, sep, unk = (vocabulary[x] for x in ("[CLS]", "[SEP]", "[UNK]"))
-
-    def pieces(word: str) -> list[int]:
-        out, a = [], 0
-        while a < len(word):
-            for e in range(len(word), a, -1):
-                if (i := vocabulary.get(("##" if a else "") + word[a:e])) is not None:
-                    out.append(i)
-                    a = e
-                    break
-            else:
-                return [unk]
-        return out
-
-    @arrow_udf("array<int>")
-    def encoded(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [cls, *[i for w in re.findall(r"\w+|[^\w\s]", unicodedata.normalize("NFKD", t or "").lower()) for i in pieces(w)][: limit - 2], sep])
-
-    return encoded
-
-
 WIDTH = 64
 _WORDS = re.compile(r"\w+")
 #: Words whose hashes a worker remembers.

@@ -80,6 +80,22 @@ def pruned_ledger(spark, sf_dir):
     return ledger(spark, sf_dir).where("ts >= timestamp_ntz'2024-01-15'").select("event_id", "purpose")
 
 
+def retry_delay(attempt: Column, told: Column, random: Column, base: float = 1.0, factor: float = 2.0, most: float = 60.0, jitter: float = 0.25) -> Column:
+    """Seconds before an attempt is made again: what the server told, between 0 and ``most``, as it stands; else base times
+    factor to the power of the attempts before, ``most`` at most, of which the share ``jitter`` is drawn by ``random`` (0
+    to 1). An attempt below one counts as the first."""
+    grown = F.least(base * F.pow(F.lit(factor), F.greatest(attempt - 1, F.lit(0))), F.lit(most))
+    return F.when(told.isNotNull() & ~F.isnan(told), F.least(F.greatest(told, F.lit(0.0)), F.lit(most))).otherwise(grown * (1 - jitter) + grown * jitter * random)
+
+
+@query("h26_retry_delays", "SELECT event_id, CASE WHEN event_type = 'error' THEN least(greatest(value, 0), 60.0) ELSE least(power(2.0, greatest(k - 1, 0)), 60.0) * 0.75 + least(power(2.0, greatest(k - 1, 0)), 60.0) * 0.25 * ((event_id % 101) / 100.0) END AS delay FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def retry_delays(spark, sf_dir):
+    """Errors bear what the server told; the others wait longer each time, a quarter of it by a draw."""
+    e = table(spark, sf_dir, "events")
+    told = F.when(F.col("event_type") == "error", F.col("value"))
+    return e.select("event_id", retry_delay(F.get_json_object("props", "$.k").cast("long"), told, (F.col("event_id") % 101) / 100.0).alias("delay"))
+
+
 @query("j8_h26_retry_queue", "SELECT event_id, k AS attempts, least(60.0 * power(2, greatest(k - 1, 0)), 3600.0) AS delay, ts + to_microseconds(CAST(1000000 * least(60.0 * power(2, greatest(k - 1, 0)), 3600.0) AS BIGINT)) AS next_attempt_at FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type = 'error' AND k < 8")
 def retry_queue(spark, sf_dir):
     """Doubling delays from a minute to an hour; after eight attempts a row leaves the queue."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..session import table
 from .markdown import derived_id, replayed, synthetic
+from .reports import row_counts
 
 
 @query("a3_derived_ids", "SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT page_id, sha256('note:' || url) AS h FROM pages)")
@@ -27,7 +28,10 @@ def synthetic_corpus(spark, sf_dir):
     return synthetic(spark, 1000)
 
 
-@query("a19_catalog", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("a19_catalog", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def catalog(spark, sf_dir):
-    rows = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("documents", "labels", "pages")]
-    return rows[0].union(rows[1]).union(rows[2])
+    """Every table of the data with its rows; sources.reports.catalog() takes the names from the session's catalog."""
+    return row_counts({t: table(spark, sf_dir, t) for t in TABLES})

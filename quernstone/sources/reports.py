@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,19 @@ def failures(evaluated: DataFrame) -> DataFrame:
     return evaluated.where("rank is null or rank > 1").select("query_id", "category", "text", "wanted", "found", "rank").orderBy(F.desc_nulls_first("rank"), "query_id")
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of each table, one row a table."""
+    return reduce(DataFrame.union, (t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()))
+
+
+def catalog(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(name, n) of the tables and views that the session's catalog lists."""
+    names = [t.name for t in spark.catalog.listTables(database)]
+    if not names:
+        return spark.createDataFrame([], "name string, n long")
+    return row_counts({n: spark.table(f"{database}.{n}" if database and not spark.catalog.getTable(n).isTemporary else n) for n in names})
+
+
 def write_json(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 

@@ -65,13 +65,6 @@ def test_diff_and_undo():
     assert undone("old", None, None) == ("recreated", "old")
 
 
-def test_pasted_kinds():
-    assert T.pasted_kind("$ git push\n$ ls -l") == "shell"
-    assert T.pasted_kind('{"a": 1}') == "json"
-    assert T.pasted_kind("select a from b where c = 1") == "sql"
-    assert T.pasted_kind("A line of prose, and so on.") == T.pasted_kind(None) == "plain"
-
-
 def test_edits(spark):
     from pyspark.sql import functions as F
 
