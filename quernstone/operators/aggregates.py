@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..session import table
-
-
-def nearest_rank(column: str, share: float) -> Column:
-    """sorted[ceil(share * n) - 1]."""
-    return F.expr(f"percentile_disc({share}) within group (order by {column})")
+from . import selection
 
 
 def rounded_index(values: Column, share: float) -> Column:
@@ -59,15 +55,15 @@ def by_month(spark, sf_dir):
 
 @query("d6_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events GROUP BY 1")
 def percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(nearest_rank("value", x).alias(f"p{round(100 * x)}") for x in (0.5, 0.9, 0.95)), F.max("value").alias("max"))
+    e = table(spark, sf_dir, "events")
+    p = selection.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return p.join(e.groupBy("event_type").agg(F.max("value").alias("max")), "event_type")
 
 
 @query("d7_rounded_percentile", "SELECT user_id, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.9 + 0.5) AS BIGINT) + 1] AS p90 FROM events GROUP BY 1")
 def rounded_percentile(spark, sf_dir):
-    """By rank within each user, so that no user's values need gather in one row."""
-    w = Window.partitionBy("user_id")
-    e = table(spark, sf_dir, "events").select("user_id", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
-    return e.where(F.col("k") == F.floor((F.col("n") - 1) * 0.9 + 0.5) + 1).select("user_id", F.col("value").alias("p90"))
+    """By range counts, so that no user's values gather in one task."""
+    return selection.percentiles(table(spark, sf_dir, "events"), ["user_id"], "value", {"p90": 0.9}, selection.rounded)
 
 
 @query("d8_by_category", "SELECT l.quality, l.toxic, count(*) AS n, avg(CASE WHEN d.lang = 'en' THEN 1.0 ELSE 0.0 END) AS english FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2")
@@ -87,13 +83,16 @@ def rates(spark, sf_dir):
   quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.5) FILTER (event_type = 'click') AS median_of_hits, quantile_disc(value, 0.9) AS p90, max(value) AS slowest, min(ts) AS first_at, max(ts) AS last_at,
   count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (event_type = 'click') / count(*) >= 0.9 AS passes FROM events GROUP BY 1""")
 def outcome_summary(spark, sf_dir):
+    """Counts by partial sums, days by distinct pairs, percentiles by range counts: a busy user is no task of its own."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts")
     hit = F.col("event_type") == "click"
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+    sums = e.groupBy("user_id").agg(
         F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(F.col("value") > 50).alias("over_budget"),
-        nearest_rank("value", 0.5).alias("median"), F.expr("percentile_disc(0.5) within group (order by case when event_type = 'click' then value end)").alias("median_of_hits"),
-        nearest_rank("value", 0.9).alias("p90"), F.max("value").alias("slowest"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"),
-        F.count_distinct(F.col("ts").cast("date")).alias("days"), (F.count_if(hit) / F.count("*") >= 0.9).alias("passes"),
-    )
+        F.max("value").alias("slowest"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), (F.count_if(hit) / F.count("*") >= 0.9).alias("passes"))
+    days = e.select("user_id", F.col("ts").cast("date").alias("day")).distinct().groupBy("user_id").agg(F.count("day").alias("days"))
+    p = selection.percentiles(e, ["user_id"], "value", {"median": 0.5, "p90": 0.9})
+    of_hits = selection.percentiles(e.where(hit), ["user_id"], "value", {"median_of_hits": 0.5})
+    return sums.join(days, "user_id").join(p, "user_id").join(of_hits, "user_id", "left")
 
 
 @query("d19_memory_report", "SELECT count(*) AS rows, CAST(sum(len(embedding)) AS BIGINT) AS slots, CAST(2 * sum(len(embedding)) AS BIGINT) AS bytes FROM embeddings")
