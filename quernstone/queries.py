@@ -8,4 +8,4 @@ from .operators import aggregates, answers, embeddings, fuzzy, hybrid, joins, ke
 from .plans import queries as plan_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 from .sources import queries as source_queries  # noqa: F401
-from .streaming import sessions  # noqa: F401
+from .streaming import autosave, sessions  # noqa: F401
