@@ -16,9 +16,12 @@ OUTCOMES = "at timestamp, query string, found boolean, seconds double, note stri
 RECORDING = "key string, model string, purpose string, responseBody string"
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """relpath, mtime, size of every note; hidden files and _assets are none. File contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+def listing(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """relpath, mtime, size of every note; hidden files and _assets are none. Contents are read only where the column is
+    used. paths: only these, which must be there."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+    literal = lambda p: re.sub(r"([{}\[\]*?\\])", r"\\\1", p)
+    files = reader.load(root) if paths is None else reader.load([f"{root.rstrip('/')}/{literal(p)}" for p in paths])
     name = root.rstrip("/").split("/")[-1]
     rel = F.url_decode(F.replace(F.regexp_extract("path", rf"/{re.escape(name)}/(.*)$", 1), F.lit("+"), F.lit("%2B")))
     return files.select(rel.alias("relpath"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").where(is_note(F.col("relpath")))
@@ -32,9 +35,9 @@ def derived_id(path):
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
-def notes(spark: SparkSession, root: str) -> DataFrame:
+def notes(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """The notes table: id, relpath, folder_path, title, tags, created, mtime, size, content_hash, body."""
-    f = listing(spark, root).withColumn("raw", F.decode("content", "UTF-8")).withColumn("front", parsed_front_matter("raw"))
+    f = listing(spark, root, paths).withColumn("raw", F.decode("content", "UTF-8")).withColumn("front", parsed_front_matter("raw"))
     title = F.regexp_replace(F.regexp_extract("relpath", "[^/]*$", 0), r"\.md$", "")
     folder = F.when(F.col("relpath").contains("/"), F.regexp_replace("relpath", "/[^/]*$", "")).otherwise("")
     return f.select(F.coalesce("front.id", derived_id(F.col("relpath"))).alias("id"), "relpath", folder.alias("folder_path"), title.alias("title"), "front.tags", F.coalesce(F.try_to_timestamp("front.created"), F.col("mtime")).alias("created"), "mtime", "size", F.sha2("content", 256).alias("content_hash"), F.col("front.body").alias("body"))
