@@ -6,10 +6,11 @@ which sees one row of totals a bucket.
 
 1. Words are counted by 64-bit hash (ends of texts as one more word). A word's id is its place among
    all sorted hashes.
-2. Trigrams of ids are counted, exactly: the key of a context is a bijective mix of both its ids, and
-   a bucket holds its contexts sorted, each with its sorted words and their counts. Each distinct trigram
+2. Trigrams of ids are counted, exactly: the key of two words is a bijective mix of the bits that both ids have,
+   and a bucket holds the words and counts that follow each of its contexts, in order. Each distinct trigram
    u v w then counts one for the bigram v w, sent on by the task that holds its bucket: the number of
-   words that v w follows (order two counts bigrams themselves instead).
+   words that v w follows (order two counts bigrams themselves instead). A context is a bigram but for the two start
+   marks, so keys are stored once, each with how often it follows and how many words follow it.
 3. From each bucket of distinct bigrams come, by word, how often it is followed and by how many
    words once, twice or more, and how many words it follows.
 4. Each text's score is the sum of log10 p(w | u v), texts beginning after two start marks, with
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .shared import Sorted
-from .text import U64, mix, unmix, words
+from .text import U64, words
 
 END = U64(0x5851F42D4C957F2D)
+#: Odd factors of the mix of two ids.
+FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 KINDS = ("follows", "once", "twice", "more", "after")
 STATS = "bucket int, types long, total long, n1 long, n2 long, n3 long, n4 long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -81,23 +84,72 @@ def _chunks(sizes: np.ndarray, limit: int = 1 << 20) -> Iterator[slice]:
         a = b
 
 
+def narrowed(ids: np.ndarray, width: int) -> np.ndarray:
+    """Ids in three bytes each, where they fit."""
+    return np.ascontiguousarray(ids.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]) if width <= 24 else ids.astype(np.uint32)
+
+
+def widened(stored: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids at these places of what narrowed() gave."""
+    x = stored[at]
+    return x.astype(np.int64) if x.ndim == 1 else x[:, 0].astype(np.int64) | x[:, 1].astype(np.int64) << 8 | x[:, 2].astype(np.int64) << 16
+
+
 class Model:
     """What scoring needs: where the arrays are, and a few totals."""
 
     def __init__(self, spark, bits: int, order: int):
         if order not in (2, 3):
             raise ValueError("the order is two or three")
-        self.bits, self.order = bits, order
-        #: Contexts of two words in buckets: starts of their words, words and counts are parallel files.
-        self.triples = Sorted(shared.folder(spark, "lm-triples"), self.bits, ("starts", "words", "counts"))
+        self.bits, self.order, self.vocabulary = bits, order, 0
+        #: By bucket of contexts the words that follow each, in order, and their counts.
+        self.triples = shared.folder(spark, "lm-triples")
         self.words = Sorted(shared.folder(spark, "lm-words"), self.bits, ("counts",))
-        self.pairs = Sorted(shared.folder(spark, "lm-pairs"), self.bits, ("counts",))
+        self._lists = shared.Held()
+        self.pairs = self.pair_store(shared.folder(spark, "lm-pairs"))
         self.by_word = shared.folder(spark, "lm-by-word")
         self.starts = np.zeros(1, np.int64)
-        self.vocabulary = self.tokens = self.types = 0
+        self.tokens = self.types = 0
         self.low, self.high, self.top = [0.75] * 3, [0.75] * 3, [0.75] * 3
         self._segments = shared.Held()
 
+    @property
+    def width(self) -> int:
+        """Bits of an id; the start mark is the id V."""
+        return max(4, self.vocabulary.bit_length())
+
+    @property
+    def pair_bits(self) -> int:
+        """Leading bits that name a bucket of pairs: the rest of a key has 32 bits where that can be."""
+        return min(shared.MOST_BITS, max(self.bits, 2 * self.width - 32), 2 * self.width)
+
+    def pair_store(self, uri: str) -> Sorted:
+        return Sorted(uri, self.pair_bits, ("counts", "followers"), 64 - 2 * self.width)
+
+    def pair_key(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """A bijective mix of two ids in the leading bits of a key. Unknown ids (-1) give some other key."""
+        n = 2 * self.width
+        mask, half = U64((1 << n) - 1), U64(self.width)
+        x = ((first.astype(U64) << half) | (second.astype(U64) & U64((1 << self.width) - 1))) & mask
+        for factor in FACTORS:
+            x = ((x ^ (x >> half)) * U64(factor)) & mask
+        return (x ^ (x >> half)) << U64(64 - n)
+
+    def pair_ids(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The inverse of pair_key()."""
+        n = 2 * self.width
+        mask, half = U64((1 << n) - 1), U64(self.width)
+        x = key >> U64(64 - n)
+        x = x ^ (x >> half)
+        for factor in FACTORS[::-1]:
+            x = (x * U64(pow(factor, -1, 1 << n))) & mask
+            x = x ^ (x >> half)
+        return (x >> half).astype(np.int64), (x & U64((1 << self.width) - 1)).astype(np.int64)
+
+    def listed(self, b: int) -> tuple:
+        """The words and counts that follow the contexts of a bucket."""
+        return self._lists.get(b, self.triples, [f"{b}-words", f"{b}-counts"])
+
     @property
     def segment(self) -> int:
         """Ids whose statistics are stored together."""
@@ -123,7 +175,7 @@ class Model:
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[first] = self.vocabulary
-        return mix((before.astype(U64) << U64(32)) | (ids.astype(U64) & U64(0xFFFFFFFF))), ids, before, counts
+        return self.pair_key(before, ids), ids, before, counts
 
     def contexts(self, key: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each token: the count of its trigram, the total of its context, and how many words follow
@@ -131,29 +183,31 @@ class Model:
         out = tuple(np.zeros(len(key), np.int64) for _ in range(5))
         some = np.flatnonzero(known)
         keys, back = np.unique(key[some], return_inverse=True)
-        for b, s in shared.cut(keys, self.bits):
-            have = self.triples.bucket(b)
-            if not have or not len(have[0]):
+        for b, s in shared.cut(keys, self.pair_bits):
+            have, at, ok = self.pairs.places(b, keys[s])
+            if not have:
                 continue
-            held, starts, words, counts = have
-            at = np.minimum(np.searchsorted(held, keys[s]), len(held) - 1)
-            ok = held[at] == keys[s]
+            followers = have[2]
+            ok &= followers[at] > 0
+            if not ok.any():
+                continue
+            stops, (words, counts) = np.cumsum(followers, dtype=np.int64), self.listed(b)
             tokens = np.flatnonzero((back >= s.start) & (back < s.stop))
             tokens = tokens[ok[back[tokens] - s.start]]
             if not len(tokens):
                 continue
             # the found contexts, then their tokens
             where, of = np.unique(at[back[tokens] - s.start], return_inverse=True)
-            lo, hi = starts[where].astype(np.int64), starts[where + 1].astype(np.int64)
+            lo, hi = stops[where] - followers[where], stops[where]
             found = [np.concatenate(x) for x in zip(*(self._totals(lo[k], hi[k], counts) for k in _chunks(hi - lo)), strict=True)]
             w, left, right = ids[some[tokens]], lo[of], hi[of]
             end = right
             while (open_ := left < right).any():
                 mid = (left + right) // 2
-                less = open_ & (words[np.minimum(mid, end - 1)] < w)
+                less = open_ & (widened(words, np.minimum(mid, end - 1)) < w)
                 left, right = np.where(less, mid + 1, left), np.where(open_ & ~less, mid, right)
             there = left < end
-            there[there] = words[left[there]] == w[there]
+            there[there] = widened(words, left[there]) == w[there]
             out[0][some[tokens[there]]] = counts[left[there]]
             for o, x in zip(out[1:], found, strict=True):
                 o[some[tokens]] = x[of]
@@ -171,7 +225,7 @@ class Model:
         first = np.cumsum(n + 1) - (n + 1)
         out = np.empty_like(key)
         out[1:] = key[:-1]
-        out[first] = mix(np.array([(self.vocabulary << 32) | self.vocabulary], U64))[0]
+        out[first] = self.pair_key(np.array([self.vocabulary]), np.array([self.vocabulary]))[0]
         return out
 
     def stats(self, ids: np.ndarray) -> list[np.ndarray]:
@@ -202,7 +256,8 @@ def _pairs(batch: pa.RecordBatch, model: Model) -> Iterator[np.ndarray]:
 
 
 TRIPLES = "bucket int, contexts binary, words binary, counts binary"
-CONTINUED = f"{shared.PACKED}, m1 long, m2 long, m3 long, m4 long"
+#: Bigrams with their counts, and contexts with the number of words that follow; counts of counts in the first row.
+CONTINUED = f"{shared.PACKED}, contexts boolean, m1 long, m2 long, m3 long, m4 long"
 
 
 def _merged(key: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +274,7 @@ def _triples(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
     def sent() -> pa.RecordBatch:
         key, word, n = _merged(*map(np.concatenate, zip(*held, strict=True)))
         held.clear()
-        rows = [(b, shared.pack_keys(key[s]), shared.pack(word[s]), shared.narrow(n[s])) for b, s in shared.cut(key, model.bits)]
+        rows = [(b, shared.pack_keys(key[s]), shared.pack(word[s]), shared.narrow(n[s])) for b, s in shared.cut(key, model.pair_bits)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], [x.split()[0] for x in TRIPLES.split(", ")])
 
     for batch in batches:
@@ -240,23 +295,30 @@ def _write_triples(table: pa.Table, model: Model) -> pa.Table:
         np.concatenate([shared.unpack(bytes(x.as_buffer()), np.uint32) for x in table.column("words")]),
         np.concatenate([shared.widen(bytes(x.as_buffer())) for x in table.column("counts")]))
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    starts = np.append(at, len(key))
-    model.triples.write(b, key[at], starts.astype(np.uint32) if len(key) < 1 << 32 else starts, word, shared.least(n))
+    shared.save(model.triples, f"{b}-words", narrowed(word, model.width))
+    shared.save(model.triples, f"{b}-counts", shared.least(n))
     cc = counts_of_counts(n)
-    pairs, m = shared.distinct(mix((unmix(key) << U64(32)) | word.astype(U64)))
-    rows = shared.rows(pairs, m, model.bits)
-    return pa.Table.from_arrays([*rows.columns, *(pa.array([c, *[0] * (rows.num_rows - 1)], pa.int64()) for c in cc)], [x.split()[0] for x in CONTINUED.split(", ")])
+    pairs, m = shared.distinct(model.pair_key(model.pair_ids(key)[1], word.astype(np.int64)))
+    rows, own = shared.rows(pairs, m, model.pair_bits), shared.rows(key[at], np.diff(np.append(at, len(key))), model.pair_bits)
+    rows = pa.Table.from_batches([rows, own]).combine_chunks()
+    return pa.Table.from_arrays([*rows.columns, pa.array([False] * (rows.num_rows - own.num_rows) + [True] * own.num_rows), *(pa.array([c, *[0] * (rows.num_rows - 1)], pa.int64()) for c in cc)], [x.split()[0] for x in CONTINUED.split(", ")])
 
 
 PARTS = "segment long, bucket int, n1 long, n2 long, n3 long, n4 long, m1 long, m2 long, m3 long, m4 long, ids binary, counts binary, kind int"
 
 
 def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
-    """One bucket of bigrams to its arrays; its share of each word's statistics, by segment of ids."""
-    b, k, n = shared.merge(table)
-    model.pairs.write(b, k, shared.least(n))
-    key = unmix(k)
-    before, after = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
+    """One bucket of bigrams and contexts to its arrays; its share of each word's statistics, by segment of ids."""
+    context = np.array(table.column("contexts")) if model.order == 3 else np.zeros(table.num_rows, bool)
+    sides = [table.filter(pa.array(x)) for x in (~context, context)]
+    b = table.column("bucket")[0].as_py()
+    k, n = shared.merge(sides[0])[1:] if sides[0].num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
+    c, f = shared.merge(sides[1])[1:] if sides[1].num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
+    every = np.union1d(k, c)
+    counts, followers = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, k)], followers[np.searchsorted(every, c)] = n, f
+    model.pairs.write(b, every, shared.least(counts), shared.least(followers))
+    before, after = model.pair_ids(k)
     cc, rows = counts_of_counts(n), []
     cc += [sum(table.column(f"m{i}").to_pylist()) if model.order == 3 else 0 for i in (1, 2, 3, 4)]
     for kind, (ids, w) in enumerate(((before, n), (before[n == 1], None), (before[n == 2], None), (before[n > 2], None), (after, None))):
@@ -269,7 +331,7 @@ def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
             rows.append([int(part[x]), b, *cc, shared.pack_keys(got[x:y]), shared.narrow(c[x:y]), kind])
             cc = [0] * 8
     schema = pa.schema([("segment", pa.int64()), ("bucket", pa.int32()), *((f"{a}{i}", pa.int64()) for a in "nm" for i in (1, 2, 3, 4)), ("ids", pa.binary()), ("counts", pa.binary()), ("kind", pa.int32())])
-    return pa.table([list(c) for c in zip(*rows, strict=True)], schema=schema)
+    return pa.table([list(c) for c in zip(*rows, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
 def _write_segment(table: pa.Table, model: Model) -> pa.Table:
@@ -303,11 +365,12 @@ def fit(texts: DataFrame, order: int = 3) -> Model:
         raise ValueError("more than 2**32 distinct words: a bigram's key would not hold both ids")
     if not totals:
         return model
+    model.pairs = model.pair_store(model.pairs.uri)
     if order == 3:
         triples = shared.mapped(texts, partial(_triples, model=model), TRIPLES)
         pairs = triples.groupBy("bucket").applyInArrow(shared.with_args(_write_triples, model=model), CONTINUED)
     else:
-        pairs = shared.mapped(texts, partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.bits), shared.PACKED)
+        pairs = shared.mapped(texts, partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.pair_bits), shared.PACKED)
     parts = pairs.groupBy("bucket").applyInArrow(shared.with_args(_write_pairs, model=model), PARTS)
     segments = parts.groupBy("segment").applyInArrow(shared.with_args(_write_segment, model=model), ", ".join(["segment long", "types long", *(f"{a}{i} long" for a in "tnm" for i in (1, 2, 3, 4))])).collect()
     model.types = sum(r.types for r in segments)

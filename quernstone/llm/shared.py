@@ -280,29 +280,55 @@ def merge(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 class Sorted:
-    """Sorted keys in buckets, with parallel arrays of values, written by tasks and mapped by others."""
+    """Sorted keys in buckets, with parallel arrays of values, written by tasks and mapped by others.
 
-    def __init__(self, uri: str, bucket_bits: int, values: tuple[str, ...] = ()):
-        self.uri, self.bits, self.values = uri, bucket_bits, values
+    spare: how many low bits of the keys are always zero. Keys are stored without these and without the bits that name their
+    bucket, in 32 bits where that does.
+    """
+
+    def __init__(self, uri: str, bucket_bits: int, values: tuple[str, ...] = (), spare: int = 0):
+        self.uri, self.bits, self.values, self.spare = uri, bucket_bits, values, spare
         self._held = Held()
 
+    def _stored(self, keys: np.ndarray) -> np.ndarray:
+        if 64 - self.bits - self.spare > 32:
+            return keys
+        return ((keys << U64(self.bits)) >> U64(self.bits + self.spare)).astype(np.uint32)
+
     def write(self, bucket: int, keys: np.ndarray, *values: np.ndarray) -> None:
-        for name, x in zip(("keys", *self.values), (keys, *values), strict=True):
+        for name, x in zip(("keys", *self.values), (self._stored(keys), *values), strict=True):
             save(self.uri, f"{bucket}-{name}", x)
 
     def bucket(self, b: int) -> tuple:
         """The arrays of a bucket; () where no key has these leading bits."""
         return self._held.get(b, self.uri, [f"{b}-{name}" for name in ("keys", *self.values)])
 
+    def places(self, b: int, keys: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """The arrays of a bucket, where in them sorted keys of the bucket are, and which of them are there."""
+        have = self.bucket(b)
+        if not have or not len(have[0]):
+            return (), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        asked = self._stored(keys)
+        at = np.minimum(np.searchsorted(have[0], asked), len(have[0]) - 1)
+        return have, at, have[0][at] == asked
+
+    def keys(self, b: int) -> np.ndarray:
+        """The whole keys of a bucket."""
+        have = self.bucket(b)
+        if not have:
+            return np.zeros(0, U64)
+        if have[0].dtype != np.uint32:
+            return np.array(have[0])
+        return (U64(b) << U64(64 - self.bits)) | (have[0].astype(U64) << U64(self.spare))
+
     def find(self, keys: np.ndarray, *missing: int | float) -> list[np.ndarray]:
         """For sorted distinct keys: whether each is held, then each array of values (missing where not)."""
         held = np.zeros(len(keys), bool)
         out = [np.full(len(keys), m, np.float64 if isinstance(m, float) else np.int64) for m in missing]
         for b, s in cut(keys, self.bits):
-            if not (have := self.bucket(b)) or not len(have[0]):
+            have, at, ok = self.places(b, keys[s])
+            if not have:
                 continue
-            at = np.minimum(np.searchsorted(have[0], keys[s]), len(have[0]) - 1)
-            ok = have[0][at] == keys[s]
             held[s] = ok
             for o, v in zip(out, have[1:], strict=False):
                 o[s] = np.where(ok, v[at], o[s])

@@ -84,6 +84,24 @@ def test_arrays_stay_bounded(tmp_path, monkeypatch):
     assert len(os.listdir("/proc/self/fd")) <= before + 1
 
 
+@pytest.mark.parametrize("words", [1, 9, 1000, 70_000, 1 << 22, (1 << 32) - 1])
+def test_pair_keys_are_a_bijection(spark, words):
+    model = language_model.Model(spark, 6, 3)
+    model.vocabulary = words
+    rng = np.random.default_rng(words)
+    a, b = (np.unique(np.concatenate([[0, words], rng.integers(0, words + 1, 300)])) for _ in range(2))
+    a, b = (x.ravel() for x in np.meshgrid(a[:40], b[-40:]))
+    key = model.pair_key(a, b)
+    u, v = model.pair_ids(key)
+    assert (u == a).all() and (v == b).all() and len(np.unique(key)) == len(np.unique(np.stack([a, b]), axis=1).T)
+    store = model.pair_store(f"{model.pairs.uri}-{words}")
+    k = np.unique(key)
+    for n, s in shared.cut(k, store.bits):
+        store.write(n, k[s], a[: s.stop - s.start], b[: s.stop - s.start])
+        assert (store.keys(n) == k[s]).all()
+    assert store.find(k)[0].all() and not store.find(np.setdiff1d(model.pair_key(b, a), k))[0].any()
+
+
 def test_scoring_with_few_open_files(spark, docs, texts):
     """The language model with many buckets in workers that may open few files."""
     import resource
