@@ -120,8 +120,8 @@ class Model:
 
     @property
     def pair_bits(self) -> int:
-        """Leading bits that name a bucket of pairs: the rest of a key has 32 bits where that can be."""
-        return min(shared.MOST_BITS, max(self.bits, 2 * self.width - 32), 2 * self.width)
+        """Leading bits that name a bucket of pairs."""
+        return min(self.bits, 2 * self.width)
 
     def pair_store(self, uri: str) -> Sorted:
         return Sorted(uri, self.pair_bits, ("counts", "followers"), 64 - 2 * self.width)

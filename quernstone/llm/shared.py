@@ -283,43 +283,66 @@ class Sorted:
     """Sorted keys in buckets, with parallel arrays of values, written by tasks and mapped by others.
 
     spare: how many low bits of the keys are always zero. Keys are stored without these and without the bits that name their
-    bucket, in 32 bits where that does.
+    bucket: in 32 bits where that does, and up to SUB bits more go to a table of where each part of the bucket begins.
     """
 
+    SUB = 12
+
     def __init__(self, uri: str, bucket_bits: int, values: tuple[str, ...] = (), spare: int = 0):
         self.uri, self.bits, self.values, self.spare = uri, bucket_bits, values, spare
         self._held = Held()
 
-    def _stored(self, keys: np.ndarray) -> np.ndarray:
-        if 64 - self.bits - self.spare > 32:
-            return keys
-        return ((keys << U64(self.bits)) >> U64(self.bits + self.spare)).astype(np.uint32)
+    @property
+    def sub(self) -> int:
+        """Bits of a key beyond 32 that the table takes; -1: keys are stored whole."""
+        more = max(0, 64 - self.bits - self.spare - 32)
+        return more if more <= self.SUB else -1
+
+    def _rest(self, keys: np.ndarray) -> np.ndarray:
+        return (keys << U64(self.bits)) >> U64(self.bits + self.spare)
 
     def write(self, bucket: int, keys: np.ndarray, *values: np.ndarray) -> None:
-        for name, x in zip(("keys", *self.values), (self._stored(keys), *values), strict=True):
+        arrays = dict(zip(self.values, values, strict=True))
+        if self.sub < 0:
+            arrays["keys"] = keys
+        else:
+            rest = self._rest(keys)
+            arrays["keys"] = rest.astype(np.uint32)
+            arrays["parts"] = np.searchsorted(rest >> U64(32), np.arange((1 << self.sub) + 1, dtype=U64))
+        for name, x in arrays.items():
             save(self.uri, f"{bucket}-{name}", x)
 
+    def _arrays(self, b: int) -> tuple:
+        return self._held.get(b, self.uri, [f"{b}-{name}" for name in ("keys", *self.values, *(["parts"] if self.sub >= 0 else []))])
+
     def bucket(self, b: int) -> tuple:
-        """The arrays of a bucket; () where no key has these leading bits."""
-        return self._held.get(b, self.uri, [f"{b}-{name}" for name in ("keys", *self.values)])
+        """The arrays of a bucket, keys as they are stored; () where no key has these leading bits."""
+        return self._arrays(b)[: 1 + len(self.values)]
 
     def places(self, b: int, keys: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
         """The arrays of a bucket, where in them sorted keys of the bucket are, and which of them are there."""
-        have = self.bucket(b)
+        have = self._arrays(b)
         if not have or not len(have[0]):
             return (), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        asked = self._stored(keys)
-        at = np.minimum(np.searchsorted(have[0], asked), len(have[0]) - 1)
-        return have, at, have[0][at] == asked
+        if self.sub < 0:
+            at = np.minimum(np.searchsorted(have[0], keys), len(have[0]) - 1)
+            return have, at, have[0][at] == keys
+        rest = self._rest(keys)
+        low, at, end = rest.astype(np.uint32), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for part, s in cut(rest << U64(32 - self.sub), self.sub) if self.sub else [(0, slice(0, len(keys)))]:
+            first, stop = int(have[-1][part]), int(have[-1][part + 1])
+            at[s], end[s] = first + np.searchsorted(have[0][first:stop], low[s]), stop
+        ok = at < end
+        at = np.minimum(at, len(have[0]) - 1)
+        return have, at, ok & (have[0][at] == low)
 
     def keys(self, b: int) -> np.ndarray:
         """The whole keys of a bucket."""
-        have = self.bucket(b)
-        if not have:
-            return np.zeros(0, U64)
-        if have[0].dtype != np.uint32:
-            return np.array(have[0])
-        return (U64(b) << U64(64 - self.bits)) | (have[0].astype(U64) << U64(self.spare))
+        have = self._arrays(b)
+        if not have or self.sub < 0:
+            return np.array(have[0]) if have else np.zeros(0, U64)
+        high = np.repeat(np.arange(1 << self.sub, dtype=U64), np.diff(have[-1]))
+        return (U64(b) << U64(64 - self.bits)) | (((high << U64(32)) | have[0].astype(U64)) << U64(self.spare))
 
     def find(self, keys: np.ndarray, *missing: int | float) -> list[np.ndarray]:
         """For sorted distinct keys: whether each is held, then each array of values (missing where not)."""
@@ -330,7 +353,7 @@ class Sorted:
             if not have:
                 continue
             held[s] = ok
-            for o, v in zip(out, have[1:], strict=False):
+            for o, v in zip(out, have[1 : 1 + len(self.values)], strict=False):
                 o[s] = np.where(ok, v[at], o[s])
         return [held, *out]
 
