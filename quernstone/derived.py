@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keys of a lookup up to which they are sent to every task.
@@ -46,6 +46,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """df with row_number() over by, ordered by order, in a column ``name``. Rows are ranged by both, counted by part, and
+    numbered within their part after those of the parts before, so that a hot key's rows stay spread. ``order`` decides
+    between all rows of a key; of rows that are equal in it any comes first."""
+    spark, keys = df.sparkSession, [*by, *order]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    # as many rows a key as there are parts
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")).drop("_n")
+    within = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    match = [within[c].eqNullSafe(before[c]) for c in (*by, "_part")]
+    joined = within.join(before, match).select(*(within[c] for c in df.columns), (within[name] + before["_before"]).cast("int").alias(name))
+    return joined
+
+
 class Inverted:
     """Rows by a key. Each bucket is a folder of files sorted by key; a hot key's rows are dealt over several files."""
 

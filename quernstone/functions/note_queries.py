@@ -10,14 +10,17 @@ from ..session import table
 from . import notes as N
 
 
-@query("g7_merged_tags", """SELECT user_id, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(list_transform(l, lambda x: lower(x)), lower(l[i])) = i THEN l[i] END), lambda x: x IS NOT NULL), ',') AS tags
-  FROM (SELECT user_id, list(CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END ORDER BY event_id)[1:40] AS l FROM events GROUP BY 1)""")
+@query("g7_merged_tags", """SELECT user_id, string_agg(tag, ',' ORDER BY event_id) AS tags FROM (SELECT user_id, event_id, tag, row_number() OVER (PARTITION BY user_id, lower(tag) ORDER BY event_id) AS k
+  FROM (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS tag FROM events)) WHERE k = 1 GROUP BY 1""")
 def merged_tags(spark, sf_dir):
-    """A user's first forty tags, the first twenty there before."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("tag"), F.row_number().over(w).alias("k")).where("k <= 40")
-    g = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "tag"))), lambda x: x["tag"]).alias("t"))
-    return g.select("user_id", F.array_join(N.merged_tags(F.slice("t", 1, 20), F.slice("t", 21, 20)), ",").alias("tags"))
+    """All of a user's tags: those of the first half are there before, those of the second come to them. Of each half the
+    first of equal tags is kept before they meet."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("tag"))
+    middle = e.agg(F.expr("div(max(event_id), 2)").alias("m"))
+    first = e.join(F.broadcast(middle)).groupBy("user_id", (F.col("event_id") > F.col("m")).alias("late"), F.lower("tag").alias("t")).agg(F.min(F.struct("event_id", "tag")).alias("x"))
+    tags = lambda late: F.transform(F.array_sort(F.collect_list(F.when(F.col("late") == F.lit(late), F.col("x")))), lambda x: x["tag"])
+    g = first.groupBy("user_id").agg(tags(False).alias("a"), tags(True).alias("b"))
+    return g.select("user_id", F.array_join(N.merged_tags(F.col("a"), F.col("b")), ",").alias("tags"))
 
 
 @query("h29_note_paths", r"SELECT page_id, regexp_matches(lower(path), '\.md$') AND NOT regexp_matches(path, '(^|/)\.') AND split_part(path, '/', 1) <> '_assets' AS is_note, regexp_matches(path, '^[/~]') OR regexp_matches(path, '(^|/)\.\.(/|$)') AS unsafe FROM (SELECT page_id, split_part(url, '://', 2) || CASE page_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '/../x.MD' ELSE '' END AS path FROM pages)")
@@ -26,10 +29,10 @@ def note_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.is_note(path).alias("is_note"), N.unsafe(path).alias("unsafe"))
 
 
-@query("h30_safe_titles", r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(url, '[/:\\]', '-', 'g'), '[\n\r\t]', ' ', 'g'), ' +', ' ', 'g'), ' .'), ''), 'Untitled') AS title FROM pages WHERE strlen(url) <= 200")
+@query("h30_safe_titles", r"SELECT page_id, coalesce(nullif(rtrim(substr(trim(regexp_replace(regexp_replace(regexp_replace(url, '[/:\\]', '-', 'g'), '[\n\r\t]', ' ', 'g'), ' +', ' ', 'g'), ' .'), 1, 200), ' .'), ''), 'Untitled') AS title FROM pages")
 def safe_titles(spark, sf_dir):
-    """Addresses as titles of notes; those beyond 200 bytes are left to the tests."""
-    return table(spark, sf_dir, "pages").where("octet_length(url) <= 200").select("page_id", N.safe_title("url").alias("title"))
+    """Addresses, all of them in ASCII, as titles of notes."""
+    return table(spark, sf_dir, "pages").select("page_id", N.safe_title("url").alias("title"))
 
 
 @query("h40_code_fences", "SELECT conv_id, turn, '```' || role || chr(10) || text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END || '```' AS block FROM conversations")
@@ -42,13 +45,12 @@ def appended(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.appended(F.col("role"), F.when(F.col("turn") % 4 == 0, "").otherwise(F.col("text"))).alias("note"))
 
 
-@query("h47_label_only", r"""WITH c AS (SELECT conv_id, turn, text, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS line FROM conversations), l AS (SELECT conv_id, turn, array_to_string(string_split(line, ' ')[1:4], ' ') AS label, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS session FROM c)
-  SELECT conv_id, turn, len(label) <= 60 AND label <> '' AND n <> '' AND NOT contains(CASE WHEN turn % 2 = 0 THEN session ELSE '' END, n) AS label_only FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(label), '^(?:[#>*+\-\s]|\d+[.)])+', ''), '[:#\s]+$', '')) AS n FROM l)""")
+@query("h47_label_only", r"""WITH c AS (SELECT conv_id, turn, text, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS line FROM conversations), l AS (SELECT conv_id, turn, line AS label, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS session FROM c)
+  SELECT conv_id, turn, len(label) <= 60 AND label <> '' AND n <> '' AND len(string_split(n, ' ')) <= 4 AND NOT contains(CASE WHEN turn % 2 = 0 THEN session ELSE '' END, n) AS label_only FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(label), '^(?:[#>*+\-\s]|\d+[.)])+', ''), '[:#\s]+$', '')) AS n FROM l)""")
 def label_only(spark, sf_dir):
-    """The first words of each turn, against the turn itself or against nothing."""
+    """The first line of each turn, against the turn itself or against nothing."""
     c = table(spark, sf_dir, "conversations").withColumn("line", F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"\s+", " ")))
-    label = F.array_join(F.slice(F.split("line", " "), 1, 4), " ")
-    return c.select("conv_id", "turn", N.label_only(label, F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("")).alias("label_only"))
+    return c.select("conv_id", "turn", N.label_only(F.col("line"), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("")).alias("label_only"))
 
 
 @query("h21_half_floats", "SELECT vec_id, CAST(2 * len(embedding) AS INTEGER) AS bytes, true AS close FROM embeddings")

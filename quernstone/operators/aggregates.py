@@ -109,9 +109,10 @@ def sessions_12h(spark, sf_dir):
 
 @query("e9_blocked_undo", "SELECT event_id, EXISTS (SELECT 1 FROM events l WHERE l.user_id = e.user_id AND (l.ts, l.event_id) > (e.ts, e.event_id)) AS blocked FROM events e")
 def blocked_undo(spark, sf_dir):
-    """An event can't be undone while a later one touches the same subject."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.lead("event_id").over(w).isNotNull().alias("blocked"))
+    """An event can't be undone while a later one touches the same subject: while it isn't the subject's last."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    last = e.groupBy("user_id").agg(F.max("at").alias("last"))
+    return e.join(last, "user_id").select("event_id", (F.col("at") < F.col("last")).alias("blocked"))
 
 
 @query("e7_renumbered", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal FROM conversations")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import NOTES_SQL, notes
+from ..derived import numbered
 from ..registry import query
 from ..session import table
 
@@ -29,9 +30,10 @@ def reconcile(disk: DataFrame, known: DataFrame) -> DataFrame:
     ).where("change is not null")
     added, removed = both.where("change = 'added'"), both.where("change = 'removed'")
     by_id = added.select("relpath", F.col("new_id").alias("id")).join(removed.select(F.col("relpath").alias("from_path"), F.col("old_id").alias("id")), "id").select("relpath", "from_path")
-    turn = lambda h: F.row_number().over(Window.partitionBy(h).orderBy("relpath"))
-    a = added.join(by_id, "relpath", "left_anti").select("relpath", F.col("new_hash").alias("hash"), turn("new_hash").alias("n"))
-    r = removed.join(by_id.select(F.col("from_path").alias("relpath")), "relpath", "left_anti").select(F.col("relpath").alias("from_path"), F.col("old_hash").alias("hash"), F.row_number().over(Window.partitionBy("old_hash").orderBy("relpath")).alias("n"))
+    # any number of files may have one hash, as empty ones do
+    a = numbered(added.join(by_id, "relpath", "left_anti").select("relpath", F.col("new_hash").alias("hash")), ["hash"], ["relpath"], "n")
+    r = removed.join(by_id.select(F.col("from_path").alias("relpath")), "relpath", "left_anti").select(F.col("relpath").alias("from_path"), F.col("old_hash").alias("hash"))
+    r = numbered(r, ["hash"], ["from_path"], "n")
     moves = by_id.union(a.join(r, ["hash", "n"]).select("relpath", "from_path"))
     gone = moves.select(F.col("from_path").alias("relpath"))
     rest = both.select("change", "relpath").join(moves.select("relpath").union(gone), "relpath", "left_anti").select("change", "relpath", F.lit(None).cast("string").alias("from_path"))
@@ -66,10 +68,16 @@ def vectors_of_model(spark, sf_dir):
 
 @query("c5_first_later", "SELECT user_id, event_id, later FROM (SELECT user_id, event_id, event_type, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM events) WHERE event_type = 'error'")
 def first_later(spark, sf_dir):
-    """For each error, the user's first purchase after it: from the last event back, the latest one seen."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
-    return table(spark, sf_dir, "events").withColumn("later", later).where("event_type = 'error'").select("user_id", "event_id", "later")
+    """For each error, the user's first purchase after it: on its day, else the first of the next day that has one. A task
+    holds a day of a user, and then a row for each day."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", F.to_date("ts").alias("day"))
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    w = Window.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    here = e.withColumn("same_day", F.last(bought, ignorenulls=True).over(w)).where("event_type = 'error'")
+    days = e.groupBy("user_id", "day").agg(F.min(F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id")))["event_id"].alias("first"))
+    after = Window.partitionBy("user_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("next", F.last("first", ignorenulls=True).over(after)).select("user_id", "day", "next")
+    return here.join(days, ["user_id", "day"]).select("user_id", "event_id", F.coalesce("same_day", "next").alias("later"))
 
 
 @query("c6_stale_text", f"WITH {NOTES_SQL}, {INDEXED_SQL} SELECT n.id, n.mtime FROM notes n LEFT JOIN indexed i USING (id) WHERE i.content_hash IS NULL OR i.content_hash <> n.content_hash ORDER BY n.mtime DESC, n.id")

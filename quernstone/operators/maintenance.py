@@ -69,9 +69,10 @@ def latest_state(spark, sf_dir):
 @query("j13_provider_health", "SELECT user_id, CASE WHEN last = 'error' THEN 'failing' ELSE 'connected' END AS health, fails FROM (SELECT user_id, max_by(event_type, (ts, event_id)) AS last, count(*) FILTER (event_type = 'error' AND (ts, event_id) > coalesce(ok, (TIMESTAMP '1970-01-01', 0))) AS fails FROM (SELECT *, max(CASE WHEN event_type <> 'error' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS ok FROM events) GROUP BY 1)")
 def provider_health(spark, sf_dir):
     """Last event wins; failures since the last success are counted."""
-    at = F.struct("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("at", at).withColumn("ok", F.max(F.when(F.col("event_type") != "error", at)).over(Window.partitionBy("user_id")))
-    g = e.groupBy("user_id").agg(F.max_by("event_type", "at").alias("last"), F.count_if((F.col("event_type") == "error") & (F.col("ok").isNull() | (F.col("at") > F.col("ok")))).alias("fails"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    g = e.groupBy("user_id").agg(F.max_by("event_type", "at").alias("last"), F.max(F.when(F.col("event_type") != "error", F.col("at"))).alias("ok"))
+    since = e.where("event_type = 'error'").join(g.select("user_id", "ok"), "user_id").where("ok is null or at > ok").groupBy("user_id").agg(F.count("*").alias("fails"))
+    g = g.join(since, "user_id", "left").fillna(0, ["fails"])
     return g.select("user_id", F.when(F.col("last") == "error", "failing").otherwise("connected").alias("health"), "fails")
 
 

@@ -71,10 +71,14 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORDING).option("multiLine", True).json(path)
 
 
-def replayed(requests: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Requests (any columns) with the reply recorded under the first 16 hex digits of their JSON's SHA-256."""
-    key = F.substring(F.sha2(F.to_json(F.struct(*requests.columns)), 256), 1, 16)
-    return requests.withColumn("key", key).join(recorded.select("key", "responseBody"), "key", "left")
+def request_key(requests: DataFrame, columns: list[str] | None = None) -> Column:
+    """The first 16 hex digits of the SHA-256 of a request's JSON."""
+    return F.substring(F.sha2(F.to_json(F.struct(*(columns or requests.columns))), 256), 1, 16)
+
+
+def replayed(requests: DataFrame, recorded: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Requests (of these columns, or all) with the reply recorded under their key."""
+    return requests.withColumn("key", request_key(requests, columns)).join(recorded.select("key", "responseBody"), "key", "left")
 
 
 def vocabulary(spark: SparkSession, path: str, most: int = 200_000) -> dict[str, int]:
@@ -85,8 +89,8 @@ def vocabulary(spark: SparkSession, path: str, most: int = 200_000) -> dict[str,
     return {w: k for k, w in enumerate(lines) if w}
 
 
-def synthetic(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """n small notes that depend on nothing but their number and the seed."""
+def synthetic(ids: DataFrame, seed: int = 1) -> DataFrame:
+    """A small note for each id (a column ``id``) that depends on nothing but this and the seed."""
     pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(len(words))) + 1).cast("int"))
     sentence = F.concat_ws(" ", pick(["Check", "Plan", "Fix", "Review"], 1), pick(["the garden", "a server", "the budget", "our trip"], 2), pick(["today", "again", "with care", "by Friday"], 3))
-    return spark.range(n).select("id", F.concat(F.lit("notes/"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(".md")).alias("relpath"), F.concat(F.lit("# Note "), F.col("id"), F.lit("\n\n"), sentence, F.lit(".\n")).alias("body"))
+    return ids.select("id", F.concat(F.lit("notes/"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(".md")).alias("relpath"), F.concat(F.lit("# Note "), F.col("id"), F.lit("\n\n"), sentence, F.lit(".\n")).alias("body"))

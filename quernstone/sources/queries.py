@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..session import table
-from .markdown import derived_id, replayed, synthetic
+from .markdown import derived_id, replayed, request_key, synthetic
 from .reports import row_counts
 
 
@@ -15,17 +16,21 @@ def derived_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", derived_id(F.col("url")).alias("id"))
 
 
-@query("a13_replayed_requests", "SELECT conv_id, turn, turn % 2 = 0 AS answered FROM conversations")
+@query("a13_replayed_requests", """WITH t AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS speaker FROM conversations),
+  m AS (SELECT text, min(reply) AS reply FROM t WHERE role = 'user' AND speaker = 'assistant' GROUP BY 1) SELECT conv_id, turn, m.reply FROM conversations c LEFT JOIN m ON m.text = c.text WHERE role = 'user'""")
 def replayed_requests(spark, sf_dir):
-    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    key = F.substring(F.sha2(F.to_json(F.struct(*r.columns)), 256), 1, 16)
-    recorded = r.where("turn % 2 = 0").select(key.alias("key"), F.lit("{}").alias("responseBody"))
-    return replayed(r, recorded.distinct()).select("conv_id", "turn", F.col("responseBody").isNotNull().alias("answered"))
+    """Every question with the reply that was recorded for it: what the assistant said to the same words, of several the
+    least."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").withColumn("reply", F.lead("text").over(w)).withColumn("speaker", F.lead("role").over(w)).where("role = 'user'")
+    recorded = t.where("speaker = 'assistant'").groupBy(request_key(t.select("role", "text")).alias("key")).agg(F.min("reply").alias("responseBody"))
+    return replayed(t.select("conv_id", "turn", "role", "text"), recorded, ["role", "text"]).select("conv_id", "turn", F.col("responseBody").alias("reply"))
 
 
 @query("a14_synthetic_corpus")
 def synthetic_corpus(spark, sf_dir):
-    return synthetic(spark, 1000)
+    """A small note for every document, of the same words whenever it is made."""
+    return synthetic(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

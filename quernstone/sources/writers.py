@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..derived import numbered
 from ..functions import notes as N
 
 TRASH = ".trash"
@@ -28,17 +29,20 @@ def place(path: str, text: str) -> None:
 def free_names(new: DataFrame, taken: DataFrame) -> DataFrame:
     """relpath for each row of new (folder_path, title): Title.md, or the first free Title 2.md, Title 3.md, ...; rows that
     ask for one name get theirs in the order of their ids. taken: relpath (in any case)."""
-    stem = N.safe_title("title")
-    n = new.withColumn("stem", stem).withColumn("nth", F.row_number().over(Window.partitionBy("folder_path", F.lower(F.col("stem"))).orderBy("id")))
+    n = numbered(new.withColumn("stem", N.safe_title("title")).withColumn("base", F.lower("stem")), ["folder_path", "base"], ["id"], "nth")
     at = lambda k: F.concat(F.when(F.col("folder_path") == "", "").otherwise(F.concat("folder_path", F.lit("/"))), N.numbered(F.col("stem"), k), F.lit(".md"))
     # numbers that are taken: those of the library's files of this name
     t = taken.select(F.regexp_replace("relpath", "/?[^/]*$", "").alias("folder_path"), F.regexp_replace(F.regexp_extract("relpath", "[^/]*$", 0), r"\.md$", "").alias("file"))
     t = t.select("folder_path", F.lower(F.regexp_replace("file", r" \d+$", "")).alias("base"), F.coalesce(F.nullif(F.regexp_extract("file", r" (\d+)$", 1), F.lit("")).cast("int"), F.lit(1)).alias("number")).union(
         t.select("folder_path", F.lower("file"), F.lit(1)))
-    held = t.groupBy("folder_path", "base").agg(F.collect_set("number").alias("held"))
-    n = n.withColumn("base", F.lower("stem")).join(held, ["folder_path", "base"], "left")
-    free = F.array_except(F.sequence(F.lit(1), F.col("nth") + F.size(F.coalesce("held", F.array().cast("array<int>")))), F.coalesce("held", F.array().cast("array<int>")))
-    return n.withColumn("relpath", at(F.element_at(free, F.col("nth")))).drop("stem", "nth", "base", "held")
+    # of the taken numbers in order the k-th has number - k free ones before it: a new one goes past those with fewer than its turn
+    held = numbered(t.distinct(), ["folder_path", "base"], ["number"], "k").withColumn("gap", F.col("number") - F.col("k"))
+    held = held.groupBy("folder_path", "base", "gap").agg(F.count("*").alias("run"))
+    upto = Window.partitionBy("folder_path", "base").orderBy("gap")
+    runs = held.select("folder_path", "base", "gap", F.sum("run").over(upto).alias("passed"))
+    steps = n.select("folder_path", "base", "nth").distinct().join(runs, ["folder_path", "base"]).where("gap < nth").groupBy("folder_path", "base", "nth").agg(F.max("passed").alias("passed"))
+    n = n.join(steps, ["folder_path", "base", "nth"], "left")
+    return n.withColumn("relpath", at((F.col("nth") + F.coalesce("passed", F.lit(0))).cast("int"))).drop("stem", "nth", "base", "passed")
 
 
 def save(notes: DataFrame, root: str) -> int:

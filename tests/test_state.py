@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quernstone.sources import markdown
-from quernstone.sources.store import Store
 from quernstone.streaming import sessions as S
 
 LOG = [
@@ -53,19 +52,6 @@ def test_outcomes(spark, tmp_path):
     assert [r.query for r in markdown.outcomes(spark, f"{tmp_path}/log.jsonl").collect()] == ["a", "b"]
 
 
-def test_store(spark, tmp_path):
-    store = Store(spark, f"{tmp_path}/store")
-    assert store.version("t") == 0
-    assert store.write("t", spark.range(3)) == 1
-    assert store.write("t", store.read("t").union(spark.range(3, 5))) == 2
-    assert store.read("t").count() == 5
-    spark.range(1).write.parquet(f"{tmp_path}/store/t/v=3")  # a writer that was lost
-    assert store.recover("t") == ["v=3"] and store.version("t") == 2
-    for f in (tmp_path / "store/t/v=2").glob("*.parquet"):
-        f.write_bytes(b"broken")
-    assert store.recover("t") == ["v=2"] and store.read("t").count() == 3
-
-
 def test_reconcile_stream(spark, tmp_path):
     known = [("a.md", "1", "x"), ("b.md", "2", "y")]
     spark.createDataFrame(known, "relpath string, id string, content_hash string").write.parquet(f"{tmp_path}/known")
