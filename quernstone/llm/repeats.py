@@ -70,7 +70,8 @@ class Phrases:
         # documents that touch have a gap of length - 1 starts between them, so a new one is a jump
         at = np.flatnonzero(new)
         self.lo, self.hi = starts[at], starts[np.append(at[1:], len(starts)) - 1]
-        self.key = grams[trigger[at]]
+        # a least hash has small leading bits: mixed again, triggers spread over all buckets
+        self.key = mix(grams[trigger[at]])
         content = mix(spans_hash(self.c, self.lo, self.hi + length) ^ (trigger[at] - self.lo).astype(U64))
         high = ~U64(0) << U64(64 - top)
         self.phrase = (self.key & high) | (content >> U64(top))  # in its trigger's bucket

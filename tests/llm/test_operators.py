@@ -124,6 +124,13 @@ def test_scoring_with_few_open_files(spark, docs, texts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_triggers_spread_over_buckets(docs):
+    column = pa.chunked_array([docs.select("text").toArrow().column(0).combine_chunks()]).combine_chunks()
+    keys = np.concatenate([repeats.Phrases(b, bounds, 400, 6).key for *_, b, bounds in repeats.stretches(column, 400)])
+    share = np.bincount((keys >> np.uint64(58)).astype(int), minlength=64) / len(keys)
+    assert len(keys) > 1000 and share.max() < 0.1
+
+
 def brute_lm(train, docs, order):
     """The same model in dictionaries: counts of n-grams, and for lower orders of different words before."""
     grams = [Counter() for _ in range(order + 1)]
