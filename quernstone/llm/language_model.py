@@ -95,6 +95,28 @@ def widened(stored: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x.astype(np.int64) if x.ndim == 1 else x[:, 0].astype(np.int64) | x[:, 1].astype(np.int64) << 8 | x[:, 2].astype(np.int64) << 16
 
 
+def squeezed(x: np.ndarray) -> np.ndarray:
+    """Counts in a byte each, those from 255 on in a list of places and values behind; all in one array of bytes."""
+    big = np.flatnonzero(x >= 255)
+    head = np.array([len(x), len(big)], np.int64)
+    parts = (head, np.minimum(x, 255).astype(np.uint8), np.zeros(-len(x) % 8, np.uint8), big.astype(np.int64), x[big].astype(np.int64))
+    return np.concatenate([y.view(np.uint8) for y in parts])
+
+
+def counts_at(stored: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The counts at these places of what squeezed() gave."""
+    n, big = stored[:16].view(np.int64).tolist()
+    out = stored[16 + at].astype(np.int64)
+    if big and len(hit := np.flatnonzero(out == 255)):
+        places, values = stored[16 + n + -n % 8 :].view(np.int64).reshape(2, big)
+        out[hit] = values[np.searchsorted(places, at[hit])]
+    return out
+
+
+#: Contexts of a bucket of which one start is stored, and buckets of pairs that one task writes.
+BLOCK, TOGETHER = 16, 4
+
+
 class Model:
     """What scoring needs: where the arrays are, and a few totals."""
 
@@ -118,13 +140,27 @@ class Model:
         """Bits of an id; the start mark is the id V."""
         return max(4, self.vocabulary.bit_length())
 
+    @property
+    def group_bits(self) -> int:
+        """Leading bits that name a group of buckets that one task writes."""
+        return max(1, self.pair_bits - TOGETHER.bit_length() + 1)
+
     @property
     def pair_bits(self) -> int:
         """Leading bits that name a bucket of pairs."""
         return min(self.bits, 2 * self.width)
 
     def pair_store(self, uri: str) -> Sorted:
-        return Sorted(uri, self.pair_bits, ("counts", "followers"), 64 - 2 * self.width)
+        return Sorted(uri, self.pair_bits, ("counts", "followers", "starts"), 64 - 2 * self.width)
+
+    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of sorted distinct pairs, 0 for unknown ones."""
+        out = np.zeros(len(keys), np.int64)
+        for b, s in shared.cut(keys, self.pair_bits):
+            have, at, ok = self.pairs.places(b, keys[s])
+            if have:
+                out[s] = np.where(ok, counts_at(have[1], at), 0)
+        return out
 
     def pair_key(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """A bijective mix of two ids in the leading bits of a key. Unknown ids (-1) give some other key."""
@@ -187,18 +223,25 @@ class Model:
             have, at, ok = self.pairs.places(b, keys[s])
             if not have:
                 continue
-            followers = have[2]
-            ok &= followers[at] > 0
+            followers, starts = have[2], have[3]
+            ok &= counts_at(followers, at) > 0
             if not ok.any():
                 continue
-            stops, (words, counts) = np.cumsum(followers, dtype=np.int64), self.listed(b)
+            words, counts = self.listed(b)
             tokens = np.flatnonzero((back >= s.start) & (back < s.stop))
             tokens = tokens[ok[back[tokens] - s.start]]
             if not len(tokens):
                 continue
             # the found contexts, then their tokens
             where, of = np.unique(at[back[tokens] - s.start], return_inverse=True)
-            lo, hi = stops[where] - followers[where], stops[where]
+            # a start is its block's and what the contexts before it in the block have
+            inside = where[:, None] & ~(BLOCK - 1)
+            ahead = inside + np.arange(BLOCK)
+            ahead = np.where(ahead <= where[:, None], ahead, inside)
+            n = counts_at(followers, ahead.ravel()).reshape(ahead.shape)
+            own = np.arange(BLOCK) == (where[:, None] & (BLOCK - 1))
+            lo = starts[where // BLOCK].astype(np.int64) + (n * ((np.arange(BLOCK) < (where[:, None] & (BLOCK - 1))))).sum(1)
+            hi = lo + (n * own).sum(1)
             found = [np.concatenate(x) for x in zip(*(self._totals(lo[k], hi[k], counts) for k in _chunks(hi - lo)), strict=True)]
             w, left, right = ids[some[tokens]], lo[of], hi[of]
             end = right
@@ -208,7 +251,7 @@ class Model:
                 left, right = np.where(less, mid + 1, left), np.where(open_ & ~less, mid, right)
             there = left < end
             there[there] = widened(words, left[there]) == w[there]
-            out[0][some[tokens[there]]] = counts[left[there]]
+            out[0][some[tokens[there]]] = counts_at(counts, left[there])
             for o, x in zip(out[1:], found, strict=True):
                 o[some[tokens]] = x[of]
         return out
@@ -217,7 +260,7 @@ class Model:
     def _totals(lo: np.ndarray, hi: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         n = hi - lo
         first = np.cumsum(n) - n
-        c = counts[np.repeat(lo - first, n) + np.arange(n.sum())]
+        c = counts_at(counts, np.repeat(lo - first, n) + np.arange(n.sum()))
         return tuple(np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c > 2))
 
     def before(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -296,10 +339,10 @@ def _write_triples(table: pa.Table, model: Model) -> pa.Table:
         np.concatenate([shared.widen(bytes(x.as_buffer())) for x in table.column("counts")]))
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     shared.save(model.triples, f"{b}-words", narrowed(word, model.width))
-    shared.save(model.triples, f"{b}-counts", shared.least(n))
+    shared.save(model.triples, f"{b}-counts", squeezed(n))
     cc = counts_of_counts(n)
     pairs, m = shared.distinct(model.pair_key(model.pair_ids(key)[1], word.astype(np.int64)))
-    rows, own = shared.rows(pairs, m, model.pair_bits), shared.rows(key[at], np.diff(np.append(at, len(key))), model.pair_bits)
+    rows, own = shared.rows(pairs, m, model.group_bits), shared.rows(key[at], np.diff(np.append(at, len(key))), model.group_bits)
     rows = pa.Table.from_batches([rows, own]).combine_chunks()
     return pa.Table.from_arrays([*rows.columns, pa.array([False] * (rows.num_rows - own.num_rows) + [True] * own.num_rows), *(pa.array([c, *[0] * (rows.num_rows - 1)], pa.int64()) for c in cc)], [x.split()[0] for x in CONTINUED.split(", ")])
 
@@ -308,7 +351,7 @@ PARTS = "segment long, bucket int, n1 long, n2 long, n3 long, n4 long, m1 long,
 
 
 def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
-    """One bucket of bigrams and contexts to its arrays; its share of each word's statistics, by segment of ids."""
+    """A group of buckets of bigrams and contexts to their arrays; its share of each word's statistics, by segment of ids."""
     context = np.array(table.column("contexts")) if model.order == 3 else np.zeros(table.num_rows, bool)
     sides = [table.filter(pa.array(x)) for x in (~context, context)]
     b = table.column("bucket")[0].as_py()
@@ -317,7 +360,9 @@ def _write_pairs(table: pa.Table, model: Model) -> pa.Table:
     every = np.union1d(k, c)
     counts, followers = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     counts[np.searchsorted(every, k)], followers[np.searchsorted(every, c)] = n, f
-    model.pairs.write(b, every, shared.least(counts), shared.least(followers))
+    for one, part in shared.cut(every, model.pair_bits):
+        starts = (np.cumsum(followers[part]) - followers[part])[::BLOCK]
+        model.pairs.write(one, every[part], squeezed(counts[part]), squeezed(followers[part]), starts.astype(np.uint32) if followers[part].sum() < 1 << 32 else starts)
     before, after = model.pair_ids(k)
     cc, rows = counts_of_counts(n), []
     cc += [sum(table.column(f"m{i}").to_pylist()) if model.order == 3 else 0 for i in (1, 2, 3, 4)]
@@ -370,7 +415,7 @@ def fit(texts: DataFrame, order: int = 3) -> Model:
         triples = shared.mapped(texts, partial(_triples, model=model), TRIPLES)
         pairs = triples.groupBy("bucket").applyInArrow(shared.with_args(_write_triples, model=model), CONTINUED)
     else:
-        pairs = shared.mapped(texts, partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.pair_bits), shared.PACKED)
+        pairs = shared.mapped(texts, partial(shared.counted, hashes=partial(_pairs, model=model), bucket_bits=model.group_bits), shared.PACKED)
     parts = pairs.groupBy("bucket").applyInArrow(shared.with_args(_write_pairs, model=model), PARTS)
     segments = parts.groupBy("segment").applyInArrow(shared.with_args(_write_segment, model=model), ", ".join(["segment long", "types long", *(f"{a}{i} long" for a in "tnm" for i in (1, 2, 3, 4))])).collect()
     model.types = sum(r.types for r in segments)
@@ -399,7 +444,7 @@ def probabilities(model: Model, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarra
     c = np.zeros(m)
     both = (ids >= 0) & (before >= 0)
     keys, at = np.unique(key[both], return_inverse=True)
-    c[both] = model.pairs.find(keys, 0)[1][at]
+    c[both] = model.pair_counts(keys)[at]
     p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / some + weight * p
     if model.order == 3:
         first = np.cumsum(n + 1) - (n + 1)
@@ -411,10 +456,22 @@ def probabilities(model: Model, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarra
     return p, counts
 
 
+def _together(runs: Iterator[tuple], tokens: int = 1 << 19) -> Iterator[tuple]:
+    """Runs of documents joined to larger ones, as each visits every bucket."""
+    held: list[tuple] = []
+    for run in runs:
+        held.append(run)
+        if sum(len(x[3]) for x in held) >= tokens:
+            yield held[0][0], held[-1][1], np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            held = []
+    if held:
+        yield held[0][0], held[-1][1], np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64)]
-        for i, j, n, h in words(batch.column("text")):
+        for i, j, n, h in _together(words(batch.column("text"))):
             p, counts = probabilities(model, n, h)
             first = np.cumsum(n + 1) - (n + 1)
             base = np.log10((counts + 1) / (model.tokens + model.vocabulary + 1))

@@ -96,9 +96,12 @@ def test_pair_keys_are_a_bijection(spark, words):
     assert (u == a).all() and (v == b).all() and len(np.unique(key)) == len(np.unique(np.stack([a, b]), axis=1).T)
     store = model.pair_store(f"{model.pairs.uri}-{words}")
     k = np.unique(key)
+    counts = rng.integers(0, 300, len(k))
     for n, s in shared.cut(k, store.bits):
-        store.write(n, k[s], a[: s.stop - s.start], b[: s.stop - s.start])
+        store.write(n, k[s], language_model.squeezed(counts[s]), language_model.squeezed(counts[s]), counts[s])
         assert (store.keys(n) == k[s]).all()
+    model.pairs = store
+    assert (model.pair_counts(k) == counts).all()
     assert store.find(k)[0].all() and not store.find(np.setdiff1d(model.pair_key(b, a), k))[0].any()
 
 
