@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..corpus import NOTES_SQL, TERMS_SQL, notes, terms
+from ..derived import spread
 from ..registry import query
 from ..session import table
 from . import text as T
@@ -22,7 +23,7 @@ def term_counts(spark, sf_dir):
 
 @query("h1_fold", "SELECT doc_id, replace(lower(strip_accents(text)), 'ß', 'ss') AS folded FROM documents")
 def folded(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("folded"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.fold("text").alias("folded"))
 
 
 @query("h7_tolerance", "SELECT item_id, w, CASE WHEN len(w) < 4 THEN 0 WHEN len(w) < 8 THEN 1 ELSE 2 END AS tolerance FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w FROM benchmark)".replace("\\\\", "\\"))
@@ -133,7 +134,7 @@ def diff_counts(spark, sf_dir):
 
 @query("i1_chunks")
 def chunk_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunked("text")).alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.chunked("text")).alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
 
 
 @query("h39_pasted_kinds")
@@ -143,14 +144,14 @@ def pasted_kinds(spark, sf_dir):
 
 @query("h22_hashed_embeddings")
 def hashed_embeddings(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.hashed_embedding("text").alias("vector"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.hashed_embedding("text").alias("vector"))
 
 
 @query("h45_wordpiece")
 def wordpieces(spark, sf_dir):
     """Whole texts by a vocabulary of the documents' own frequent words; a model's is read with
     sources.markdown.vocabulary()."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = vocabulary_of(d, "text").collect()  # at most 30,000 words and the characters
     names = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *sorted({r.w for r in rows} | set(".,;:!?-'"))]
     return d.select("doc_id", encoder({w: k for k, w in enumerate(names)}, limit=1 << 30)("text").alias("t")).select("doc_id", "t.ids")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..derived import written
 from ..functions import notes as N
 from ..functions.text import line_diff, patched
 
@@ -241,8 +242,7 @@ def apply(actions: DataFrame, plans: DataFrame, notes: DataFrame, excluded: tupl
     """Images before and after of each note that a plan changes; a plan whose preconditions (hashes by path)
     no longer hold changes nothing and is a conflict. Plans are validated first: one with an error, other than about its
     preconditions, which the notes' own texts decide, is invalid and changes nothing."""
-    found = issues(actions, notes, None, excluded, session)
-    good = valid(actions, found)
+    good = written(valid(actions, issues(actions, notes, None, excluded, session)), "valid")
     refused = actions.select("plan_id").distinct().join(good, "plan_id", "left_anti").select("plan_id", F.lit("invalid").alias("status"), *(F.lit(None).cast("string").alias(c) for c in ("relpath", "before", "after")))
     a = actions.join(good, "plan_id", "left_semi").join(plans.select("plan_id", F.to_json("preconditions").alias("preconditions")), "plan_id")
     named = a.select("plan_id", F.explode(F.array_distinct(F.concat(F.array("note", "path", "to", *_reachable()), F.coalesce(F.map_keys(F.from_json("preconditions", "map<string,string>")), F.array().cast("array<string>"))))).alias("relpath")).where("relpath is not null").distinct()
