@@ -84,17 +84,6 @@ def _chunks(sizes: np.ndarray, limit: int = 1 << 20) -> Iterator[slice]:
         a = b
 
 
-def narrowed(ids: np.ndarray, width: int) -> np.ndarray:
-    """Ids in three bytes each, where they fit."""
-    return np.ascontiguousarray(ids.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]) if width <= 24 else ids.astype(np.uint32)
-
-
-def widened(stored: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The ids at these places of what narrowed() gave."""
-    x = stored[at]
-    return x.astype(np.int64) if x.ndim == 1 else x[:, 0].astype(np.int64) | x[:, 1].astype(np.int64) << 8 | x[:, 2].astype(np.int64) << 16
-
-
 def squeezed(x: np.ndarray) -> np.ndarray:
     """Counts in a byte each, those from 255 on in a list of places and values behind; all in one array of bytes."""
     big = np.flatnonzero(x >= 255)
@@ -113,6 +102,8 @@ def counts_at(stored: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Words that follow a context from which on its totals are stored.
+LARGE = 64
 #: Contexts of a bucket of which one start is stored, and buckets of pairs that one task writes.
 BLOCK, TOGETHER = 16, 4
 
@@ -183,8 +174,8 @@ class Model:
         return (x >> half).astype(np.int64), (x & U64((1 << self.width) - 1)).astype(np.int64)
 
     def listed(self, b: int) -> tuple:
-        """The words and counts that follow the contexts of a bucket."""
-        return self._lists.get(b, self.triples, [f"{b}-words", f"{b}-counts"])
+        """The words and counts that follow the contexts of a bucket; of those that many follow, by start, the totals."""
+        return self._lists.get(b, self.triples, [f"{b}-words", f"{b}-counts", f"{b}-large"])
 
     @property
     def segment(self) -> int:
@@ -218,7 +209,11 @@ class Model:
         that once, twice and more; key: of the bigrams, known: whether context and word have ids."""
         out = tuple(np.zeros(len(key), np.int64) for _ in range(5))
         some = np.flatnonzero(known)
-        keys, back = np.unique(key[some], return_inverse=True)
+        # tokens by the key of their context, so that a bucket's are a slice
+        order = np.argsort(key[some], kind="stable")
+        some, k = some[order], key[some][order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        keys, stop = k[first], np.append(first[1:], len(k))
         for b, s in shared.cut(keys, self.pair_bits):
             have, at, ok = self.pairs.places(b, keys[s])
             if not have:
@@ -227,13 +222,10 @@ class Model:
             ok &= counts_at(followers, at) > 0
             if not ok.any():
                 continue
-            words, counts = self.listed(b)
-            tokens = np.flatnonzero((back >= s.start) & (back < s.stop))
-            tokens = tokens[ok[back[tokens] - s.start]]
-            if not len(tokens):
-                continue
-            # the found contexts, then their tokens
-            where, of = np.unique(at[back[tokens] - s.start], return_inverse=True)
+            words, counts, large = self.listed(b)
+            n = (stop[s] - first[s])[ok]
+            tokens = np.repeat(first[s][ok] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            where, of = at[ok], np.repeat(np.arange(len(n)), n)
             # a start is its block's and what the contexts before it in the block have
             inside = where[:, None] & ~(BLOCK - 1)
             ahead = inside + np.arange(BLOCK)
@@ -242,15 +234,19 @@ class Model:
             own = np.arange(BLOCK) == (where[:, None] & (BLOCK - 1))
             lo = starts[where // BLOCK].astype(np.int64) + (n * ((np.arange(BLOCK) < (where[:, None] & (BLOCK - 1))))).sum(1)
             hi = lo + (n * own).sum(1)
-            found = [np.concatenate(x) for x in zip(*(self._totals(lo[k], hi[k], counts) for k in _chunks(hi - lo)), strict=True)]
+            found, many = np.zeros((4, len(lo)), np.int64), hi - lo >= LARGE
+            found[:, many] = large[1:, np.searchsorted(large[0], lo[many])]
+            few = np.flatnonzero(~many)
+            for c in _chunks((hi - lo)[few]):
+                found[:, few[c]] = self._totals(lo[few[c]], hi[few[c]], counts)
             w, left, right = ids[some[tokens]], lo[of], hi[of]
             end = right
             while (open_ := left < right).any():
                 mid = (left + right) // 2
-                less = open_ & (widened(words, np.minimum(mid, end - 1)) < w)
+                less = open_ & (words[np.minimum(mid, end - 1)] < w)
                 left, right = np.where(less, mid + 1, left), np.where(open_ & ~less, mid, right)
             there = left < end
-            there[there] = widened(words, left[there]) == w[there]
+            there[there] = words[left[there]] == w[there]
             out[0][some[tokens[there]]] = counts_at(counts, left[there])
             for o, x in zip(out[1:], found, strict=True):
                 o[some[tokens]] = x[of]
@@ -338,8 +334,10 @@ def _write_triples(table: pa.Table, model: Model) -> pa.Table:
         np.concatenate([shared.unpack(bytes(x.as_buffer()), np.uint32) for x in table.column("words")]),
         np.concatenate([shared.widen(bytes(x.as_buffer())) for x in table.column("counts")]))
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    shared.save(model.triples, f"{b}-words", narrowed(word, model.width))
+    shared.save(model.triples, f"{b}-words", word.astype(np.uint32))
     shared.save(model.triples, f"{b}-counts", squeezed(n))
+    many = np.diff(np.append(at, len(key))) >= LARGE
+    shared.save(model.triples, f"{b}-large", np.stack([at, *(np.add.reduceat(x.astype(np.int64), at) for x in (n, n == 1, n == 2, n > 2))])[:, many])
     cc = counts_of_counts(n)
     pairs, m = shared.distinct(model.pair_key(model.pair_ids(key)[1], word.astype(np.int64)))
     rows, own = shared.rows(pairs, m, model.group_bits), shared.rows(key[at], np.diff(np.append(at, len(key))), model.group_bits)

@@ -113,12 +113,12 @@ def _mapped(path: str) -> np.ndarray:
     """A mapped array that keeps no file open."""
     with open(path, "rb") as f:
         version = np.lib.format.read_magic(f)
-        shape, _, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        shape, fortran, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
         if 0 in shape:
             return np.empty(shape, dtype)
         untracked = {"trackfd": False} if sys.version_info >= (3, 13) else {}
         raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **untracked)
-        return np.frombuffer(raw, dtype, offset=f.tell(), count=int(np.prod(shape))).reshape(shape)
+        return np.frombuffer(raw, dtype, offset=f.tell(), count=int(np.prod(shape))).reshape(shape, order="F" if fortran else "C")
 
 
 class Held:

@@ -75,6 +75,9 @@ def test_arrays_stay_bounded(tmp_path, monkeypatch):
     for b in range(0, 2048, 2):
         store.write(b, keys[b : b + 1], np.array([b], np.uint16))
     store.write(1, np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+    for k, x in enumerate((np.arange(12).reshape(3, 4), np.arange(12).reshape(3, 4).T, np.zeros((2, 0)))):
+        shared.save(store.uri, f"m{k}", x)
+        assert (shared.load(store.uri, f"m{k}") == x).all()
     before = len(os.listdir("/proc/self/fd"))
     for _ in range(2):
         held, counts = store.find(keys, -1)
