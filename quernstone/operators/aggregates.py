@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..derived import written
 from ..registry import query
 from ..session import table
 from . import selection
@@ -90,9 +91,11 @@ def outcome_summary(spark, sf_dir):
         F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(F.col("value") > 50).alias("over_budget"),
         F.max("value").alias("slowest"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), (F.count_if(hit) / F.count("*") >= 0.9).alias("passes"))
     days = e.select("user_id", F.col("ts").cast("date").alias("day")).distinct().groupBy("user_id").agg(F.count("day").alias("days"))
-    p = selection.percentiles(e, ["user_id"], "value", {"median": 0.5, "p90": 0.9})
-    of_hits = selection.percentiles(e.where(hit), ["user_id"], "value", {"median_of_hits": 0.5})
-    return sums.join(days, "user_id").join(p, "user_id").join(of_hits, "user_id", "left")
+    # a user's values and, as a key of their own, those of the hits
+    both = e.select("user_id", F.explode(F.when(hit, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("of_hits"), "value")
+    p = written(selection.percentiles(both, ["user_id", "of_hits"], "value", {"median": 0.5, "p90": 0.9}), "percentiles")
+    of_hits = p.where("of_hits").select("user_id", F.col("median").alias("median_of_hits"))
+    return sums.join(days, "user_id").join(p.where("not of_hits").drop("of_hits"), "user_id").join(of_hits, "user_id", "left")
 
 
 @query("d19_memory_report", "SELECT count(*) AS rows, CAST(sum(len(embedding)) AS BIGINT) AS slots, CAST(2 * sum(len(embedding)) AS BIGINT) AS bytes FROM embeddings")

@@ -22,15 +22,21 @@ def _located(rows: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(few, key).where("value >= low and value <= high")
 
 
-def at_ranks(rows: DataFrame, key: list[str], value: str, ranks: DataFrame) -> DataFrame:
+def sizes(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """key, n, low, high: how many values a key has, the least and the greatest."""
+    v = F.col(value).cast("double") + 0.0
+    return rows.groupBy(*key).agg(F.count(value).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def at_ranks(rows: DataFrame, key: list[str], value: str, ranks: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """key, rank, value: the values at these ranks (from 1) of each key's values in ascending order. ranks: key, rank;
-    ranks outside have no row. Null values take no part; a null key is a key. Values are numbers, compared as doubles."""
+    ranks outside have no row. whole: sizes() of the rows, if these are known. Null values take no part; a null key is a key. Values are numbers, compared as doubles."""
     # joins don't match nulls: each key column goes as a text and whether it is null
     safe = [f"_k{i}" for i in range(2 * len(key))]
     coded = [c for i, k in enumerate(key) for c in (F.coalesce(F.col(k).cast("string"), F.lit("")).alias(safe[2 * i]), F.col(k).isNull().alias(safe[2 * i + 1]))]
     rows = rows.where(F.col(value).isNotNull()).select(*coded, (F.col(value).cast("double") + 0.0).alias("value"))
     asked = ranks.select(*key, "rank").distinct()
-    whole = rows.groupBy(*safe).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    whole = sizes(rows, safe, "value") if whole is None else whole.where("n > 0").select(*coded, "n", "low", "high")
     open_ = written(asked.select(*coded, "rank").join(whole, safe).where(F.col("rank").between(1, F.col("n"))).select(*safe, "rank", F.col("rank").alias("left"), "n", "low", "high"), "ranges")
     done = []
     while True:
@@ -68,9 +74,8 @@ def rounded(n: Column, share: float) -> Column:
 
 def percentiles(rows: DataFrame, key: list[str], value: str, shares: dict[str, float], rule=nearest) -> DataFrame:
     """key and a column for each share: its percentile of the key's values by the rule; null for a key without any."""
-    n = rows.groupBy(*key).agg(F.count(value).alias("n"))
-    n = written(n, "sizes")
+    n = written(sizes(rows, key, value), "sizes")
     ranks = n.where("n > 0").select(*key, F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rule(F.col("n"), x).alias("rank")) for name, x in shares.items()))).alias("r")).select(*key, "r.*")
-    named = ranks.alias("a").join(at_ranks(rows, key, value, ranks).alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "rank")])
+    named = ranks.alias("a").join(at_ranks(rows, key, value, ranks, n).alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "rank")])
     wide = named.select(*(F.col(f"a.{k}").alias(k) for k in key), "name", "b.value").groupBy(*key).agg(*(F.max(F.when(F.col("name") == x, F.col("value"))).alias(x) for x in shares))
     return n.alias("n").join(wide.alias("w"), [F.col(f"n.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key], "left").select(*(F.col(f"n.{k}").alias(k) for k in key), *shares)
