@@ -15,8 +15,10 @@ takes segments from. Excluded notes are no targets. A plan without anything to r
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from .plans import DEPTH, MOST_ACTIONS, _ancestors, _folder
 
 FIELDS = ("action", "note", "id", "path", "folder", "title", "text", "segment", "segmentHash", "to", "tags")
 ROWS = "plan_id string, action_index int, action string, note string, id string, path string, folder string, title string, text string, segment string, segmentHash string, `to` string, tags array<string>, known boolean, finding string"
+FOLDED = pa.schema([("plan_id", pa.string()), ("action_index", pa.int32()), *((c, pa.list_(pa.string()) if c == "tags" else pa.string()) for c in FIELDS), ("known", pa.bool_()), ("finding", pa.string())])
+#: Plans that are folded together.
+TOGETHER = 256
 DROPPED, DEEP, COLLISION, MERGE, MISSING = "droppedUnusedFolder", "repairedFolderDepth", "repairedCollision", "repairedMerge", "repairedMissingFolder"
 
 
@@ -161,15 +166,35 @@ def _reach(a: DataFrame) -> DataFrame:
     return a.select("plan_id", F.explode(F.array_distinct(paths)).alias("relpath")).where("relpath is not null").distinct()
 
 
-def _fold_plan(key: tuple, actions: pd.DataFrame, state: pd.DataFrame, excluded: tuple[str, ...]) -> pd.DataFrame:
-    rows = actions.sort_values("action_index").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-    rows = [{c: r[c] for c in (*FIELDS, "known")} | {"tags": list(r["tags"]) if r["tags"] is not None else None} for r in rows]
-    notes = state[state.kind == "note"]
-    bodies = {p: b for p, b in zip(notes.relpath, notes.body, strict=True) if b is not None}
-    now, found = fold(rows, set(notes.relpath), set(state[state.kind == "folder"].relpath), bodies, excluded)
-    out = [{"plan_id": key[0], "action_index": k, **a, "finding": None} for k, a in enumerate(now)]
-    out += [{"plan_id": key[0], "action_index": k, **dict.fromkeys(FIELDS), "known": None, "finding": what} for k, what in found]
-    return pd.DataFrame(out, columns=["plan_id", "action_index", *FIELDS, "known", "finding"])
+def _folded(batches: Iterator[pa.RecordBatch], excluded: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of ROWS of plans, a plan a row: its actions in order, and what is there in its reach."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            out = []
+            for r in batch.slice(at, TOGETHER).to_pylist():
+                rows = [{c: x[c] for c in (*FIELDS, "known")} for x in r["actions"]]
+                now, found = fold(rows, set(r["taken"] or ()), set(r["folders"] or ()), {x["relpath"]: x["body"] for x in r["bodies"] or ()}, excluded)
+                out += [{"plan_id": r["plan_id"], "action_index": k, **x} for k, x in enumerate(now)]
+                out += [{"plan_id": r["plan_id"], "action_index": k, "finding": what} for k, what in found]
+            yield pa.RecordBatch.from_pylist(out, FOLDED)
+
+
+def _plans(small: DataFrame, notes: DataFrame) -> DataFrame:
+    """plan_id, actions, taken, folders, bodies: a row a plan. Only the texts of notes that a plan takes segments from go
+    with it. notes: relpath, and body if there is one."""
+    reach = _reach(small)
+    there = reach.join(notes.select("relpath"), "relpath").select("plan_id", "relpath", F.lit(True).alias("note"), F.lit(None).cast("string").alias("body"))
+    have = notes.select(F.explode(_ancestors(_folder(F.col("relpath")))).alias("relpath")).distinct()
+    folders = reach.select("plan_id", _folder(F.col("relpath")).alias("relpath")).distinct().join(have, "relpath").select("plan_id", "relpath", F.lit(False).alias("note"), F.lit(None).cast("string").alias("body"))
+    state = there.union(folders)
+    if "body" in notes.columns:
+        source = small.where("action = 'moveSegment' and segment <> ''").select("plan_id", F.col("note").alias("relpath")).distinct()
+        state = state.union(source.join(notes.select("relpath", "body").where("body is not null"), "relpath").select("plan_id", "relpath", F.lit(True).alias("note"), "body"))
+    state = state.groupBy(F.col("plan_id").alias("of_plan")).agg(
+        F.collect_set(F.when(F.col("note"), F.col("relpath"))).alias("taken"), F.collect_set(F.when(~F.col("note"), F.col("relpath"))).alias("folders"),
+        F.collect_list(F.when(F.col("body").isNotNull(), F.struct("relpath", "body"))).alias("bodies"))
+    each = small.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("action_index", *FIELDS, "known"))).alias("actions"))
+    return each.join(state, F.col("plan_id").eqNullSafe(F.col("of_plan")), "left").drop("of_plan")
 
 
 def repair(actions: DataFrame, notes: DataFrame, excluded: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -178,16 +203,7 @@ def repair(actions: DataFrame, notes: DataFrame, excluded: tuple[str, ...] = ())
     a = actions.withColumn("n", F.count("*").over(_by_plan()))
     small = written(a.where((F.col("n") <= MOST_ACTIONS) & (F.col("action_index") >= 0)).drop("n"), "plans")
     rest = a.where((F.col("n") > MOST_ACTIONS) | (F.col("action_index") < 0)).drop("n")
-    reach = _reach(small)
-    there = reach.join(notes.select("relpath", *(["body"] if "body" in notes.columns else [F.lit(None).cast("string").alias("body")])), "relpath").select("plan_id", F.lit("note").alias("kind"), "relpath", "body")
-    have = notes.select(F.explode(_ancestors(_folder(F.col("relpath")))).alias("relpath")).distinct()
-    folders = reach.select("plan_id", _folder(F.col("relpath")).alias("relpath")).distinct().join(have, "relpath").select("plan_id", F.lit("folder").alias("kind"), "relpath", F.lit(None).cast("string").alias("body"))
-    state = there.union(folders).withColumnRenamed("plan_id", "of_plan")
-
-    def run(key, left, right):
-        return _fold_plan(key, left, right, excluded)
-
-    both = written(small.groupBy("plan_id").cogroup(state.groupBy("of_plan")).applyInPandas(run, ROWS), "repaired")
+    both = written(_plans(small, notes).mapInArrow(partial(_folded, excluded=excluded), ROWS), "repaired")
     findings = both.where("finding is not null").select("plan_id", "action_index", F.lit("warning").alias("severity"), F.col("finding").alias("kind"))
     return both.where("finding is null").select(*actions.columns).unionByName(rest.select(*actions.columns)), findings
 
