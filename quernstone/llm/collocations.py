@@ -37,15 +37,15 @@ LONGEST = 4
 PROJECTED = 1 << 20
 #: Phrases of a language that are ranked together before the last ranking, in so many parts.
 PARTS = 64
-#: Words that a task remembers to have sent.
-SENT = 1 << 20
+#: Words that a task remembers to have sent; words, and bytes of these, that it holds before it sends them.
+SENT, MET, MET_BYTES = 1 << 20, 1 << 17, 16 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9]] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", 10, 11, 12, 13]] = True
 _CUT = _BLANK | _ENDS
 _TOTAL = U64(0x2545F4914F6CDD1D)
-PROJECTION = "bucket int, pointers binary, counts binary, id long, lang string, word string"
+PROJECTION = "bucket int, pointers binary, counts binary, ids array<bigint>, langs array<string>, words array<string>"
 GROWN = "w1 long, w2 long, w3 long, w4 long, n long"
 
 
@@ -178,8 +178,10 @@ def _projected(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterato
     """Occurrence pointers of a task by the bucket of their prefix, and the words that it has met."""
     held: list[np.ndarray] = []
     sent: set[int] = set()
+    met: list[tuple[int, str, str]] = []
+    size = 0
     names = [x.split()[0] for x in PROJECTION.split(", ")]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def flush() -> pa.RecordBatch:
         rows, n = _merged(np.concatenate(held), None)
@@ -190,6 +192,15 @@ def _projected(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterato
         out = [(int(rows[a, 4]), shared.pack(rows[a:b, :4].astype(np.uint32).ravel()), shared.narrow(n[a:b]), None, None, None) for a, b in zip(at, [*at[1:], len(rows)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
+    def spell() -> pa.RecordBatch:
+        """The words that were met, a row a bucket: as many rows as tasks and buckets, however many words."""
+        dealt: dict[int, list] = {}
+        for x in met:
+            dealt.setdefault(x[0] & (1 << frequent.bits) - 1, []).append(x)
+        met.clear()
+        out = [(b, None, None, *map(list, zip(*x, strict=True))) for b, x in dealt.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
     for batch in batches:
         data, _ = buffers(batch.column("text"))
         for ids, counts, both, start, end, row in frequent.neighbours(batch):
@@ -202,12 +213,16 @@ def _projected(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterato
             fresh = np.array([x not in sent for x in used[0].tolist()], bool)
             if fresh.any():
                 place = np.concatenate([starts, starts + 1])[used[1][fresh]]
-                if len(sent) > SENT:
-                    sent.clear()
-                sent.update(used[0][fresh].tolist())
                 langs = batch.column("lang").take(pa.array(row[place])).to_pylist()
                 words = [data[a:b].tobytes().lower().decode() for a, b in zip(start[place], end[place], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.nulls(len(words), pa.binary()), pa.array(used[0][fresh], pa.int64()), pa.array(["und" if x is None else x for x in langs], pa.string()), pa.array(words, pa.string())], names)
+                sent.update(used[0][fresh].tolist())
+                met += zip(used[0][fresh].tolist(), ["und" if x is None else x for x in langs], words, strict=True)
+                size += sum(map(len, words)) + sum(map(len, filter(None, langs)))
+                if len(met) >= MET or size >= MET_BYTES:
+                    yield spell()
+                    size = 0
+                if len(sent) > SENT:
+                    sent.clear()
             after = np.append(both, [False] * LONGEST)
             starts = starts[after[starts + 2]]
             if len(starts):
@@ -219,6 +234,14 @@ def _projected(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterato
                     yield flush()
     if held:
         yield flush()
+    if met:
+        yield spell()
+
+
+def _spelt(table: pa.Table) -> pa.Table:
+    """The distinct words of a bucket: the least language and spelling of each number."""
+    flat = pa.table([pa.chunked_array([x.flatten() for x in table.column(c).chunks]) for c in ("ids", "langs", "words")], ["id", "lang", "word"])
+    return flat.group_by("id").aggregate([("lang", "min"), ("word", "min")]).select(["id", "lang_min", "word_min"]).rename_columns(["id", "lang", "word"])
 
 
 def _bucket(rows: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
@@ -340,11 +363,11 @@ def mine(documents: DataFrame, least: int = 30, top: int = 2000, percent: int =
     # words beyond PROJECTED occurrences: at most one for each PROJECTED words of the corpus
     hot = np.sort(np.array([r.w1 for r in single.where(F.col("n") > PROJECTED).select("w1").collect()], np.int64))
     projected = shared.written(shared.mapped(texts, partial(_projected, frequent=frequent), PROJECTION), "projected")
-    grown = projected.where("bucket is not null").select("bucket", "pointers", "counts").groupBy("bucket").applyInArrow(shared.with_args(_grown, frequent=frequent, hot=hot), GROWN)
+    grown = projected.where("pointers is not null").select("bucket", "pointers", "counts").groupBy("bucket").applyInArrow(shared.with_args(_grown, frequent=frequent, hot=hot), GROWN)
     grown = grown.groupBy("w1", "w2", "w3", "w4").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     words = ["w1", "w2", "w3", "w4"]
     phrases = shared.written(double.union(grown).select(_phrase(*words).alias("p"), F.col("n").alias("a")), "phrases")
-    dictionary = projected.where("id is not null").groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
+    dictionary = projected.where("ids is not null").select("bucket", "ids", "langs", "words").groupBy("bucket").applyInArrow(shared.with_args(_spelt), "id long, lang string, word string")
     return _ranked(phrases, single.select(F.array("w1").alias("p"), F.col("n").alias("a")), dictionary, frequent, top, percent, scale)
 
 

@@ -94,3 +94,22 @@ def test_ranking_is_exact(spark):
         store.words.write(b, key[s], np.array([77]))
     r = collocations._ranked(phrases, single, words, store, 10, 80, 2_000_000).first()
     assert (r.phrase, r.score, r.n) == ("x y", 2_000_000 * 9_000_000_000_000_000_007 // 9_000_000_000_000_000_010, 77)
+
+
+def test_words_of_a_task_are_few_rows(spark, monkeypatch):
+    """A task sends its words a row a bucket and not a row each, also when it sends some before its end."""
+    rows = [(" ".join(f"w{k} v{k}" for k in range(500)), ["en", None][j % 2]) for j in range(6)]
+    made, mapped = [], collocations.shared.mapped
+
+    def counted(df, f, schema):
+        out = mapped(df, f, schema)
+        if schema == collocations.PROJECTION:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations.shared, "mapped", counted)
+    for held in (1 << 20, 40):
+        monkeypatch.setattr(collocations, "SENT", held)
+        monkeypatch.setattr(collocations, "MET", held)
+        assert rows_of(collocations.mine(frame(spark, rows).coalesce(1), least=2)) == brute(rows, 2)
+    assert made[0] < 500
