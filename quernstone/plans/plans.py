@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..derived import written
+from ..derived import apart, sent, written
 from ..functions import notes as N
 from ..functions.text import line_diff, patched
 
@@ -47,26 +48,49 @@ def _ancestors(folder: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), lambda p: p != "")
 
 
-def _taken(key: tuple, actions: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _taken(actions: list[dict], paths: list[str]) -> list[int]:
     """Which actions of one plan land on a path that is taken when their turn comes; the plan's own moves and
     new names count."""
-    occupied, now, found = set(state.relpath), {}, []
-    for r in actions.sort_values("action_index").itertuples():
-        if r.makes:
-            if r.target in occupied:
-                found.append((key[0], r.action_index))
-            occupied.add(r.target)
+    occupied, now, found = set(paths), {}, []
+    for r in sorted(actions, key=lambda r: r["action_index"]):
+        if r["makes"]:
+            if r["target"] in occupied:
+                found.append(r["action_index"])
+            occupied.add(r["target"])
         else:
-            at = now.get(r.note, r.note)
+            at = now.get(r["note"], r["note"])
             folder, _, name = at.rpartition("/")
-            target = f"{r.target}/{name}".lstrip("/") if r.action == "moveNote" else f"{folder}/{r.target}.md".lstrip("/")
+            target = f"{r['target']}/{name}".lstrip("/") if r["action"] == "moveNote" else f"{folder}/{r['target']}.md".lstrip("/")
             if target != at and target in occupied:
-                found.append((key[0], r.action_index))
+                found.append(r["action_index"])
             elif target != at:
                 occupied.discard(at)
                 occupied.add(target)
-                now[r.note] = target
-    return pd.DataFrame(found, columns=["plan_id", "action_index"])
+                now[r["note"]] = target
+    return found
+
+
+#: Plans that are followed together.
+TOGETHER = 256
+
+
+def _followed(steps: DataFrame, state: DataFrame, of_actions: tuple[str, ...], of_state: tuple[str, ...], follow: Callable[[dict], list[dict]], schema: pa.Schema, types: str) -> DataFrame:
+    """What follow() says of each plan: its plan_id, and its actions and state as lists. A plan is a row and batches of plans are
+    followed together, so that small plans don't cost a group each. state: of_plan and what is there for it."""
+    each = steps.groupBy("plan_id").agg(F.collect_list(F.struct(*of_actions)).alias("actions"))
+    there = state.groupBy("of_plan").agg(F.collect_list(F.struct(*of_state)).alias("state"))
+    plans = each.join(there, F.col("plan_id").eqNullSafe(F.col("of_plan")), "left").select(F.col("plan_id").cast("string").alias("plan_id"), "actions", "state")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                yield pa.RecordBatch.from_pylist([x for r in batch.slice(at, TOGETHER).to_pylist() for x in follow(r)], schema)
+
+    return plans.mapInArrow(rows, types)
+
+
+def _collided(plan: dict) -> list[dict]:
+    return [{"plan_id": plan["plan_id"], "action_index": k} for k in _taken(plan["actions"], [x["relpath"] for x in plan["state"] or ()])]
 
 
 def collisions(a: DataFrame, notes: DataFrame) -> DataFrame:
@@ -80,7 +104,20 @@ def collisions(a: DataFrame, notes: DataFrame) -> DataFrame:
     folders = steps.where("not makes").select("plan_id", F.explode(F.array(F.when(F.col("action") == "moveNote", F.col("target")).otherwise(_folder(F.col("note"))), _folder(F.col("note")))).alias("folder")).distinct()
     reach = names.join(folders, "plan_id").select("plan_id", F.when(F.col("folder") == "", F.concat("name", F.lit(".md"))).otherwise(F.concat("folder", F.lit("/"), "name", F.lit(".md"))).alias("relpath"))
     state = plain.union(reach).distinct().join(notes.select("relpath"), "relpath").select(F.col("plan_id").alias("of_plan"), "relpath")
-    return steps.groupBy("plan_id").cogroup(state.groupBy("of_plan")).applyInPandas(_taken, "plan_id string, action_index int")
+    return _followed(steps, state, ("action_index", "action", "note", "target", "makes"), ("relpath",), _collided, pa.schema([("plan_id", pa.string()), ("action_index", pa.int32())]), "plan_id string, action_index int")
+
+
+#: Bytes of texts up to which they are sent to every task.
+SENT = 16 << 20
+
+
+def texts_at(paths: DataFrame, notes: DataFrame) -> DataFrame:
+    """(relpath, body) of the notes at these paths (relpath): which of them are there is found by their paths alone, and
+    only the texts of those are moved."""
+    there = written(paths.select("relpath").distinct().join(notes.select("relpath"), "relpath", "left_semi"), "there")
+    held = written(notes.select("relpath", "body").join(sent(there), "relpath", "left_semi"), "bodies")
+    size = held.agg(F.sum(F.octet_length("body") + F.octet_length("relpath"))).first()[0] or 0
+    return F.broadcast(held) if size <= SENT else apart(held)
 
 
 def issues(actions: DataFrame, notes: DataFrame, plans: DataFrame | None = None, excluded: tuple[str, ...] = (), session: DataFrame | None = None) -> DataFrame:
@@ -89,7 +126,7 @@ def issues(actions: DataFrame, notes: DataFrame, plans: DataFrame | None = None,
 
     notes: relpath, body (null: not loaded), content_hash, and id, title, tags where there are; plans: plan_id,
     preconditions; session: plan_id, session_text."""
-    n = notes.select(F.col("relpath").alias("note"), *(F.col(c) if c in notes.columns else F.lit(None).cast(t).alias(c) for c, t in (("body", "string"), ("content_hash", "string"), ("tags", "array<string>"))), F.lit(True).alias("found")).withColumnRenamed("tags", "n_tags")
+    n = notes.select(F.col("relpath").alias("note"), *(F.col(c) if c in notes.columns else F.lit(None).cast(t).alias(c) for c, t in (("content_hash", "string"), ("tags", "array<string>"))), F.lit(True).alias("found")).withColumnRenamed("tags", "n_tags")
     every = actions.withColumn("size", F.count("*").over(Window.partitionBy("plan_id")))
     whole = every.groupBy("plan_id").agg(F.max("size").alias("size"), F.max("action_index").alias("last")).select("plan_id", F.when(F.col("last") < 0, "nothingToDo").when(F.col("size") > MOST_ACTIONS, "tooManyActions").alias("kind"), "last").where("kind is not null")
     out = [whole.select("plan_id", F.lit(-1).alias("action_index"), F.when(F.col("kind") == "nothingToDo", "warning").otherwise("error").alias("severity"), "kind")]
@@ -101,6 +138,13 @@ def issues(actions: DataFrame, notes: DataFrame, plans: DataFrame | None = None,
         a = a.withColumn("by_id", F.lit(None).cast("string"))
     a = a.withColumn("contradictory", F.coalesce((F.col("by_id") != F.col("note")) & F.col("note").isNotNull(), F.lit(False))).withColumn("note", F.coalesce("by_id", "note"))
     a = a.join(n, "note", "left")
+    # only segments are looked for in texts
+    cut = (F.col("action") == "moveSegment") & (F.col("segment") != "")
+    if "body" in notes.columns:
+        bodies = texts_at(a.where(cut).select(F.col("note").alias("relpath")), notes)
+        a = a.join(bodies.withColumnRenamed("relpath", "of_body"), cut & (F.col("note") == F.col("of_body")), "left").drop("of_body")
+    else:
+        a = a.withColumn("body", F.lit(None).cast("string"))
     a = a.withColumn("home", F.when(F.col("action").isin("createFolder", "moveNote") & F.col("folder").isNotNull(), F.col("folder")).when(F.col("path").isNotNull(), _folder(F.col("path"))))
     have = notes.select(F.explode(_ancestors(_folder(F.col("relpath")))).alias("home")).distinct().withColumn("home_exists", F.lit(True))
     planned = a.where("action = 'createFolder'").select("plan_id", F.explode(_ancestors(F.col("folder"))).alias("home")).distinct().withColumn("home_planned", F.lit(True))
@@ -185,50 +229,51 @@ def _cut(segment: str, body: str) -> str:
     return "\n\n".join(x for x in (head, tail) if x) + ("\n" if head and not tail else "")
 
 
-def _apply(key: tuple, actions: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _apply(plan: dict) -> list[dict]:
     """One plan on the notes that it names: all of it, or none. Actions go by phases (folders, new notes, additions,
     segments, tags, titles, moves), in their order within one; paths are those of before the plan."""
-    notes = {r.relpath: r.body or "" for r in state.itertuples()}
-    first, now, want = dict(notes), {}, {} if actions.empty else json.loads(actions.preconditions.iloc[0] or "{}")
-    done: list[tuple] = []
-    fail = lambda why: pd.DataFrame([(key[0], why, None, None, None)], columns=["plan_id", "status", "relpath", "before", "after"])
-    if len(actions) > MOST_ACTIONS or (~actions.action.isin(KINDS)).any():
+    actions = plan["actions"]
+    notes = {x["relpath"]: x["body"] or "" for x in plan["state"] or ()}
+    first, now, want = dict(notes), {}, json.loads(actions[0]["preconditions"] or "{}")
+    done: list[dict] = []
+    row = lambda status, *more: dict(zip(("plan_id", "status", "relpath", "before", "after"), (plan["plan_id"], status, *more), strict=False))
+    fail = lambda why: [row(why)]
+    if len(actions) > MOST_ACTIONS or any(r["action"] not in KINDS for r in actions):
         return fail("invalid")
     if any(p not in notes or _hash(notes[p]) != h for p, h in want.items()):
         return fail("conflict")
-    order = actions.assign(phase=actions.action.map(PHASES)).sort_values(["phase", "action_index"])
-    for r in order.where(order.notna(), None).itertuples():
-        at = now.get(r.note, r.note)
-        if r.action not in ("createNote", "createFolder") and at not in notes:
+    for r in sorted(actions, key=lambda r: (PHASES[r["action"]], r["action_index"])):
+        at = now.get(r["note"], r["note"])
+        if r["action"] not in ("createNote", "createFolder") and at not in notes:
             return fail("failed")
-        if r.action == "createNote":
-            if not r.path or r.path in notes:
+        if r["action"] == "createNote":
+            if not r["path"] or r["path"] in notes:
                 return fail("conflict")
-            notes[r.path] = (r.text or "").strip() + "\n" if (r.text or "").strip() else ""
-        elif r.action == "createFolder":
-            done.append((key[0], "folder", r.folder, None, None))
-        elif r.action == "appendToNote":
-            notes[at] = _append(r.text or "", notes[at])
-        elif r.action == "moveSegment":
-            target = now.get(r.to, r.to) or r.path
-            if not r.segment or r.segment not in notes[at] or target == at or not target:
+            notes[r["path"]] = (r["text"] or "").strip() + "\n" if (r["text"] or "").strip() else ""
+        elif r["action"] == "createFolder":
+            done.append(row("folder", r["folder"]))
+        elif r["action"] == "appendToNote":
+            notes[at] = _append(r["text"] or "", notes[at])
+        elif r["action"] == "moveSegment":
+            target = now.get(r["to"], r["to"]) or r["path"]
+            if not r["segment"] or r["segment"] not in notes[at] or target == at or not target:
                 return fail("conflict" if target else "failed")
-            notes[at] = _cut(r.segment, notes[at])
-            notes[target] = _append(r.segment, notes.get(target, ""))
+            notes[at] = _cut(r["segment"], notes[at])
+            notes[target] = _append(r["segment"], notes.get(target, ""))
             if not notes[at].strip():
                 del notes[at]
-        elif r.action == "tagNote":
-            done.append((key[0], "tagged", at, None, ",".join(t for t in (r.tags if r.tags is not None else []))))
+        elif r["action"] == "tagNote":
+            done.append(row("tagged", at, None, ",".join(r["tags"] or [])))
         else:
             folder, _, name = at.rpartition("/")
-            target = f"{folder}/{r.title}.md".lstrip("/") if r.action == "retitleNote" else r.path or f"{r.folder or ''}/{name}".lstrip("/")
+            target = f"{folder}/{r['title']}.md".lstrip("/") if r["action"] == "retitleNote" else r["path"] or f"{r['folder'] or ''}/{name}".lstrip("/")
             if target != at:
                 if target in notes:
                     return fail("conflict")
                 notes[target] = notes.pop(at)
-                now[r.note] = target
-    changed = [(key[0], "applied", p, first.get(p), notes.get(p)) for p in sorted({*first, *notes}) if first.get(p) != notes.get(p)]
-    return pd.DataFrame(changed + done or [(key[0], "applied", None, None, None)], columns=["plan_id", "status", "relpath", "before", "after"])
+                now[r["note"]] = target
+    changed = [row("applied", p, first.get(p), notes.get(p)) for p in sorted({*first, *notes}) if first.get(p) != notes.get(p)]
+    return changed + done or [row("applied")]
 
 
 def _reachable() -> list[Column]:
@@ -246,8 +291,10 @@ def apply(actions: DataFrame, plans: DataFrame, notes: DataFrame, excluded: tupl
     refused = actions.select("plan_id").distinct().join(good, "plan_id", "left_anti").select("plan_id", F.lit("invalid").alias("status"), *(F.lit(None).cast("string").alias(c) for c in ("relpath", "before", "after")))
     a = actions.join(good, "plan_id", "left_semi").join(plans.select("plan_id", F.to_json("preconditions").alias("preconditions")), "plan_id")
     named = a.select("plan_id", F.explode(F.array_distinct(F.concat(F.array("note", "path", "to", *_reachable()), F.coalesce(F.map_keys(F.from_json("preconditions", "map<string,string>")), F.array().cast("array<string>"))))).alias("relpath")).where("relpath is not null").distinct()
-    state = named.join(notes.select("relpath", "body"), "relpath").select(F.col("plan_id").alias("of_plan"), "relpath", "body")
-    return a.groupBy("plan_id").cogroup(state.groupBy("of_plan")).applyInPandas(_apply, OUTCOME).union(refused)
+    named = written(named, "named")
+    state = named.join(texts_at(named, notes), "relpath").select(F.col("plan_id").alias("of_plan"), "relpath", "body")
+    of_actions = ("action_index", "action", "note", "path", "folder", "title", "text", "segment", "to", "tags", "preconditions")
+    return _followed(a, state, of_actions, ("relpath", "body"), _apply, pa.schema([(c, pa.string()) for c in ("plan_id", "status", "relpath", "before", "after")]), OUTCOME).union(refused)
 
 
 def recovered(images: DataFrame, disk: DataFrame) -> DataFrame:

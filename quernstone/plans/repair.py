@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..derived import written
 from ..functions import notes as N
-from .plans import DEPTH, MOST_ACTIONS, _ancestors, _folder
+from .plans import DEPTH, MOST_ACTIONS, _ancestors, _folder, texts_at
 
 FIELDS = ("action", "note", "id", "path", "folder", "title", "text", "segment", "segmentHash", "to", "tags")
 ROWS = "plan_id string, action_index int, action string, note string, id string, path string, folder string, title string, text string, segment string, segmentHash string, `to` string, tags array<string>, known boolean, finding string"
@@ -189,7 +189,7 @@ def _plans(small: DataFrame, notes: DataFrame) -> DataFrame:
     state = there.union(folders)
     if "body" in notes.columns:
         source = small.where("action = 'moveSegment' and segment <> ''").select("plan_id", F.col("note").alias("relpath")).distinct()
-        state = state.union(source.join(notes.select("relpath", "body").where("body is not null"), "relpath").select("plan_id", "relpath", F.lit(True).alias("note"), "body"))
+        state = state.union(source.join(texts_at(source, notes).where("body is not null"), "relpath").select("plan_id", "relpath", F.lit(True).alias("note"), "body"))
     state = state.groupBy(F.col("plan_id").alias("of_plan")).agg(
         F.collect_set(F.when(F.col("note"), F.col("relpath"))).alias("taken"), F.collect_set(F.when(~F.col("note"), F.col("relpath"))).alias("folders"),
         F.collect_list(F.when(F.col("body").isNotNull(), F.struct("relpath", "body"))).alias("bodies"))
